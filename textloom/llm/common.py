@@ -129,3 +129,32 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("c")).select(F.col("u").alias("id"), F.col("c").alias("component")).unionAll(
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
+
+
+def stream_groups(batches, n_keys: int):
+    """(key, rows) of each run of equal keys in the first ``n_keys`` columns; rows come as one pyarrow table.
+
+    The rows must be sorted by key within the partition; one group is in memory at a time.
+    """
+    import pyarrow as pa
+
+    held, key = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            now = tuple(keys[:, lo].tolist())
+            if now != key and held:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def binary_views(column) -> list[np.ndarray]:
+    """The uint64 arrays of a pyarrow binary column."""
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]

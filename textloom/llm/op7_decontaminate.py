@@ -33,19 +33,25 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def _windows(mask: str, no: int) -> Column:
-    """(hash, pos) of every window of the mask over the column ``h`` of token hashes."""
-    n = F.size("h") - len(mask)
-    picked = [i for i, x in enumerate(mask) if x == "1"]
-    one = lambda p: F.struct(F.xxhash64(F.lit(no), *[F.get("h", p + i) for i in picked]).alias("hash"), p.alias("pos"))
-    empty = F.expr("cast(array() as array<struct<hash:bigint,pos:int>>)")
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), one)).otherwise(empty)
-
-
 def seed_hashes(df: DataFrame, masks: tuple[str, ...], *keep: str) -> DataFrame:
-    """``keep, hash, pos`` for each window; ``df`` has ``words``."""
-    df = df.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    return df.select(*keep, F.inline(F.concat(*[_windows(m, i) for i, m in enumerate(masks)])))
+    """``keep, hash, pos`` for each window of each mask; ``df`` has ``words``.
+
+    Shifted slices of the token hashes are zipped, so that the window hashes are plain columns of one generated stage
+    and not lambdas.
+    """
+    h = df.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    out = None
+    for span in sorted({len(m) for m in masks}):
+        own = [(no, m) for no, m in enumerate(masks) if len(m) == span]
+        used = sorted({i for _, m in own for i, x in enumerate(m) if x == "1"})
+        n = F.greatest(F.size("h") - span + 1, F.lit(0))
+        pos = F.slice(F.sequence(F.lit(0), F.size("h")), F.lit(1), n)
+        shifted = [F.slice("h", F.lit(i + 1), n).alias(f"t{i}") for i in used]
+        rows = h.select(*keep, F.inline(F.arrays_zip(pos.alias("pos"), *shifted)))
+        hashed = F.array(*[F.xxhash64(F.lit(no), *[F.col(f"t{i}") for i, x in enumerate(m) if x == "1"]) for no, m in own])
+        part = rows.select(*keep, "pos", F.explode(hashed).alias("hash"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def leaks(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
