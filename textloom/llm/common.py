@@ -56,8 +56,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class _Hashes(dict):
+    """Word -> 64-bit hash; forgets all when it has ``MOST`` words."""
+
+    MOST = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_HASHES = _Hashes()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    if len(_HASHES) > _Hashes.MOST:
+        _HASHES.clear()
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -135,6 +135,23 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     )
 
 
+def redact_all(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All rows and columns, with every secret in ``text`` replaced; only texts that hold one are joined with findings.
+
+    Findings are kept by content hash, so copies share one; null text stays null.
+    """
+    mine = docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
+    distinct = mine.groupBy("__blob").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).alias("p"))
+    reps = distinct.select(F.col("__blob").alias("blob"), F.col("p.doc_id").alias("rep"))
+    unseen = mine.join(reps.hint("shuffle_hash"), (F.col("__blob") == F.col("blob")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    found = scan_blobs(unseen.select(F.col("__blob").alias("blob"), F.col(text).alias("text"))).where(F.size("spans") > 0)
+    per_kind = found.groupBy("blob", "kind_no").agg(F.first("spans").alias("spans"))
+    spans = save(per_kind.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("__spans")), "secrets")
+    out = mine.join(spans.withColumnRenamed("blob", "__blob"), "__blob", "left")
+    clean = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(redact(F.col(text), F.col("__spans")))
+    return out.withColumn(text, clean).select(*docs.columns)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found, _ = scan(docs, "doc_id")
