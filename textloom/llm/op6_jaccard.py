@@ -5,10 +5,11 @@ union``. A set is a query against inverted lists: to link, another document must
 DivideSkip splits them: the short lists are merged and counted, the L longest are only probed by binary search for
 documents that occur in at least T - L short ones.
 
-Distribution. Equal sets become one class first. By the prefix principle two sets that link share one of their first
-``n - ceil(n * num / den) + 1`` n-grams in any fixed order; rare ones come first here (frequent n-grams are counted over all
-documents; the ``HEAVY`` most frequent of them are broadcast, all others count as rare). So the classes that share such an
-n-gram are routed to the smallest of them, their leader: no list leaves a task. Round one compares each class with its leaders
+Distribution. Equal sets become one class first. By the prefix principle two sets that link share at least l of their
+first ``n - ceil(n * num / den) + l`` n-grams in any fixed order; rare ones come first here (frequent n-grams are counted
+over all documents; the ``HEAVY`` most frequent of them are broadcast, all others count as rare). The threshold applies to
+a class as a whole too: one of whose prefix fewer than l n-grams occur in any other prefix links with nothing, and its set is
+never built. The other classes that share an n-gram are routed to the smallest of them, their leader. Round one compares each class with its leaders
 only, which is linear and joins groups of near copies. Round two searches, within each leader's group that still holds
 several components, all pairs across components, in blocks of bounded size. Tasks return links that join components,
 never all pairs.
@@ -93,10 +94,15 @@ def prefix(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], num: int, den: i
     if len(token):
         at = np.minimum(np.searchsorted(token, s), len(token) - 1)
         freq = np.where(token[at] == s, count[at], 0)
-    n = len(s) - -(-len(s) * num // den) + 1
+    n = len(s) - -(-len(s) * num // den) + shared(len(s), num, den)
     return s[np.lexsort((s, freq))[:n]]
 
 
+def shared(n: int, num: int, den: int) -> int:
+    """How many n-grams of their prefixes two sets share if they link and the smaller has n."""
+    return 1 + n * (den - num) // (2 * den)
+
+
 def describe(docs: DataFrame, k: int, num: int, den: int, heavy) -> DataFrame:
     """``doc_id, n, digest, prefix``; ``docs`` has doc_id and text."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY rows
@@ -225,14 +231,17 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     seen = save(describe(docs, k, num, den, heavy_hitters(docs.select("text"), k)), "described")
-    classes = save(
-        seen.where("digest is not null and doc_id is not null").groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes",
-    )
-    rows = classes.select("rep", "n", F.explode("prefix").alias("token"))
-    lists = rows.groupBy("token").agg(F.min("rep").alias("leader"), F.count("*").alias("many")).where("many > 1")
-    routed = save(rows.join(lists, "token").select("leader", "rep", "n").distinct(), "routed")
-    wanted = routed.select("rep").distinct().join(classes.select("rep", "digest"), "rep")
+    sound = "digest is not null and doc_id is not null"
+    classes = save(seen.where(sound).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+    first_rows = seen.where(sound).join(classes.select("digest", F.col("rep").alias("doc_id")).hint("shuffle_hash"), ["digest", "doc_id"], "left_semi")
+    rows = first_rows.select(F.col("doc_id").alias("rep"), F.explode("prefix").alias("token"))
+    lists = rows.groupBy("token").agg(F.min("rep").alias("leader"), F.count("*").alias("many")).where("many > 1").drop("many")
+    met = save(rows.join(lists, "token").groupBy("leader", "rep").agg(F.count("*").alias("c")), "met")
+    fewest = F.lit(1) + F.floor(F.ceil(F.col("n") * num / den) * (den - num) / (2 * den))  # shared() of the smallest partner
+    wanted = met.groupBy("rep").agg(F.sum("c").alias("c")).join(classes, "rep").where(F.col("c") >= fewest).select("rep", "digest", "n")
+    wanted = save(wanted, "wanted")
+    routed = save(met.join(wanted, "rep").select("leader", "rep", "n"), "routed")
+    wanted = wanted.select("rep", "digest")
     sets = save(sets_of(docs, wanted, k), "sets")
 
     # round one: each class against its leaders
