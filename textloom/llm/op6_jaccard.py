@@ -9,9 +9,9 @@ Distribution. Equal sets become one class first. By the prefix principle two set
 first ``n - ceil(n * num / den) + l`` n-grams in any fixed order; rare ones come first here (frequent n-grams are counted
 over all documents; the ``HEAVY`` most frequent of them are broadcast, all others count as rare). The threshold applies to
 a class as a whole too: one of whose prefix fewer than l n-grams occur in any other prefix links with nothing, and its set is
-never built. The other classes that share an n-gram are routed to the smallest of them, their leader. Round one compares each class with its leaders
-only, which is linear and joins groups of near copies. Round two searches, within each leader's group that still holds
-several components, all pairs across components, in blocks of bounded size. Tasks return links that join components,
+never built. The other classes that share an n-gram are routed to the smallest of them, their leader. Round one compares each class with the leader
+that it shares most n-grams with only, which is linear and joins groups of near copies. Round two searches, among the classes that still share enough
+n-grams across components and within each leader's group, all pairs across components, in blocks of bounded size. Tasks return links that join components,
 never all pairs.
 
 Groups are streamed from sorted partitions, one block in memory at a time. Intermediate results are saved to the shared
@@ -240,11 +240,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     fewest = F.lit(1) + F.floor(F.ceil(F.col("n") * num / den) * (den - num) / (2 * den))  # shared() of the smallest partner
     wanted = met.groupBy("rep").agg(F.sum("c").alias("c")).join(classes, "rep").where(F.col("c") >= fewest).select("rep", "digest", "n")
     wanted = save(wanted, "wanted")
-    routed = save(met.join(wanted, "rep").select("leader", "rep", "n"), "routed")
-    wanted = wanted.select("rep", "digest")
-    sets = save(sets_of(docs, wanted, k), "sets")
+    sets = save(sets_of(docs, wanted.select("rep", "digest"), k), "sets")
 
-    # round one: each class against its leaders
+    # round one: each class against the leader with which it shares most
+    best = met.where("leader <> rep").groupBy("rep").agg(F.max(F.struct("c", (-F.col("leader")).alias("col2"))).alias("b"))
+    pairs = best.select("rep", (-F.col("b.col2")).alias("leader")).join(wanted, "rep").select("leader", "rep", "n")
+    routed = save(pairs.unionAll(pairs.select("leader").distinct().join(wanted.withColumnRenamed("rep", "leader"), "leader").select("leader", F.col("leader").alias("rep"), "n")), "routed")
     blocks = routed.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("b"), F.count("*").alias("many")).where("many > 1")
     placed = routed.where("leader <> rep").join(blocks, "leader").select(
         "leader", F.pmod(F.xxhash64("rep"), "b").cast("long").alias("block"), "rep"
@@ -254,7 +255,16 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     comp = save(components(first), "comp")
 
     # round two: across the components that are left in a leader's group
-    known = routed.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("leader", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    # a link across components shares n-grams whose lists hold several components, and as many as shared() says
+    known = wanted.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "digest", "n", F.coalesce("component", "rep").alias("comp"))
+    prefixes = first_rows.select("digest", "prefix").join(known.hint("shuffle_hash"), "digest")
+    hits = save(prefixes.select("rep", "comp", "n", F.explode("prefix").alias("token")), "tokens")
+    for _ in range(2):  # the second time among those that the first has left
+        mixed = hits.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.min("rep").alias("leader")).where("a < z").select("token", "leader")
+        hits = hits.drop("leader").join(mixed, "token")
+        enough = hits.groupBy("rep").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= fewest).select("rep")
+        hits = save(hits.join(enough, "rep"), "tokens")
+    known = save(hits.select("leader", "rep", "n", "comp").distinct(), "known")
     open_ = (
         known.groupBy("leader").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("b"))
         .where("a < z").select("leader", "b")
