@@ -1,6 +1,303 @@
-"""Queries and SQL of the library's own operators."""
+"""Queries and SQL of the library's own operators, over whole tables.
+
+The driver tables hold no annotations, so tags, trees and edges are derived from ``events`` by fixed rules, alike in the
+SQL: a user's events in order of time are a sentence, and an event's id and type give its tag.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import chars
+from .operators import decoders, features, metrics, tags, tokens, trees, vocab
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tagged(spark: SparkSession, d: str) -> DataFrame:
+    """``sid, tid, tag, event_id, event_type``."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    k = F.col("event_id") % 5
+    tag = F.when(k == 0, F.lit("O")).when(k == 1, F.concat(F.lit("B-"), F.col("event_type"))).otherwise(F.concat(F.lit("I-"), F.col("event_type")))
+    e = read(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    return e.select(F.col("user_id").alias("sid"), F.row_number().over(w).cast("long").alias("tid"), tag.alias("tag"), "event_id", "event_type")
+
+
+EV = """ev AS (SELECT user_id AS sid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS tid, event_id, event_type,
+    CASE event_id % 5 WHEN 0 THEN 'O' WHEN 1 THEN 'B-' || event_type ELSE 'I-' || event_type END AS tag FROM events)"""
+WORDS = """pieces AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS tid, unnest(p) AS piece FROM
+        (SELECT doc_id, regexp_extract_all(text, '\\s*\\S+') AS p FROM documents)),
+    words AS (SELECT doc_id, tid, regexp_replace(piece, '^\\s+', '') AS tok,
+        CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY tid) AS BIGINT) AS "end" FROM pieces)"""
+TREE = """tree AS (SELECT user_id AS tree_id, n AS node_id, n // 2 AS parent_id FROM
+    (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events))"""
+
+
+def tree(spark: SparkSession, d: str) -> DataFrame:
+    t = tagged(spark, d)
+    return t.select(F.col("sid").alias("tree_id"), F.col("tid").alias("node_id"), F.floor(F.col("tid") / 2).alias("parent_id"))
+
+
+def words(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.space_tokens(read(spark, d, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+@query("corpus_stats", r"""SELECT lang, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens, min(n) AS shortest, max(n) AS longest, round(avg(n), 6) AS mean
+    FROM (SELECT lang, len(regexp_extract_all(text, '\S+')) AS n FROM documents) GROUP BY lang""")
+def corpus_stats(spark, d):
+    n = read(spark, d, "documents").select("lang", F.regexp_count("text", F.lit(r"\S+")).alias("n"))
+    return n.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.round(F.avg("n"), 6).alias("mean"))
+
+
+@query("space_tokens", f'WITH {WORDS} SELECT doc_id, tid, tok, "end" - length(tok) AS "begin", "end" FROM words')
+def space_tokens(spark, d):
+    return words(spark, d)
+
+
+@query("newline_blocks", r"""WITH b AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS bid, unnest(p) AS block FROM
+    (SELECT doc_id, regexp_extract_all(text, '\n*[^\n]+') AS p FROM documents))
+    SELECT doc_id, bid, block, CAST(coalesce(sum(length(block)) OVER (PARTITION BY doc_id ORDER BY bid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "begin" FROM b""")
+def newline_blocks(spark, d):
+    return tokens.newline_blocks(read(spark, d, "documents").select("doc_id", "text"))
+
+
+CLASS_NAMES = [k for k in chars.CLASSES]
+_RE2 = {k: v.replace("'", "''") for k, v in chars.CLASSES.items()}
+
+
+@query("char_classes", "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '[{_RE2[k]}]')) AS {k}" for k in CLASS_NAMES) + " FROM documents")
+def char_classes(spark, d):
+    return read(spark, d, "documents").select("doc_id", *[chars.count_class(F.col("text"), k).alias(k) for k in CLASS_NAMES])
+
+
+@query("regex_entities", r"""SELECT page_id, len(regexp_extract_all(html, '&([A-Za-z]+|#[Xx]?[0-9]+);')) AS entities,
+    len(regexp_extract_all(html, '[A-Za-z0-9_.-]+@([A-Za-z0-9-]+\.)+[A-Za-z]{2,12}')) AS emails, len(regexp_extract_all(html, '(https?|ftp)://')) AS links FROM pages""")
+def regex_entities(spark, d):
+    n = lambda p: F.regexp_count("html", F.lit(p))
+    return read(spark, d, "pages").select(
+        "page_id", n(r"&([A-Za-z]+|#[Xx]?[0-9]+);").alias("entities"), n(r"[A-Za-z0-9_.-]+@([A-Za-z0-9-]+\.)+[A-Za-z]{2,12}").alias("emails"), n(r"(https?|ftp)://").alias("links")
+    )
+
+
+@query("label_ids", """SELECT source AS item, row_number() OVER (ORDER BY min(doc_id), source) - 1 AS cid FROM documents WHERE source IS NOT NULL GROUP BY source""")
+def label_ids(spark, d):
+    return vocab.first_seen(read(spark, d, "documents"), "source", "doc_id")
+
+
+@query("char_dictionary", """WITH c AS (SELECT item_id, generate_subscripts(p, 1) AS pos, unnest(p) AS item FROM (SELECT item_id, string_split(text, '') AS p FROM benchmark)),
+    m AS (SELECT item, min(struct_pack(a := item_id, b := pos)) AS seen FROM c GROUP BY item)
+    SELECT item, row_number() OVER (ORDER BY seen) AS cid FROM m UNION ALL SELECT '<unk>', 0""")
+def char_dictionary(spark, d):
+    c = read(spark, d, "benchmark").select("item_id", F.posexplode(F.array_remove(F.split("text", ""), "")).alias("pos", "ch"))
+    ids = vocab.first_seen(c, "ch", "item_id", "pos").select("item", (F.col("cid") + 1).alias("cid"))
+    return ids.unionAll(spark.range(1).select(F.lit("<unk>"), F.lit(0)))
+
+
+@query("vocab_topk", f"""WITH {WORDS}, f AS (SELECT tok AS item, count(*) AS freq, min(struct_pack(a := doc_id, b := tid)) AS seen FROM words GROUP BY tok)
+    SELECT item, freq, row_number() OVER (ORDER BY freq DESC, seen) AS "rank" FROM f ORDER BY freq DESC, seen LIMIT 100""")
+def vocab_topk(spark, d):
+    return vocab.most_common(words(spark, d), "tok", 100, "doc_id", "tid")
+
+
+@query("vocab_minfreq", f"""WITH {WORDS} SELECT tok AS item, count(*) AS freq, row_number() OVER (ORDER BY count(*) DESC, tok) + 2 AS id FROM words GROUP BY tok HAVING count(*) > 2""")
+def vocab_minfreq(spark, d):
+    return vocab.parser_vocabulary(words(spark, d), "tok", 2)
+
+
+@query("id_lookup", f"""WITH {WORDS}, v AS (SELECT tok AS item, row_number() OVER (ORDER BY count(*) DESC, tok) + 2 AS id FROM words GROUP BY tok HAVING count(*) > 2)
+    SELECT doc_id, CAST(sum(coalesce(id, 2)) AS BIGINT) AS id_sum, count(*) FILTER (WHERE id IS NULL) AS unknown FROM words LEFT JOIN v ON tok = item GROUP BY doc_id""")
+def id_lookup(spark, d):
+    w = words(spark, d).select("doc_id", "tok")
+    got = vocab.lookup(w, "tok", vocab.parser_vocabulary(w, "tok", 2), 2)
+    return got.groupBy("doc_id").agg(F.sum("id").alias("id_sum"), F.count_if(F.col("id") == 2).alias("unknown"))
+
+
+@query("tag_transitions", f"""WITH {EV}, p AS (SELECT coalesce(lag(tag) OVER (PARTITION BY sid ORDER BY tid), '<START>') AS prev, tag AS cur FROM ev
+    UNION ALL SELECT arg_max(tag, tid), '<STOP>' FROM ev GROUP BY sid), n AS (SELECT prev, cur, count(*) AS n FROM p GROUP BY prev, cur)
+    SELECT prev, cur, n, round(n / CAST(sum(n) OVER (PARTITION BY prev) AS DOUBLE), 6) AS ratio FROM n""")
+def tag_transitions(spark, d):
+    return vocab.transitions(tagged(spark, d))
+
+
+@query("downsample", "SELECT doc_id FROM documents WHERE doc_id + 1 = 1 OR floor((doc_id + 1) * 0.25) > floor(doc_id * 0.25)")
+def downsample(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", (F.col("doc_id") + 1).alias("i"))  # ids are dense from 0
+    return vocab.downsample(rows, "i", 0.25).select("doc_id")
+
+
+@query("iob2", f"""WITH {EV}, l AS (SELECT *, lag(tag) OVER (PARTITION BY sid ORDER BY tid) AS b FROM ev)
+    SELECT sid, tid, CASE WHEN tag LIKE 'I-%' AND (b IS NULL OR b = 'O' OR substr(b, 3) <> substr(tag, 3)) THEN 'B-' || substr(tag, 3) ELSE tag END AS tag FROM l""")
+def iob2(spark, d):
+    return tags.iob1_to_iob2(tagged(spark, d)).select("sid", "tid", "tag")
+
+
+@query("iobes", f"""WITH {EV}, l AS (SELECT *, lead(tag) OVER (PARTITION BY sid ORDER BY tid) AS n FROM ev)
+    SELECT sid, tid, CASE WHEN tag LIKE 'B-%' AND NOT coalesce(n LIKE 'I-%', false) THEN 'S-' || substr(tag, 3)
+        WHEN tag LIKE 'I-%' AND NOT coalesce(n LIKE 'I-%', false) THEN 'E-' || substr(tag, 3) ELSE tag END AS tag FROM l""")
+def iobes(spark, d):
+    return tags.iob_to_iobes(tagged(spark, d)).select("sid", "tid", "tag")
+
+
+CHUNKS = f"""{EV}, l AS (SELECT *, lag(tag) OVER (PARTITION BY sid ORDER BY tid) AS b FROM ev),
+    m AS (SELECT *, sum(CASE WHEN tag <> 'O' AND (b IS NULL OR b = 'O' OR substr(b, 3) <> substr(tag, 3) OR tag LIKE 'B-%') THEN 1 ELSE 0 END)
+        OVER (PARTITION BY sid ORDER BY tid) AS cid FROM l),
+    chunks AS (SELECT sid, min(tid) AS "begin", max(tid) + 1 AS "end", arg_min(substr(tag, 3), tid) AS label FROM m WHERE tag <> 'O' GROUP BY sid, cid)"""
+
+
+@query("event_chunks", f'WITH {CHUNKS} SELECT sid, "begin", "end", label FROM chunks')
+def event_chunks(spark, d):
+    return tags.chunks(tagged(spark, d))
+
+
+@query("paint_chunks", f"""WITH {CHUNKS} SELECT e.sid, e.tid, CASE WHEN c.label IS NULL THEN 'O' WHEN c."end" - c."begin" = 1 THEN 'S-' || c.label
+    WHEN e.tid = c."begin" THEN 'B-' || c.label WHEN e.tid = c."end" - 1 THEN 'E-' || c.label ELSE 'I-' || c.label END AS tag
+    FROM ev e LEFT JOIN chunks c ON e.sid = c.sid AND e.tid >= c."begin" AND e.tid < c."end" """)
+def paint_chunks(spark, d):
+    t = tagged(spark, d)
+    return tags.paint(tags.chunks(t), t)
+
+
+BILOU = f"""{EV}, u AS (SELECT sid, tid, substr('OBILU', CAST(event_id % 5 AS INT) + 1, 1) AS k, event_type FROM ev),
+    s AS (SELECT *, last_value(CASE WHEN k = 'B' THEN tid WHEN k IN ('O', 'L', 'U') THEN -1 END IGNORE NULLS)
+        OVER (PARTITION BY sid ORDER BY tid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS op FROM u)
+    """
+
+
+@query("bilou_chunks", f"""WITH {BILOU} SELECT sid, CASE WHEN k = 'U' THEN tid ELSE op END AS "begin", tid + 1 AS "end", event_type AS label FROM s WHERE k = 'U' OR (k = 'L' AND op >= 0)""")
+def bilou_chunks(spark, d):
+    k = F.substring(F.lit("OBILU"), 1, 5)
+    t = tagged(spark, d)
+    t = t.withColumn("tag", F.concat(F.substr(k, (F.col("event_id") % 5 + 1).cast("int"), F.lit(1)), F.lit("-"), F.col("event_type")))
+    return tags.bilou_chunks(t)
+
+
+@query("detokenize", f"""WITH {WORDS} SELECT doc_id, string_agg(tok, ' ' ORDER BY tid) AS plain FROM words GROUP BY doc_id""")
+def detokenize(spark, d):
+    g = words(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("tid", "tok"))).alias("t"))
+    return g.select("doc_id", F.array_join(F.col("t.tok"), " ").alias("plain"))
+
+
+@query("chunk_f1", f"""WITH {CHUNKS}, p AS (SELECT sid, "begin", CASE WHEN sid % 3 = 0 THEN "end" + 1 ELSE "end" END AS "end", label FROM chunks),
+    n AS (SELECT (SELECT count(*) FROM (SELECT sid, "begin", "end", label FROM chunks INTERSECT SELECT sid, "begin", "end", label FROM p)) AS correct, (SELECT count(*) FROM p) AS predicted, (SELECT count(*) FROM chunks) AS gold)
+    SELECT correct, predicted, gold, round(correct / predicted, 6) AS "precision", round(correct / gold, 6) AS recall, round(2.0 * correct / (predicted + gold), 6) AS f1 FROM n""")
+def chunk_f1(spark, d):
+    gold = tags.chunks(tagged(spark, d))
+    pred = gold.withColumn("end", F.when(F.col("sid") % 3 == 0, F.col("end") + 1).otherwise(F.col("end")))
+    return metrics.set_f1(gold, pred, ["sid", "begin", "end", "label"])
+
+
+@query("confusion_prf", """WITH n AS (SELECT count(*) FILTER (WHERE toxic = 1 AND quality = 1) AS tp, count(*) FILTER (WHERE toxic <> 1 AND quality = 1) AS fp,
+    count(*) FILTER (WHERE toxic <> 1 AND quality <> 1) AS tn, count(*) FILTER (WHERE toxic = 1 AND quality <> 1) AS fn FROM labels)
+    SELECT tp, fp, tn, fn, round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall,
+        CASE WHEN tp = 0 THEN 0.0 ELSE round(2.0 * tp / (2 * tp + fp + fn), 6) END AS f1, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy FROM n""")
+def confusion_prf(spark, d):
+    return metrics.confusion(read(spark, d, "labels"), "toxic", "quality")
+
+
+@query("attachment", f"""WITH {EV}, a AS (SELECT tid // 2 AS h, event_type AS r, CASE WHEN event_id % 7 = 0 THEN tid // 3 ELSE tid // 2 END AS ph,
+    CASE WHEN event_id % 11 = 0 THEN 'x' ELSE event_type END AS pr FROM ev)
+    SELECT round(avg(CAST(h = ph AS INT)), 6) AS uas, round(avg(CAST(h = ph AND r = pr AS INT)), 6) AS las, round(avg(CAST(r = pr AS INT)), 6) AS label_accuracy FROM a""")
+def attachment(spark, d):
+    half, third = F.floor(F.col("tid") / 2), F.floor(F.col("tid") / 3)
+    t = tagged(spark, d).select(
+        F.col("event_type").alias("form"), half.alias("head"), F.col("event_type").alias("rel"), F.when(F.col("event_id") % 7 == 0, third).otherwise(half).alias("p_head"),
+        F.when(F.col("event_id") % 11 == 0, "x").otherwise(F.col("event_type")).alias("p_rel"),
+    )
+    return metrics.attachment(t)
+
+
+@query("tree_ancestors", f"""WITH RECURSIVE {TREE}, up AS (SELECT tree_id, node_id, parent_id AS ancestor, 1 AS distance FROM tree WHERE parent_id <> 0
+    UNION ALL SELECT tree_id, node_id, ancestor // 2, distance + 1 FROM up WHERE ancestor // 2 <> 0) SELECT * FROM up""")
+def tree_ancestors(spark, d):
+    return trees.ancestors(tree(spark, d))
+
+
+@query("tree_siblings", f"""WITH {TREE}, k AS (SELECT tree_id, parent_id AS node_id, count(*) AS children FROM tree GROUP BY 1, 2)
+    SELECT tree_id, node_id, parent_id, coalesce(lag(node_id) OVER w, 0) AS left_id, coalesce(lead(node_id) OVER w, 0) AS right_id, coalesce(children, 0) AS children
+    FROM tree LEFT JOIN k USING (tree_id, node_id) WINDOW w AS (PARTITION BY tree_id, parent_id ORDER BY node_id)""")
+def tree_siblings(spark, d):
+    return trees.siblings(tree(spark, d)).fillna(0, ["left_id", "right_id"])
+
+
+@query("tree_lca", f"""WITH RECURSIVE {TREE}, up AS (SELECT tree_id, node_id, node_id AS ancestor, 0 AS distance FROM tree
+    UNION ALL SELECT tree_id, node_id, ancestor // 2, distance + 1 FROM up WHERE ancestor // 2 <> 0),
+    p AS (SELECT tree_id, node_id AS a, node_id - 1 AS b FROM tree WHERE node_id > 1)
+    SELECT p.tree_id, a, b, arg_min(l.ancestor, l.distance + r.distance) AS lca FROM p JOIN up l ON p.tree_id = l.tree_id AND p.a = l.node_id
+    JOIN up r ON p.tree_id = r.tree_id AND p.b = r.node_id AND l.ancestor = r.ancestor GROUP BY 1, 2, 3""")
+def tree_lca(spark, d):
+    t = tree(spark, d)
+    return trees.lowest_common(t, t.where("node_id > 1").select("tree_id", F.col("node_id").alias("a"), (F.col("node_id") - 1).alias("b")))
+
+
+@query("feature_window", """WITH w AS (SELECT vec_id, embedding AS v, lead(embedding, 3) OVER o AS a, lag(embedding, 3) OVER o AS z FROM embeddings WINDOW o AS (PARTITION BY label ORDER BY vec_id))
+    SELECT vec_id, CAST(7 * 64 AS INT) AS size, round(CAST(coalesce(a[1], 0) AS DOUBLE), 6) AS ahead, round(CAST(v[1] AS DOUBLE), 6) AS here, round(CAST(coalesce(z[64], 0) AS DOUBLE), 6) AS behind FROM w""")
+def feature_window(spark, d):
+    w = features.window_of("embedding", ["label"], "vec_id", 64)
+    e = read(spark, d, "embeddings").select("vec_id", w.alias("f"))
+    at = lambda i: F.round(F.col("f")[i].cast("double"), 6)
+    return e.select("vec_id", F.size("f").alias("size"), at(0).alias("ahead"), at(3 * 64).alias("here"), at(7 * 64 - 1).alias("behind"))
+
+
+@query("label_argmax", "SELECT vec_id, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS best FROM embeddings")
+def label_argmax(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", features.argmax(F.col("embedding"), 10).alias("best"))
+
+
+LENGTHS = [50, 200, 1000, 5000, 1_000_000]
+
+
+@query("token_batches", r"""WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) + 1 AS n FROM documents),
+    b AS (SELECT doc_id, CASE WHEN n <= 50 THEN 50 WHEN n <= 200 THEN 200 WHEN n <= 1000 THEN 1000 WHEN n <= 5000 THEN 5000 ELSE 1000000 END AS bucket FROM n),
+    c AS (SELECT *, count(*) OVER (PARTITION BY bucket) AS cnt, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS i FROM b),
+    p AS (SELECT *, least(greatest(cnt * bucket // 20000, 1), cnt) AS k FROM c)
+    SELECT doc_id, bucket, CASE WHEN i < (cnt % k) * (cnt // k + 1) THEN i // (cnt // k + 1) ELSE cnt % k + (i - (cnt % k) * (cnt // k + 1)) // (cnt // k) END AS batch FROM p""")
+def token_batches(spark, d):
+    n = read(spark, d, "documents").select("doc_id", (F.regexp_count("text", F.lit(r"\S+")) + 1).alias("n"))
+    b = n.select("doc_id", features.bucket(F.col("n"), LENGTHS).alias("bucket"))
+    return features.batches(b, "bucket", "doc_id", 20_000).select("doc_id", "bucket", "batch")
+
+
+@query("conll_rows", f"""WITH {EV} SELECT sid, tid, tid || chr(9) || event_type || chr(9) || '_' || chr(9) || tag || chr(9) || '_' || chr(9) || '_' || chr(9) || (tid // 2) || chr(9) || 'dep' || chr(9) || '_' || chr(9) || '_' AS line FROM ev""")
+def conll_rows(spark, d):
+    from .sources.columns import conll_line
+
+    t = tagged(spark, d)
+    cols = {"id": F.col("tid"), "form": F.col("event_type"), "cpos": F.col("tag"), "head": F.floor(F.col("tid") / 2), "deprel": F.lit("dep")}
+    return t.select("sid", "tid", conll_line(cols).alias("line"))
+
+
+@query("sentences")
+def sentences(spark, d):
+    s = read(spark, d, "documents").select("doc_id", F.posexplode(tokens.segment(F.split(F.trim("text"), r"\s+"))).alias("sid", "s"))
+    return s.select("doc_id", "sid", F.col("s.begin").alias("begin"), F.col("s.end").alias("end"))
+
+
+@query("viterbi_tags")
+def viterbi_tags(spark, d):
+    e = read(spark, d, "embeddings").select(F.col("label").cast("long").alias("sid"), F.col("vec_id").alias("tid"), F.slice("embedding", 1, 4).alias("scores"))
+    return decoders.viterbi(e, [[0.5 if i == j else 0.0 for j in range(4)] for i in range(4)])
+
+
+@query("mst_heads")
+def mst_heads(spark, d):
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("sid"), F.transform("embedding", lambda x: F.abs(x).cast("double")).alias("probs"))
+    return decoders.tree_heads(e, 8)
