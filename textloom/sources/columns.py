@@ -16,9 +16,9 @@ def conll_line(cols: dict[str, Column]) -> Column:
 def read_columns(spark: SparkSession, path: str, columns: dict[str, int]) -> DataFrame:
     """``path, sid, tid`` and the named columns; short rows give nulls, the last sentence needs no blank line.
 
-    A sentence is a block between blank lines, so blocks are read as records and no order of lines has to be restored.
+    A file is one record, so that no order of lines has to be restored; it must fit in a task, many files are many tasks.
     """
-    blocks = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    blocks = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     sens = blocks.select("path", F.posexplode(F.filter(F.split(F.replace("value", F.lit("\r"), F.lit("")), r"\n[ \t]*\n\s*"), lambda x: F.trim(x) != "")).alias("sid", "block"))
     lines = F.filter(F.split("block", "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("#")))
     rows = sens.select("path", "sid", F.posexplode(lines).alias("tid", "line")).withColumn("f", F.split(F.trim("line"), r"\s+"))
