@@ -257,14 +257,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     # round two: across the components that are left in a leader's group
     # a link across components shares n-grams whose lists hold several components, and as many as shared() says
     known = wanted.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "digest", "n", F.coalesce("component", "rep").alias("comp"))
-    prefixes = first_rows.select("digest", "prefix").join(known.hint("shuffle_hash"), "digest")
-    hits = save(prefixes.select("rep", "comp", "n", F.explode("prefix").alias("token")), "tokens")
-    for _ in range(2):  # the second time among those that the first has left
-        mixed = hits.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.min("rep").alias("leader")).where("a < z").select("token", "leader")
-        hits = hits.drop("leader").join(mixed, "token")
-        enough = hits.groupBy("rep").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= fewest).select("rep")
-        hits = save(hits.join(enough, "rep"), "tokens")
-    known = save(hits.select("leader", "rep", "n", "comp").distinct(), "known")
+    prefixes = first_rows.select("digest", "prefix").join(known.select("digest", "rep", "comp").hint("shuffle_hash"), "digest")
+    hits = prefixes.select("rep", "comp", F.explode("prefix").alias("token"))
+    mixed = hits.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.min("rep").alias("leader")).where("a < z").select("token", "leader")
+    across = save(hits.join(mixed, "token").groupBy("leader", "rep", "comp").agg(F.count("*").alias("c")), "across")
+    enough = across.groupBy("rep").agg(F.sum("c").alias("c")).join(known.select("rep", "n"), "rep").where(F.col("c") >= fewest).select("rep", "n")
+    known = save(across.join(enough, "rep").select("leader", "rep", "n", "comp"), "known")
     open_ = (
         known.groupBy("leader").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("b"))
         .where("a < z").select("leader", "b")
