@@ -11,8 +11,8 @@ over all documents; the ``HEAVY`` most frequent of them are broadcast, all other
 a class as a whole too: one of whose prefix fewer than l n-grams occur in any other prefix links with nothing, and its set is
 never built. The other classes that share an n-gram are routed to the smallest of them, their leader. Round one compares each class with the leader
 that it shares most n-grams with only, which is linear and joins groups of near copies. Round two searches, among the classes that still share enough
-n-grams across components and within each leader's group, all pairs across components, in blocks of bounded size. Tasks return links that join components,
-never all pairs.
+n-grams across components and within each leader's group, all pairs across components, in blocks of bounded size. There it takes one shared n-gram to meet,
+so classes are routed by the first ``n - ceil(n * num / den) + 1`` n-grams only. Tasks return links that join components, never all pairs.
 
 Groups are streamed from sorted partitions, one block in memory at a time. Intermediate results are saved to the shared
 folder. No partner, candidate or list is capped.
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import Forest, binary_views, components, mix64, save, stream_groups, table, word_hashes, words_of
 
-HEAVY = 100_000
-HEAVY_LOCAL = 8
+HEAVY = 500_000
+HEAVY_LOCAL = 2
 CHUNK = 2_000_000
 BLOCK_TOKENS = 2_000_000
 MU = 0.01
@@ -257,12 +257,17 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     # round two: across the components that are left in a leader's group
     # a link across components shares n-grams whose lists hold several components, and as many as shared() says
     known = wanted.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "digest", "n", F.coalesce("component", "rep").alias("comp"))
-    prefixes = first_rows.select("digest", "prefix").join(known.select("digest", "rep", "comp").hint("shuffle_hash"), "digest")
-    hits = prefixes.select("rep", "comp", F.explode("prefix").alias("token"))
-    mixed = hits.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.min("rep").alias("leader")).where("a < z").select("token", "leader")
-    across = save(hits.join(mixed, "token").groupBy("leader", "rep", "comp").agg(F.count("*").alias("c")), "across")
+    prefixes = first_rows.select("digest", "prefix").join(known.select("digest", "rep", "comp", "n").hint("shuffle_hash"), "digest")
+    hits = prefixes.select("rep", "comp", (F.col("n") - F.ceil(F.col("n") * num / den) + 1).alias("short"), F.posexplode("prefix").alias("pos", "token"))
+    hits = hits.select("rep", "comp", "token", (F.col("pos") < F.col("short")).alias("routes"))
+    router = F.when(F.col("routes"), F.col("comp"))
+    mixed = hits.groupBy("token").agg(
+        F.min("comp").alias("a"), F.max("comp").alias("z"), F.min(router).alias("ra"), F.max(router).alias("rz"), F.min("rep").alias("leader")
+    ).where("a < z").select("token", "leader", F.coalesce(F.col("ra") < F.col("rz"), F.lit(False)).alias("open"))
+    across = hits.join(mixed, "token").groupBy("leader", "rep", "comp").agg(F.count("*").alias("c"), F.max(F.col("routes") & F.col("open")).alias("routes"))
+    across = save(across, "across")
     enough = across.groupBy("rep").agg(F.sum("c").alias("c")).join(known.select("rep", "n"), "rep").where(F.col("c") >= fewest).select("rep", "n")
-    known = save(across.join(enough, "rep").select("leader", "rep", "n", "comp"), "known")
+    known = save(across.where("routes").join(enough, "rep").select("leader", "rep", "n", "comp"), "known")
     open_ = (
         known.groupBy("leader").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("b"))
         .where("a < z").select("leader", "b")
