@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import chars
-from .operators import decoders, features, metrics, tags, tokens, trees, vocab
+from .operators import decoders, english, features, metrics, tags, tokens, trees, vocab
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -301,3 +301,8 @@ def viterbi_tags(spark, d):
 def mst_heads(spark, d):
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("sid"), F.transform("embedding", lambda x: F.abs(x).cast("double")).alias("probs"))
     return decoders.tree_heads(e, 8)
+
+
+@query("english_tokens")
+def english_tokens(spark, d):
+    return english.english_tokens(read(spark, d, "documents"))
