@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import chars
-from .operators import decoders, english, features, metrics, tags, tokens, trees, vocab
+from .operators import decoders, english, features, lemmas, metrics, tags, tokens, trees, vocab
+from .sources import columns
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -306,3 +307,73 @@ def mst_heads(spark, d):
 @query("english_tokens")
 def english_tokens(spark, d):
     return english.english_tokens(read(spark, d, "documents"))
+
+
+FORMS = r"""forms AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS form FROM documents),
+    pairs AS (SELECT form, lower(form) AS low, CASE WHEN form LIKE '%ing' THEN 'VBG' WHEN form LIKE '%ed' THEN 'VBD' WHEN form LIKE '%est' THEN 'JJS'
+        WHEN form LIKE '%er' THEN 'JJR' WHEN form LIKE '%s' THEN 'NNS' ELSE 'NN' END AS pos FROM forms)"""
+RULES = ", ".join(f"({10 * i}, '{x}', '{t}', '{s}', {r}, {d})" for i, (x, t, s, r, d) in enumerate(lemmas.SUFFIXES))
+
+
+def forms(spark: SparkSession, d: str) -> DataFrame:
+    """``form, pos``: the distinct words of Latin letters, tagged by their endings."""
+    f = read(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("form")).distinct()
+    pos = F.when(F.endswith("form", F.lit("ing")), "VBG").when(F.endswith("form", F.lit("ed")), "VBD").when(F.endswith("form", F.lit("est")), "JJS")
+    return f.withColumn("pos", pos.when(F.endswith("form", F.lit("er")), "JJR").when(F.endswith("form", F.lit("s")), "NNS").otherwise("NN"))
+
+
+@query("lemmas", f"""WITH {FORMS}, rules AS (SELECT * FROM (VALUES {RULES}) AS r(rank, lexicon, tags, suffix, replacements, twice)),
+    stems AS (SELECT form, pos, rank, replacements, twice, left(low, length(low) - length(suffix)) AS stem FROM pairs JOIN rules ON ends_with(low, suffix) AND lexicon = left(pos, 2) AND contains(tags, pos)),
+    tried AS (SELECT form, pos, rank + i AS rank, stem || replacements[i] AS base FROM stems, generate_series(1, 2) g(i) WHERE i <= len(replacements)
+        UNION ALL SELECT form, pos, rank + 2 + i, left(stem, length(stem) - 1) || replacements[i] FROM stems, generate_series(1, 2) g(i)
+        WHERE i <= len(replacements) AND twice AND length(stem) >= 2 AND right(stem, 1) = substr(stem, length(stem) - 1, 1)),
+    best AS (SELECT form, pos, arg_min(base, rank) AS base FROM tried WHERE base IN (SELECT low FROM pairs) GROUP BY form, pos)
+    SELECT form, pos, coalesce(base, low) AS lemma FROM pairs LEFT JOIN best USING (form, pos)""")
+def lemma_forms(spark, d):
+    f = forms(spark, d)
+    bases = f.select(F.lower("form").alias("base")).distinct().select("base", F.explode(F.array(*map(F.lit, ("VB", "NN", "JJ", "RB")))).alias("lexicon"))
+    return lemmas.lemmas(f, bases).select("form", "pos", "lemma")
+
+
+@query("coarse_tags", f"WITH {FORMS} SELECT CASE left(pos, 2) WHEN 'VB' THEN 'VB' WHEN 'JJ' THEN 'JJ' ELSE 'NN' END AS coarse, count(*) AS n FROM pairs GROUP BY 1")
+def coarse_tags(spark, d):
+    return forms(spark, d).groupBy(lemmas.coarse(F.col("pos")).alias("coarse")).agg(F.count("*").alias("n"))
+
+
+def _flags(c: str) -> str:
+    a, b, ta, tb = f"split_part(p_{c}, '-', 1)", f"split_part({c}, '-', 1)", f"substr(p_{c}, 3)", f"substr({c}, 3)"
+    return f"""({a} || {b} IN ('BB', 'IB', 'OB', 'OI') OR ({b} <> 'O' AND {ta} <> {tb})) AS s_{c},
+        ({a} || {b} IN ('BB', 'BO', 'IB', 'IO') OR ({a} <> 'O' AND {ta} <> {tb})) AS e_{c}"""
+
+
+@query("conll_chunks", f"""WITH {EV}, l AS (SELECT sid, tid, tag AS gold, CASE WHEN event_id % 7 = 0 THEN 'O' ELSE tag END AS pred FROM ev),
+    q AS (SELECT *, coalesce(lag(gold) OVER w, 'O') AS p_gold, coalesce(lag(pred) OVER w, 'O') AS p_pred FROM l WINDOW w AS (PARTITION BY sid ORDER BY tid)),
+    f AS (SELECT *, {_flags("gold")}, {_flags("pred")} FROM q),
+    e AS (SELECT *, coalesce(min(CASE WHEN e_gold THEN tid END) OVER v, -1) AS z_gold, coalesce(min(CASE WHEN e_pred THEN tid END) OVER v, -1) AS z_pred FROM f
+        WINDOW v AS (PARTITION BY sid ORDER BY tid ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+    k AS (SELECT substr(gold, 3) AS type, 1 AS g, 0 AS p, CAST(s_pred AND gold[3:] = pred[3:] AND z_gold = z_pred AS INT) AS k FROM e WHERE s_gold
+        UNION ALL SELECT substr(pred, 3), 0, 1, 0 FROM e WHERE s_pred), t AS (SELECT * FROM k UNION ALL SELECT '*', g, p, k FROM k),
+    n AS (SELECT type, CAST(sum(g) AS BIGINT) AS gold, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(k) AS BIGINT) AS correct FROM t GROUP BY type)
+    SELECT type, gold, predicted, correct, round(coalesce(100.0 * correct / nullif(predicted, 0), 0), 2)::DOUBLE AS "precision", round(coalesce(100.0 * correct / nullif(gold, 0), 0), 2)::DOUBLE AS recall,
+        round(coalesce(200.0 * correct / nullif(gold + predicted, 0), 0), 2)::DOUBLE AS f1 FROM n""")
+def conll_chunks(spark, d):
+    t = tagged(spark, d).select("sid", "tid", F.col("tag").alias("gold"), F.when(F.col("event_id") % 7 == 0, "O").otherwise(F.col("tag")).alias("pred"))
+    return metrics.conll_chunks(t)
+
+
+@query("edge_scores", f"""WITH {EV}, a AS (SELECT sid, tid AS dep, tid // 2 AS head, event_type AS rel, tid // (CASE WHEN event_id % 7 = 0 THEN 3 ELSE 2 END) AS ph,
+        CASE WHEN event_id % 11 = 0 THEN 'x' ELSE event_type END AS pr FROM ev),
+    n AS (SELECT false AS labeled, count(*) AS n, count(*) FILTER (head = ph) AS correct FROM a UNION ALL SELECT true, count(*), count(*) FILTER (head = ph AND rel = pr) FROM a)
+    SELECT labeled, correct, n AS predicted, n AS gold, round(correct / n, 6) AS "precision", round(correct / n, 6) AS recall, round(correct / n, 6) AS f1 FROM n""")
+def edge_scores(spark, d):
+    t = tagged(spark, d).select("sid", F.col("tid").alias("dep"), F.floor(F.col("tid") / 2).alias("head"), F.col("event_type").alias("rel"), "event_id")
+    pred = t.withColumns({
+        "head": F.when(F.col("event_id") % 7 == 0, F.floor(F.col("dep") / 3)).otherwise(F.col("head")), "rel": F.when(F.col("event_id") % 11 == 0, "x").otherwise(F.col("rel")),
+    })
+    return metrics.edge_scores(t, pred)
+
+
+@query("model_split", "SELECT doc_id, CASE WHEN doc_id < n * 9999 // 10000 THEN 'train' WHEN doc_id < n * 99995 // 100000 THEN 'valid' ELSE 'test' END AS part FROM documents, (SELECT count(*) AS n FROM documents)")
+def model_split(spark, d):
+    rows = read(spark, d, "documents").select("doc_id")  # ids are dense from 0
+    return rows.select("doc_id", columns.model_split(F.col("doc_id"), rows.count()).alias("part"))

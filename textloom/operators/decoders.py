@@ -58,3 +58,89 @@ def tree_heads(arcs: DataFrame, n: int) -> DataFrame:
                 yield pd.DataFrame({"sid": np.repeat(b["sid"].to_numpy(), n), "dep": np.tile(np.arange(n), len(b)), "head": np.concatenate(heads)})
 
     return arcs.mapInPandas(run, "sid long, dep int, head int")
+
+
+def log_partition(scores: np.ndarray, transitions: np.ndarray, start: np.ndarray, stop: np.ndarray) -> float:
+    """Log of the summed weight of all tag paths; ``transitions[to, from]``, weights into the first and out of the last tag."""
+    a = start + scores[0]
+    for s in scores[1:]:
+        a = s + np.logaddexp.reduce(transitions + a[None], axis=1)
+    return float(np.logaddexp.reduce(a + stop))
+
+
+def path_loss(scores: np.ndarray, tags: np.ndarray, transitions: np.ndarray, start: np.ndarray, stop: np.ndarray) -> float:
+    """Negative log-likelihood of one tag path."""
+    own = start[tags[0]] + scores[np.arange(len(tags)), tags].sum() + transitions[tags[1:], tags[:-1]].sum() + stop[tags[-1]]
+    return log_partition(scores, transitions, start, stop) - float(own)
+
+
+def single_root(p: np.ndarray, best: np.ndarray, root: int, rows: np.ndarray, others: np.ndarray) -> None:
+    """Make exactly one of ``rows`` choose ``root``, at the least loss of probability; changes ``best`` and ``p``."""
+    chosen = rows[best[rows] == root]
+    if not len(rows):
+        return
+    if not len(chosen):
+        best[rows[(p[rows, root] / p[rows, best[rows]]).argmax()]] = root
+    elif len(chosen) > 1:
+        was = p[chosen, root].copy()
+        p[chosen, root] = 0
+        best[chosen] = others[p[np.ix_(chosen, others)].argmax(axis=1)]
+        best[chosen[(p[chosen, best[chosen]] / was).argmin()]] = root
+
+
+def cycle_of(head: np.ndarray, seen: set[int]) -> list[int]:
+    """A cycle in the heads through no node of ``seen``, sorted; each node walked joins ``seen``."""
+    for first in range(1, len(head)):
+        path, x = [], first
+        while x and x not in seen:
+            seen.add(x)
+            path.append(x)
+            x = int(head[x])
+        if x in path:
+            return sorted(path[path.index(x) :])
+    return []
+
+
+def repaired_heads(probs: np.ndarray) -> np.ndarray:
+    """Likeliest heads with one root and no cycle; ``probs[dependent, head]``, node 0 is the root.
+
+    Cycles are broken in the order of a walk from node 1 on, each at the arc that loses least against a head outside of
+    what hangs below the cycle. Node 0 keeps head 0; a cycle without any other head but the root's child goes under it.
+    """
+    p = probs * (1 - np.eye(len(probs)))
+    tokens = np.arange(1, len(p))
+    head = p.argmax(axis=1)
+    head[0] = 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        single_root(p, head, 0, tokens, tokens)
+        seen: set[int] = set()
+        while cycle := cycle_of(head, seen):
+            below = set(cycle)
+            while more := [int(x) for x in tokens if int(head[x]) in below and int(x) not in below]:
+                below.update(more)
+            free = np.array([x for x in tokens if int(x) not in below])
+            new = free[p[np.ix_(cycle, free)].argmax(axis=1)]
+            at = int(np.nan_to_num(p[cycle, new] / p[cycle, head[cycle]]).argmax())
+            head[cycle[at]] = new[at]
+    return head
+
+
+def relations(probs: np.ndarray, root: int, pad: int) -> np.ndarray:
+    """Likeliest relations of nodes 1.., never ``pad``, exactly one of them ``root``; node 0 takes its own likeliest."""
+    p = probs.astype(float).copy()
+    p[:, pad] = 0
+    best = p.argmax(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        single_root(p, best, root, np.arange(1, len(p)), np.arange(p.shape[1]))
+    return best
+
+
+def repaired_tree(arcs: DataFrame) -> DataFrame:
+    """``sid, dep, head`` from rows ``sid, n, probs`` (n x n, row by row: dependent, head); one row is one sentence."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for sid, n, x in zip(b["sid"], b["n"], b["probs"], strict=True):
+                yield pd.DataFrame({"sid": sid, "dep": np.arange(n), "head": repaired_heads(np.array(x, float).reshape(n, n))})
+
+    return arcs.mapInPandas(run, "sid long, dep int, head int")

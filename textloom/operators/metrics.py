@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,44 @@ def attachment(df: DataFrame, score_punctuation: bool = False) -> DataFrame:
     h, r = F.col("head") == F.col("p_head"), F.col("rel") == F.col("p_rel")
     n = F.count("*")
     return kept.agg(ratio(F.count_if(h), n).alias("uas"), ratio(F.count_if(h & r), n).alias("las"), ratio(F.count_if(r), n).alias("label_accuracy"))
+
+
+def conll_chunks(df: DataFrame) -> DataFrame:
+    """``type, gold, predicted, correct, precision, recall, f1`` (percent) of rows sid, tid, gold, pred; type ``*`` is all.
+
+    Here a B after E of the same type opens no chunk, and S is seen only where the type changes: not the boundaries of
+    ``tags.chunks``. A chunk is correct if both begin together with one type and both end together.
+    """
+    w = Window.partitionBy("sid").orderBy("tid")
+    later = w.rowsBetween(1, Window.unboundedFollowing)
+    out = df
+    for c in ("gold", "pred"):
+        cur, prev = F.col(c), F.coalesce(F.lag(c).over(w), F.lit("O"))
+        a, b = F.regexp_extract(prev, "^[^-]*", 0), F.regexp_extract(cur, "^[^-]*", 0)
+        ta, tb = F.regexp_extract(prev, "^[^-]*-(.*)$", 1), F.regexp_extract(cur, "^[^-]*-(.*)$", 1)
+        starts = F.concat(a, b).isin("BB", "IB", "OB", "OI", "EE", "EI", "OE") | (~b.isin("O", ".") & (ta != tb)) | b.isin("[", "]")
+        ends = F.concat(a, b).isin("BB", "BO", "IB", "IO", "EE", "EI", "EO") | (~a.isin("O", ".") & (ta != tb)) | a.isin("[", "]")
+        out = out.withColumns({f"{c}_starts": starts, f"{c}_ends": ends, f"{c}_type": tb})
+    for c in ("gold", "pred"):
+        out = out.withColumn(f"{c}_end", F.coalesce(F.min(F.when(F.col(f"{c}_ends"), F.col("tid"))).over(later), F.lit(-1)))
+    both = F.col("gold_starts") & F.col("pred_starts") & (F.col("gold_type") == F.col("pred_type")) & (F.col("gold_end") == F.col("pred_end"))
+    g, p, k = F.col("gold_starts").cast("long"), F.col("pred_starts").cast("long"), both.cast("long")
+    one = lambda kind, g, p, k: F.struct(kind.alias("type"), g.alias("g"), p.alias("p"), k.alias("k"))
+    zero = F.lit(0).cast("long")
+    rows = out.where("gold_starts or pred_starts").select(F.inline(F.array(one(F.lit("*"), g, p, k), one(F.col("gold_type"), g, zero, k), one(F.col("pred_type"), zero, p, zero))))
+    s = rows.groupBy("type").agg(F.sum("g").alias("gold"), F.sum("p").alias("predicted"), F.sum("k").alias("correct")).where("gold + predicted > 0")
+    percent = lambda a, b: F.round(F.coalesce(F.try_divide(100.0 * a, b), F.lit(0.0)), 2)
+    return s.select(
+        "type", "gold", "predicted", "correct", percent(F.col("correct"), F.col("predicted")).alias("precision"),
+        percent(F.col("correct"), F.col("gold")).alias("recall"), percent(2 * F.col("correct"), F.col("gold") + F.col("predicted")).alias("f1"),
+    )
+
+
+def edge_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """``labeled`` and the scores of edge sets sid, dep, head, rel, without and with the relation."""
+    bare, full = ["sid", "dep", "head"], ["sid", "dep", "head", "rel"]
+    return set_f1(gold, pred, bare).withColumn("labeled", F.lit(False)).unionByName(set_f1(gold, pred, full).withColumn("labeled", F.lit(True)))
+
+
+def perplexity(loss: Column) -> Column:
+    return F.when(loss > 100, F.lit(float("nan"))).otherwise(F.exp(loss))

@@ -13,16 +13,72 @@ def conll_line(cols: dict[str, Column]) -> Column:
     return F.concat_ws("\t", *[F.coalesce(cols[f].cast("string"), F.lit("_")) if f in cols else F.lit("_") for f in FIELDS])
 
 
-def read_columns(spark: SparkSession, path: str, columns: dict[str, int]) -> DataFrame:
-    """``path, sid, tid`` and the named columns; short rows give nulls, the last sentence needs no blank line.
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``path, sid, tid, f``: the fields of each line; the last sentence needs no blank line.
 
     A file is one record, so that no order of lines has to be restored; it must fit in a task, many files are many tasks.
     """
     blocks = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     sens = blocks.select("path", F.posexplode(F.filter(F.split(F.replace("value", F.lit("\r"), F.lit("")), r"\n[ \t]*\n\s*"), lambda x: F.trim(x) != "")).alias("sid", "block"))
     lines = F.filter(F.split("block", "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("#")))
-    rows = sens.select("path", "sid", F.posexplode(lines).alias("tid", "line")).withColumn("f", F.split(F.trim("line"), r"\s+"))
-    return rows.select("path", "sid", "tid", *[F.get("f", F.lit(i)).alias(k) for k, i in columns.items()])
+    return sens.select("path", "sid", F.posexplode(lines).alias("tid", "line")).select("path", "sid", "tid", F.split(F.trim("line"), r"\s+").alias("f"))
+
+
+def read_columns(spark: SparkSession, path: str, columns: dict[str, int]) -> DataFrame:
+    """``path, sid, tid`` and the named columns; short rows give nulls."""
+    return read_rows(spark, path).select("path", "sid", "tid", *[F.get("f", F.lit(i)).alias(k) for k, i in columns.items()])
+
+
+def read_dependencies(spark: SparkSession, path: str) -> DataFrame:
+    """``path, sid, tid, form, pos, head, rel`` of rows of eight or ten columns, told apart line by line."""
+    rows, at = read_rows(spark, path), F.when(F.size("f") >= 10, F.lit(6)).otherwise(F.lit(5))
+    return rows.select(
+        "path", "sid", "tid", F.get("f", F.lit(1)).alias("form"), F.get("f", F.lit(3)).alias("pos"),
+        F.get("f", at).try_cast("int").alias("head"), F.get("f", at + 1).alias("rel"),
+    )
+
+
+def eight_to_ten(fields: Column) -> Column:
+    """A ten-column row from the fields of an eight-column one, whose head and relation move by one column."""
+    own = [F.coalesce(F.get(fields, F.lit(i)), F.lit("_")) for i in range(7)]
+    return F.concat_ws("\t", *own[:5], F.lit("_"), own[5], own[6], F.lit("_"), F.lit("_"))
+
+
+def read_semantic_edges(spark: SparkSession, path: str) -> DataFrame:
+    """``path, sid, dep, head, rel``: one row per edge of eight-column rows, more edges as ``head:rel|head:rel`` in the last."""
+    rows = read_rows(spark, path)
+    more = F.when(F.get("f", F.lit(7)) != "_", F.split(F.get("f", F.lit(7)), r"\|")).otherwise(F.array().cast("array<string>"))
+    extra = F.transform(more, lambda x: F.struct(F.substring_index(x, ":", 1).try_cast("int").alias("head"), F.regexp_extract(x, "^[^:]*:(.*)$", 1).alias("rel")))
+    first = F.array(F.struct(F.get("f", F.lit(5)).try_cast("int").alias("head"), F.get("f", F.lit(6)).alias("rel")))
+    edges = rows.select("path", "sid", (F.col("tid") + 1).alias("dep"), F.inline(F.concat(first, F.coalesce(extra, F.array().cast("array<struct<head:int,rel:string>>")))))
+    return edges.where("head is not null").distinct()
+
+
+def labelled_text(line: Column) -> Column:
+    """(labels, text) of ``__label__a __label__b text``; null where either is empty."""
+    marks = F.regexp_extract(line, r"^\s*((?:__label__\S+\s+)*)", 1)
+    labels = F.transform(F.regexp_extract_all(marks, F.lit(r"__label__(\S+)"), 1), lambda x: x)
+    text = F.trim(F.regexp_replace(line, r"^\s*(?:__label__\S+\s+)*", ""))
+    return F.when((F.size(labels) > 0) & (text != ""), F.struct(labels.alias("labels"), text.alias("text")))
+
+
+def read_documents_json(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """``path, doc_id, sid, tid, tok`` and the tag column ``key`` as gold, from lists of documents with ``sens``."""
+    docs = spark.read.json(path, multiLine=True).select(F.col("_metadata.file_path").alias("path"), "doc_id", F.posexplode("sens").alias("sid", "s"))
+    pairs = F.arrays_zip(F.col("s.tok").alias("tok"), F.col(f"s.{key}").alias(f"{key}_gold"))
+    return docs.select("path", "doc_id", "sid", F.posexplode(pairs).alias("tid", "x")).select("path", "doc_id", "sid", "tid", "x.*")
+
+
+def read_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """``word, vector`` of lines with a word and ``dim`` numbers; a header and lines of other lengths are skipped."""
+    f = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).select(f.alias("f")).where(F.size("f") == dim + 1)
+    return rows.select(F.get("f", F.lit(0)).alias("word"), F.transform(F.slice("f", 2, dim), lambda x: x.cast("double")).alias("vector"))
+
+
+def model_split(index: Column, n: int) -> Column:
+    """The part of a line by its place from 0 among n: train, valid and test at 0.9999 and 0.99995 of the lines."""
+    return F.when(index < n * 9999 // 10000, "train").when(index < n * 99995 // 100000, "valid").otherwise("test")
 
 
 def read_conll_u(spark: SparkSession, path: str) -> DataFrame:
