@@ -52,7 +52,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     gc.collect()
     jvm.System.gc()  # the cleaner then drops the shuffle files of what has been written
-    return spark.read.schema(df.schema).parquet(path)
+    saved = spark.read.schema(df.schema).parquet(path)
+    saved.saved_at = where
+    return saved
+
+
+def discard(saved: DataFrame) -> None:
+    """Delete the files of ``save``'s result; everything that reads them must have been saved or collected."""
+    spark = saved.sparkSession
+    saved.saved_at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(saved.saved_at, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -7,7 +7,7 @@ documents that occur in at least T - L short ones.
 
 Distribution. Equal sets become one class first. By the prefix principle two sets that link share at least l of their
 first ``n - ceil(n * num / den) + l`` n-grams in any fixed order; rare ones come first here (frequent n-grams are counted
-over all documents; the ``HEAVY`` most frequent of them are broadcast, all others count as rare). The threshold applies to
+over all documents; those whose count is in the top steps that hold at most ``HEAVY`` are broadcast, all others count as rare). The threshold applies to
 a class as a whole too: one of whose prefix fewer than l n-grams occur in any other prefix links with nothing, and its set is
 never built. The other classes that share an n-gram are routed to the smallest of them, their leader. Round one compares each class with the leader
 that it shares most n-grams with only, which is linear and joins groups of near copies. Round two searches, among the classes that still share enough
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, binary_views, components, mix64, save, stream_groups, table, word_hashes, words_of
+from .common import Forest, binary_views, components, discard, mix64, save, stream_groups, table, word_hashes, words_of
 
 HEAVY = 500_000
 HEAVY_LOCAL = 2
@@ -80,11 +80,20 @@ def heavy_hitters(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield flush()
 
-    found = texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "token").limit(HEAVY).toPandas()  # bounds the table of the order, not the search
-    token = top["token"].to_numpy(np.int64).view(np.uint64)
+    found = save(texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+    step = F.floor(F.log2("n") * 16).cast("int")  # at most 1,024 steps, so that no task or driver orders all counts
+    sizes = sorted((r["step"], r["m"]) for r in found.groupBy(step.alias("step")).agg(F.count("*").alias("m")).collect())
+    least, room = 1024, HEAVY
+    for at, m in reversed(sizes):
+        room -= m
+        if room < 0:
+            break
+        least = at
+    top = found.where(step >= least).toArrow()  # at most HEAVY rows; bounds the table of the order, not the search
+    discard(found)
+    token, n = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
     at = np.argsort(token)
-    return token[at], top["n"].to_numpy(np.int64)[at]
+    return token[at], n[at]
 
 
 def prefix(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
@@ -254,6 +263,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     first = save(dealt.mapInArrow(star_links(num, den), LINKS), "star")
     comp = save(components(first), "comp")
 
+    discard(met)
+
     # round two: across the components that are left in a leader's group
     # a link across components shares n-grams whose lists hold several components, and as many as shared() says
     known = wanted.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "digest", "n", F.coalesce("component", "rep").alias("comp"))
