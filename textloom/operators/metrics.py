@@ -49,7 +49,7 @@ def conll_chunks(df: DataFrame) -> DataFrame:
     ``tags.chunks``. A chunk is correct if both begin together with one type and both end together.
     """
     w = Window.partitionBy("sid").orderBy("tid")
-    later = w.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("sid").orderBy(F.desc("tid")).rowsBetween(Window.unboundedPreceding, -1)  # backwards, so that the frame only grows
     out = df
     for c in ("gold", "pred"):
         cur, prev = F.col(c), F.coalesce(F.lag(c).over(w), F.lit("O"))
