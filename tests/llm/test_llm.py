@@ -193,6 +193,18 @@ def test_lm_base_against_brute_force(spark):
         assert got[i].score < 0
 
 
+def test_lm_score_is_the_attention_models_own(spark):
+    texts = [prose(i, 30) for i in range(12)] + [prose(0, 90), "", "Unseen wörds here"]
+    df = docs(spark, *texts).select("doc_id", "text")
+    counts, model = op9_lm.fit(df.where("doc_id < 12"))
+    got = {r.doc_id: r.score for r in op9_lm.score(df, counts, model).collect()}
+    w = op9_lm.Words()
+    for i, t in enumerate(texts):
+        ids = [x for word in t.encode().lower().split() for x in w.encoder.encode_ordinary(" " + word.decode())] + [op9_lm.END]
+        own = op9_lm.score_chunk(model, np.array([op9_lm.END, *ids]), np.array([len(ids)])).astype(float).sum() / np.log(10)
+        assert got[i] == pytest.approx(own, rel=1e-4)
+
+
 def test_lm_windows_score_each_position_once_and_sum_to_one():
     model = op9_lm.train([], np.ones(op9_lm.IDS, int), np.zeros(op9_lm.IDS, bool))
     z = model.forward(np.array([[1, 2, 3]]))
