@@ -205,6 +205,42 @@ def test_lm_score_is_the_attention_models_own(spark):
         assert got[i] == pytest.approx(own, rel=1e-4)
 
 
+def test_lm_learns_from_every_text(spark, monkeypatch):
+    monkeypatch.setattr(op9_lm, "SAMPLE", 1)
+    texts = [None, "", *["north again toward home " * 30 for _ in range(150)], prose(3, 3000)]
+    df = docs(spark, *texts).select("doc_id", "text")
+    counts, model = op9_lm.fit(df)
+    assert model.seen == counts.ids.sum() > 15_000  # each id of each text once, whatever the sample
+    w = op9_lm.Words()
+    _, _, own, flat = op9_lm.lay(w, [texts[2]])
+    before = op9_lm.train([np.array([op9_lm.END])], counts.ids, op9_lm.begin_flags())
+    gain = op9_lm.score_chunk(model, flat, own + 1).sum() - op9_lm.score_chunk(before, flat, own + 1).sum()
+    assert gain / own[0] > 0.3
+
+
+def test_lm_gradient_against_differences():
+    rng = np.random.default_rng(4)
+    m = op9_lm.train([], np.ones(op9_lm.IDS, int), np.zeros(op9_lm.IDS, bool))
+    m.p = {k: v.astype(float) for k, v in m.p.items()}
+    x, real = rng.integers(0, 9, (3, 14)), np.arange(2)[None] < np.array([[2], [1], [2]])
+    y = m.own[rng.integers(0, 9, (3, 2))]
+    g, ids = m.gradient(x, y, real, 12)
+
+    def loss():
+        z = m.forward(x, 12)
+        z = z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
+        return -(np.take_along_axis(z, y[..., None], -1)[..., 0] * real).sum() / real.sum()
+
+    for k, at, mine in [("qkv", (2, 5), g["qkv"][2, 5]), ("qkv", (2, 20), g["qkv"][2, 20]), ("out", (1, 3), g["out"][1, 3]), ("logit", (4, y[0, 0]), g["logit"][4, y[0, 0]]), ("place", (3, 1), g["place"][3, 1]), ("embed", (ids[1], 6), g["embed"][1, 6])]:
+        old = m.p[k][at]
+        m.p[k][at] = old + 1e-4
+        more = loss()
+        m.p[k][at] = old - 1e-4
+        less = loss()
+        m.p[k][at] = old
+        assert mine == pytest.approx((more - less) / 2e-4, abs=2e-5, rel=2e-3)
+
+
 def test_lm_windows_score_each_position_once_and_sum_to_one():
     model = op9_lm.train([], np.ones(op9_lm.IDS, int), np.zeros(op9_lm.IDS, bool))
     z = model.forward(np.array([[1, 2, 3]]))
