@@ -298,6 +298,21 @@ def test_language(spark):
     assert op10_language.identify(test, op10_language.fit(df.limit(0)), "doc_id").where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_rejects_what_was_not_learned(spark):
+    german = "der die und nicht mit von auch eine wird ist sich auf das dem den".split()
+    rng = np.random.default_rng(8)
+    texts = [(prose(i, 60), "en") if i % 2 else (" ".join(rng.choice(german, 60)), "de") for i in range(240)]
+    texts[10], texts[11] = ("xq", "de"), ("zzkx", "en")  # one odd text of each doesn't switch rejection off
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(texts)], "doc_id long, text string, lang string")
+    model = op10_language.fit(df)
+    assert all(0.02 <= v.min() and v.max() < 1 for v in model.least.values())
+    assert model.least["en"][8] > 2 * model.least["en"][1]  # short texts have their own
+    foreign = ["Быстрая коричневая лиса прыгает через ленивую собаку, и никто не знает почему это происходит каждый день.", "敏捷的棕色狐狸跳过了懒狗没有人知道为什么这件事每天都在森林里发生" * 2, "a" * 60, "Nopea ruskea kettu hyppää laiskan koiran yli, eikä kukaan tiedä miksi tämä tapahtuu."]
+    test = docs(spark, *foreign, prose(7777, 50), prose(7778, 2), "und nicht auch der die das", prose(3, 3000))
+    got = {r.doc_id: r.rejected for r in op10_language.identify(test, model, "doc_id", "text").collect()}
+    assert [got[i] for i in range(8)] == [True] * 4 + [False] * 4
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
