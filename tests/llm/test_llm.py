@@ -144,6 +144,20 @@ def test_decontamination(spark):
     assert not op7_decontaminate.mark(docs(spark, *texts), bench.limit(0)).where("contaminated").count()
 
 
+def test_decontamination_masks_reach_every_substitution(spark):
+    from itertools import combinations
+
+    window, masks = op7_decontaminate.WINDOW, op7_decontaminate.MASKS
+    used = [{t + i for i, x in enumerate(m) if x == "1"} for m in masks for t in range(window - len(m) + 1)]
+    gone = [set(c) for n in range(op7_decontaminate.ALLOWED + 1) for c in combinations(range(window), n)]
+    assert len(gone) == 92 and all(any(not u & c for u in used) for c in gone)
+    item = [f"word{i}" for i in range(window)]
+    texts = [" ".join(f"other{i}" if i in c else w for i, w in enumerate(item)) for c in gone]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = op7_decontaminate.mark(docs(spark, *texts, " ".join(["x", "y", "z", *item[3:]])), bench)
+    assert {r.doc_id for r in got.where("contaminated").collect()} == set(range(92))
+
+
 def test_packing_is_whole_and_tight(spark):
     from tokenizers import Tokenizer
 

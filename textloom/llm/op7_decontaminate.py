@@ -1,6 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks ignore some token positions of a window, so a window that differs there still hashes alike. Window hashes of
+Fixed masks ignore some token positions of a window, so a window that differs there still hashes alike. The masks are
+chosen so that each choice of at most ``ALLOWED`` of ``WINDOW`` positions is ignored by some mask at some shift; hence every
+overlap that would pass the verification has a hit. Window hashes of
 the benchmark are joined with those of all documents; around every hit the document and the item are laid over each
 other on the hit's diagonal, and the overlap counts if some run of ``WINDOW`` aligned tokens has at most the allowed
 number of substitutions. Native: HOFs and joins only.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import save, table
 
-MASKS = ("110110100111", "111001011011")
+MASKS = ("110101111", "11100110011", "1110110000011")
 WINDOW = 13
 ALLOWED = 2
 BROADCAST_ROWS = 1_000_000
