@@ -177,6 +177,18 @@ def test_packing_is_whole_and_tight(spark):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 256) + 1
 
 
+def test_packing_keeps_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "a  <|endoftext|>  b", "<|endoftext|><|endoftext|>", "x <|endoftext|>", "a<|endoftext|", "\n\n<|endoftext|>\n It's 12 ünï"]
+    for r in op8_packing.pieces(docs(spark, *texts)).collect():
+        ids = np.array([*tk.encode(texts[r.doc_id], add_special_tokens=False).ids, 2], "<u4")
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_solver_holds_every_piece():
     h = {int(n): int(c) for n, c in zip(*np.unique(np.random.default_rng(5).integers(1, 101, 5000), return_counts=True), strict=True)}
     out = op8_packing.solve(h, 100, 60)

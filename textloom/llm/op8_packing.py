@@ -10,7 +10,7 @@ Ranks need no global order: each length is dealt into buckets of about ``BUCKET`
 offset by the bucket counts. The slot table has a row for each configuration and length in it, at most some thousands,
 whatever the number of documents; it is broadcast.
 
-Tokens are those of the public byte-level BPE vocabulary with its special strings as ordinary text, then an end id.
+Tokens are those of the public byte-level BPE vocabulary, its added tokens where a text holds them, then an end id.
 tiktoken reads the same vocabulary as ranks and gives the same ids as tokenizers, several times as fast.
 
 Cases: null text is empty, a piece with the end id only; repeated rows are packed each; ties of length are
@@ -39,6 +39,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def encoder(path: str | None = None):
     """The byte-level BPE of the public vocabulary; one for each process."""
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
@@ -47,7 +48,9 @@ def encoder(path: str | None = None):
     if path not in _ENCODERS:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("textloom", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+            added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        _ENCODERS[path] = tiktoken.Encoding("textloom", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return _ENCODERS[path]
 
 
@@ -68,7 +71,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.array([*enc.encode_ordinary(t.as_py() or ""), end_id], dtype="<u4")
+                ids = np.array([*enc.encode(t.as_py() or "", allowed_special="all"), end_id], dtype="<u4")
                 for k, (s, n) in enumerate(cut(len(ids), capacity)):
                     for c, v in zip(out, (i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())), strict=True):
                         c.append(v)
