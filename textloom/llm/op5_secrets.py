@@ -1,7 +1,7 @@
 """Secret scans: an incremental blob ledger.
 
 Every version of every path is addressed by its content. Blobs that the ledger has not seen under a rule's version are
-scanned once, whatever number of paths hold them, and findings are joined back to all paths. Native: hashes and ids
+scanned once under the rules that they lack, whatever number of paths hold them, and findings are joined back to all paths. Native: hashes and ids
 travel first, and only the text of one path for each unseen blob is shuffled; findings return by content hash.
 
 Spans are code points, end exclusive. They come from the pieces between a rule's matches, so each text is split once for
@@ -68,8 +68,15 @@ def spans_of(text: Column, no: int, rule: SecretRule) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """``blob, kind_no, spans`` for each rule; ``blobs`` has ``blob`` and ``text``."""
-    found = F.array(*[F.struct(F.lit(i).alias("kind_no"), F.lit(r.version).alias("version"), spans_of(F.col("text"), i, r).alias("spans")) for i, r in enumerate(rules)])
+    """``blob, kind_no, spans`` for each rule; ``blobs`` has ``blob`` and ``text``, and may have ``missing``, the numbers of
+    the only rules to look for."""
+    some = "missing" in blobs.columns
+
+    def spans(i: int, r: SecretRule) -> Column:
+        own = spans_of(F.col("text"), i, r)
+        return F.when(F.array_contains("missing", i), own).otherwise(F.expr(f"cast(array() as {SPAN})")) if some else own
+
+    found = F.array(*[F.struct(F.lit(i).alias("kind_no"), F.lit(r.version).alias("version"), spans(i, r).alias("spans")) for i, r in enumerate(rules)])
     return blobs.select("blob", F.inline(found))
 
 
@@ -86,26 +93,34 @@ def scan(paths: DataFrame, path: str = "path", text: str = "text", ledger: DataF
     all_paths = address(paths, path, text)
     light = all_paths.select("path", "blob")
     one = light.groupBy("blob").agg(F.min(F.struct(F.col("path").isNull().alias("none"), F.col("path"))).alias("p"))
-    names = F.array(*[F.lit(r.kind) for r in rules])
-    wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-    if ledger is not None:
-        known = ledger.join(F.broadcast(_rule_rows(ledger.sparkSession, rules)), ["kind", "version"], "left_semi")
-        done = known.groupBy("blob").agg(F.count_distinct("kind").alias("n"))
-        one = one.join(done.where(F.col("n") == len(rules)).select("blob"), "blob", "left_anti")
+    names, versions = F.array(*[F.lit(r.kind) for r in rules]), F.array(*[F.lit(r.version) for r in rules])
     todo = one.select("blob", F.col("p.path").alias("rep"))
-    unseen = (
-        all_paths.join(todo.hint("shuffle_hash"), (all_paths["blob"] == todo["blob"]) & all_paths["path"].eqNullSafe(todo["rep"]), "left_semi")
-        .select("blob", "text")
-    )
+    numbers = F.array(*[F.lit(i) for i in range(len(rules))])
+    if ledger is not None:
+        known = ledger.join(F.broadcast(_rule_rows(ledger.sparkSession, rules)), ["kind", "version"])
+        done = known.groupBy("blob").agg(F.collect_set("no").alias("done"))
+        missing = F.when(F.col("done").isNull(), numbers).otherwise(F.array_except(numbers, "done"))
+        todo = todo.join(done, "blob", "left").select("blob", "rep", missing.alias("missing")).where(F.size("missing") > 0)
+    if ledger is None:
+        same = (all_paths["blob"] == todo["blob"]) & all_paths["path"].eqNullSafe(todo["rep"])
+        unseen = all_paths.join(todo.hint("shuffle_hash"), same, "left_semi").select("blob", "text")
+    else:
+        lacking = todo.withColumnRenamed("blob", "of")
+        same = (F.col("blob") == F.col("of")) & F.col("path").eqNullSafe(F.col("rep"))
+        unseen = all_paths.join(lacking.hint("shuffle_hash"), same).select("blob", "text", "missing")
     fresh = scan_blobs(unseen, rules).where(F.size("spans") > 0)
     per_blob = fresh.groupBy("blob", "kind_no", "version").agg(F.first("spans").alias("spans"))
     new = per_blob.select("blob", names[F.col("kind_no")].alias("kind"), "version", "spans")
     if ledger is not None:
         new = ledger.select("blob", "kind", "version", "spans").unionByName(new)
     # blobs without a finding are noted too, or they would be scanned again
+    wanted = F.transform("missing" if ledger is not None else numbers, lambda i: F.struct(names[i].alias("kind"), versions[i].alias("version")))
     noted = todo.select("blob", F.inline(wanted)).join(new.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
     after = new.unionByName(noted.withColumn("spans", F.expr(f"cast(array() as {SPAN})")))
-    current = new.where(F.size("spans") > 0).join(F.broadcast(_rule_rows(paths.sparkSession, rules)), ["kind", "version"], "left_semi")
+    current = new.where(F.size("spans") > 0).join(F.broadcast(_rule_rows(paths.sparkSession, rules)), ["kind", "version"])
+    if ledger is not None:  # its numbers are those of the rules of that time
+        numbered = F.transform("spans", lambda x: F.struct(x["begin"].alias("begin"), F.col("no").alias("kind_no"), x["end"].alias("end")))
+        current = current.withColumn("spans", numbered)
     all_spans = current.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
     found = light.join(all_spans, "blob", "left").select("path", "blob", F.coalesce("spans", F.expr(f"cast(array() as {SPAN})")).alias("spans"))
     return found, after
@@ -113,7 +128,7 @@ def scan(paths: DataFrame, path: str = "path", text: str = "text", ledger: DataF
 
 def _rule_rows(spark: SparkSession, rules: tuple[SecretRule, ...]) -> DataFrame:
     """As many rows as there are rules."""
-    return spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
+    return spark.createDataFrame([(r.kind, r.version, i) for i, r in enumerate(rules)], "kind string, version int, no int")
 
 
 def told(spans: Column, rules: tuple[SecretRule, ...] = RULES) -> Column:
