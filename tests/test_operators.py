@@ -133,3 +133,10 @@ def test_characters(spark):
     df = spark.createDataFrame([("?!",), ("a",), ("–",), ("",)], "c string")
     got = df.select(chars.is_class(F.col("c"), "final_mark"), chars.is_class(F.col("c"), "hyphen"), chars.is_class(F.col("c"), "punct")).collect()
     assert [tuple(r) for r in got] == [(True, False, True), (False, False, False), (False, True, False), (False, False, True)]
+
+
+def test_ancestors_of_a_deep_tree(spark):
+    n = 67
+    t = spark.range(1, n + 1).select(F.lit(1).alias("tree_id"), F.col("id").alias("node_id"), (F.col("id") - 1).alias("parent_id")).coalesce(1)
+    pairs = spark.createDataFrame([(1, n, 1), (1, n, 2)], "tree_id int, a long, b long")
+    assert rows(trees.lowest_common(t, pairs)) == [(1, n, 1, 1), (1, n, 2, 2)]

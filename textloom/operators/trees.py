@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+LEVELS = 16
+
+
+def ancestors(t: DataFrame) -> DataFrame:
+    """``tree_id, node_id, ancestor, distance``: repeated joins by tree and node until none is left.
 
-def ancestors(t: DataFrame, depth: int = 64) -> DataFrame:
-    """``tree_id, node_id, ancestor, distance``: repeated joins by tree and node until none is left."""
+    Every ``LEVELS`` levels are checkpointed, so that plans stay short; a cycle, which no tree has, is an error.
+    """
     up = t.select("tree_id", F.col("node_id").alias("ancestor"), F.col("parent_id").alias("above"))
     step = t.where("parent_id <> 0").select("tree_id", "node_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance"))
-    out = step
-    for d in range(2, depth + 1):
-        step = step.join(up, ["tree_id", "ancestor"]).where("above <> 0").select("tree_id", "node_id", F.col("above").alias("ancestor"), F.lit(d).alias("distance"))
+    out, part, d, most = None, step, 1, None
+    while True:
+        step = step.join(up, ["tree_id", "ancestor"]).where("above <> 0").select("tree_id", "node_id", F.col("above").alias("ancestor"), F.lit(d + 1).alias("distance"))
         if step.isEmpty():
-            break
-        out = out.unionAll(step)
-    return out
+            return part if out is None else out.unionAll(part)
+        d, part = d + 1, part.unionAll(step)
+        if d % LEVELS == 0:
+            part = durable(part)
+            step, out = part.where(F.col("distance") == d), part if out is None else out.unionAll(part)
+            most = most or t.count()
+            if d > most:
+                raise ValueError(f"a node has more than {most} ancestors: the rows hold a cycle")
+            part = step.limit(0)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder; a local one only where the session names none."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
+    return df.checkpoint()
 
 
 def siblings(t: DataFrame) -> DataFrame:
