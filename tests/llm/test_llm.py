@@ -209,7 +209,7 @@ def test_packing_keeps_added_tokens(spark):
 
 def test_solver_holds_every_piece():
     h = {int(n): int(c) for n, c in zip(*np.unique(np.random.default_rng(5).integers(1, 101, 5000), return_counts=True), strict=True)}
-    out = op8_packing.solve(h, 100, 60)
+    out = op8_packing.solve(h, 100)
     total = Counter()
     for conf, m in out:
         assert sum(n * c for n, c in conf.items()) <= 100
@@ -218,6 +218,19 @@ def test_solver_holds_every_piece():
     assert total == Counter(h) and sum(m for _, m in out) <= 1.01 * sum(n * c for n, c in h.items()) / 100 + 1
 
 
+def test_program_closes_its_gap_where_best_fit_does_not():
+    lens, need = np.array([274, 350, 400]), np.array([3000] * 3)
+    plan = op8_packing.linear_program(lens, need, 1024)
+    assert plan.bound <= plan.total <= plan.bound * 1.0005 and abs(plan.bound - 3000) < 1e-6
+    assert sum(m for _, m in op8_packing.solve({274: 3000, 350: 3000, 400: 3000})) <= 3001
+    assert sum(m for _, m in op8_packing.greedy(lens, need, 1024)) > 3400
+    rng = np.random.default_rng(3)
+    h = Counter(rng.integers(200, 500, 5000).tolist())
+    plan = op8_packing.linear_program(np.array(sorted(h)), np.array([h[n] for n in sorted(h)]), 1024)
+    got = op8_packing.solve(h)
+    assert plan.bound <= sum(m for _, m in got) <= 1.03 * plan.bound and plan.total <= 1.02 * plan.bound
+
+
 def test_lm_base_against_brute_force(spark):
     texts = [None, "", *[prose(i, 20 + i) for i in range(30)], "Unseen wörds here"]
     df = docs(spark, *texts)

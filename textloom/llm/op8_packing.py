@@ -2,9 +2,9 @@
 
 Documents become token pieces once; only the histogram of piece lengths (at most ``capacity`` rows) goes to the driver.
 There the covering LP over configurations, min sum x_p with sum_p a_lp x_p >= d_l, is solved by multiplicative weights:
-lengths that lag behind their demand gain weight, and an unbounded knapsack by dynamic programming prices the best
-configuration for the weights. The fractional solution is rounded down and what is left is packed best-fit decreasing on
-the histogram. Pieces then get a rank among their length and take the slot of that rank.
+lengths that lag behind their demand gain weight, and an unbounded knapsack by dynamic programming prices configurations
+for the weights, whose scaled prices give a lower bound. The fractional solution is rounded down and the residue is packed
+best-fit decreasing on the histogram. Pieces then get a rank among their length and take the slot of that rank.
 
 Ranks need no global order: each length is dealt into buckets of about ``BUCKET`` pieces, ranked in its bucket, and
 offset by the bucket counts. The slot table has a row for each configuration and length in it, at most some thousands,
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,11 @@ from .common import save, table
 CAPACITY = 1024
 END_ID = 2
 BUCKET = 20_000
-ROUNDS = 300
+#: Sweeps of the weights: their rate, the largest share of a demand in a step, how near the best price a configuration must be.
+SWEEPS = ((2.0, 0.1, 0.02), (1.0, 0.05, 0.01))
+GAP = 0.0005
+COLUMNS = 64  # configurations of a round
+WORTH = 0.01
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -80,25 +85,29 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, PIECES)
 
 
-def price(lens: np.ndarray, gain: np.ndarray, capacity: int) -> dict[int, int]:
-    """Index -> count of the configuration of the largest gain: an unbounded knapsack over capacities 0..capacity."""
+def price(lens: np.ndarray, gain: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """An unbounded knapsack over capacities 0..capacity: the largest gain of each, and its last item (-1: none)."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     upto = np.searchsorted(lens, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
+    for c in range(int(lens[0]), capacity + 1):
+        v = best[c - lens[: upto[c]]] + gain[: upto[c]]
+        j = int(v.argmax())
         best[c] = best[c - 1]
-        if k := upto[c]:
-            v = best[c - lens[:k]] + gain[:k]
-            j = int(v.argmax())
-            if v[j] > best[c] + 1e-15:
-                best[c], last[c] = v[j], j
+        if v[j] > best[c] + 1e-12:
+            best[c], last[c] = v[j], j
+    return best, last
+
+
+def trace(lens: np.ndarray, last: np.ndarray, c: int) -> dict[int, int]:
+    """Index -> count of what fills capacity ``c`` best."""
     found: dict[int, int] = {}
-    c = capacity
     while c > 0:
-        if last[c] < 0:
+        j = int(last[c])
+        if j < 0:
             c -= 1
             continue
-        found[int(last[c])] = found.get(int(last[c]), 0) + 1
-        c -= int(lens[last[c]])
+        found[j] = found.get(j, 0) + 1
+        c -= int(lens[j])
     return found
 
 
@@ -128,37 +137,82 @@ def greedy(lens: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Configurations (length -> count) and how often each is used; together they hold every piece exactly once."""
+@dataclass
+class Plan:
+    """``x``: how often each configuration (pairs of index and count) is used, in fractions; together they hold every piece.
+    ``prices`` are feasible in the dual, so that ``bound`` is below any packing."""
+
+    x: dict[tuple, float]
+    total: float
+    prices: np.ndarray
+    bound: float
+
+
+def linear_program(lens: np.ndarray, need: np.ndarray, capacity: int, sweeps: tuple = SWEEPS, gap: float = GAP) -> Plan:
+    """The configuration program by multiplicative weights.
+
+    A length's weight falls exponentially with the share of its demand that is covered. Each round prices configurations by
+    the weights: the best one, and for each of the lengths that lag most the best one that holds it, if its price is near.
+    A step covers at most a fixed share of any demand in it, and never more than is open, so that steps are bounded however
+    rare a length is and nothing is covered twice. A sweep ends when all is covered; the next one begins with the prices of
+    the best bound. Sweeps end at a gap of ``gap`` between the total and the bound.
+    """
+    base, plan = lens / capacity, Plan({}, np.inf, lens / capacity, 0.0)
+    for rate, share, near in sweeps:
+        left, x = need.astype(float), {}
+        while len(o := np.flatnonzero(left > 1e-9 * need)):
+            done = 1 - left / need
+            y = base * np.exp(-rate * (done - done.min()))
+            best, last = price(lens, y, capacity)
+            if float(need @ y) / best[-1] > plan.bound:
+                plan.bound, plan.prices = float(need @ y) / best[-1], y / best[-1]
+            some = lens[o]
+            if len(o) < len(lens):
+                best, last = price(some, y[o], capacity)
+            lag = np.argsort(done[o], kind="stable")[:COLUMNS]
+            value = (y[o][lag] + best[capacity - some[lag]]) / best[-1]
+            tried = [trace(some, last, capacity)]
+            for k in lag[value >= 1 - near].tolist():
+                tried.append(trace(some, last, capacity - int(some[k])))
+                tried[-1][k] = tried[-1].get(k, 0) + 1
+            gained: dict[int, float] = {}
+            for conf in tried:
+                if any(gained.get(j, 0.0) >= share for j in conf):
+                    continue
+                step = min(min(share * need[o[j]], left[o[j]]) / n for j, n in conf.items())
+                key = tuple(sorted((int(o[j]), n) for j, n in conf.items()))
+                x[key] = x.get(key, 0.0) + step
+                for j, n in conf.items():
+                    left[o[j]] -= step * n
+                    gained[j] = gained.get(j, 0.0) + step * n / need[o[j]]
+        if sum(x.values()) < plan.total:
+            plan.x, plan.total = x, sum(x.values())
+        if plan.total <= plan.bound * (1 + gap):
+            break
+        base = plan.prices
+    return plan
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """Configurations (length -> count) and how often each is used; together they hold every piece exactly once.
+
+    The program's configurations worth their price are used as often as the whole part of their fraction says; the residue
+    is packed best-fit decreasing.
+    """
     lens = np.array(sorted(histogram), dtype=np.int64)
     need = np.array([histogram[int(x)] for x in lens], dtype=np.int64)
     if not len(lens):
         return []
-    plain = greedy(lens, need, capacity)
-    # multiplicative weights: step by the bottleneck of the priced configuration
-    weight, covered = 1.0 / need, np.zeros(len(lens))
-    x: dict[tuple, float] = {}
-    for _ in range(rounds):
-        conf = price(lens, weight / weight.max(), capacity)
-        step = min(need[j] / n for j, n in conf.items())
-        step = max(step, 1.0)
-        key = tuple(sorted(conf.items()))
-        x[key] = x.get(key, 0.0) + step
-        for j, n in conf.items():
-            gain = step * n / need[j]
-            covered[j] += gain
-            weight[j] *= np.exp(-min(gain, 4.0))
-    scale = 1.0 / max(np.median(covered[covered > 0]), 1e-9)
-    left, mixed = need.copy(), []
-    for key, v in sorted(x.items(), key=lambda kv: (-kv[1], kv[0])):
-        m = min(int(v * min(scale, 1.0)), *(int(left[j]) // n for j, n in key))
-        if m > 0:
+    plan = linear_program(lens, need, capacity)
+    left, found = need.copy(), []
+    for key, v in sorted(plan.x.items(), key=lambda kv: (-kv[1], kv[0])):
+        m = min(int(v + 1e-9), *(int(left[j]) // n for j, n in key))
+        if m > 0 and sum(n * plan.prices[j] for j, n in key) >= 1 - WORTH:
             for j, n in key:
                 left[j] -= m * n
-            mixed.append((dict(key), m))
-    mixed += greedy(lens, left, capacity)
-    best = min((mixed, plain), key=lambda s: sum(m for _, m in s))
-    return [({int(lens[j]): n for j, n in c.items()}, m) for c, m in best]
+            found.append((dict(key), m))
+    found += greedy(lens, left, capacity)
+    return [({int(lens[j]): n for j, n in c.items()}, m) for c, m in found]
 
 
 def slots(solution: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -175,11 +229,11 @@ def slots(solution: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, in
     return out
 
 
-def pack(cut_up: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with a ``length``; the rows must be stable (saved)."""
     spark = cut_up.sparkSession
     counts = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    places = slots(solve(counts, capacity, rounds))
+    places = slots(solve(counts, capacity))
     table_ = spark.createDataFrame(places, "length long, lo long, hi long, seq long, per long, at long")
     buckets = max(counts.values(), default=0) // BUCKET + 1
     dealt = cut_up.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
