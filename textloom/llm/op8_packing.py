@@ -33,8 +33,10 @@ from .common import save, table
 CAPACITY = 1024
 END_ID = 2
 BUCKET = 20_000
-#: Sweeps of the weights: their rate, the largest share of a demand in a step, how near the best price a configuration must be.
-SWEEPS = ((2.0, 0.1, 0.02), (1.0, 0.05, 0.01))
+#: The first sweep: the weights' rate, the largest share of a demand in a step, how near the best price a configuration must
+#: be. Each later one halves all three; none begins after so many rounds.
+RATE, SHARE, NEAR = 2.0, 0.1, 0.02
+ROUNDS = 2_000
 GAP = 0.0005
 COLUMNS = 64  # configurations of a round
 WORTH = 0.01
@@ -148,19 +150,21 @@ class Plan:
     bound: float
 
 
-def linear_program(lens: np.ndarray, need: np.ndarray, capacity: int, sweeps: tuple = SWEEPS, gap: float = GAP) -> Plan:
+def linear_program(lens: np.ndarray, need: np.ndarray, capacity: int, gap: float = GAP, rounds: int = ROUNDS) -> Plan:
     """The configuration program by multiplicative weights.
 
     A length's weight falls exponentially with the share of its demand that is covered. Each round prices configurations by
     the weights: the best one, and for each of the lengths that lag most the best one that holds it, if its price is near.
     A step covers at most a fixed share of any demand in it, and never more than is open, so that steps are bounded however
     rare a length is and nothing is covered twice. A sweep ends when all is covered; the next one begins with the prices of
-    the best bound. Sweeps end at a gap of ``gap`` between the total and the bound.
+    the best bound. Sweeps end at a gap of ``gap`` between the total and the bound, or after ``rounds`` rounds.
     """
     base, plan = lens / capacity, Plan({}, np.inf, lens / capacity, 0.0)
-    for rate, share, near in sweeps:
+    rate, share, near, done_rounds = RATE, SHARE, NEAR, 0
+    while done_rounds < rounds and plan.total > plan.bound * (1 + gap):
         left, x = need.astype(float), {}
         while len(o := np.flatnonzero(left > 1e-9 * need)):
+            done_rounds += 1
             done = 1 - left / need
             y = base * np.exp(-rate * (done - done.min()))
             best, last = price(lens, y, capacity)
@@ -187,9 +191,7 @@ def linear_program(lens: np.ndarray, need: np.ndarray, capacity: int, sweeps: tu
                     gained[j] = gained.get(j, 0.0) + step * n / need[o[j]]
         if sum(x.values()) < plan.total:
             plan.x, plan.total = x, sum(x.values())
-        if plan.total <= plan.bound * (1 + gap):
-            break
-        base = plan.prices
+        base, rate, share, near = plan.prices, rate / 2, share / 2, near / 2
     return plan
 
 
