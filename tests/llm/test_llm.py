@@ -327,9 +327,16 @@ def kernel_by_hand(s, t, p=3, decay=0.8):
 
 def test_string_kernel_against_brute_force():
     words = ["idiot", "idxiot", "banana", "thing", "aaa"]
-    got = op4_toxicity.kernels(words, op4_toxicity.landmark_table(["idiot", "nab"]))
+    got = op4_toxicity.Table.of(["idiot", "nab"]).kernels(words)
     for w, row in zip(words, got, strict=True):
-        assert row == pytest.approx([kernel_by_hand(w, "idiot"), kernel_by_hand(w, "nab")], abs=1e-4)
+        sharp = [np.exp(op4_toxicity.GAMMA * (kernel_by_hand(w, z) - 1)) for z in ("idiot", "nab")]
+        assert row == pytest.approx(sharp, abs=1e-4)
+
+
+def test_windows_keep_stems_and_other_letters_apart():
+    assert op4_toxicity.windows("Achlichkeit, achlichung! i d i o t a") == {"^achlich", "lichkeit", "lichung", "^idiota"}
+    assert len({tuple(op4_toxicity.symbols([w])[0]) for w in ("réê", "rée", "rêé", "rüö", "rñó")}) == 5
+    assert op4_toxicity.windows(None) == op4_toxicity.windows(" ") == op4_toxicity.windows("!! -") == set()
 
 
 def test_toxicity_tolerates_inserted_characters(spark):

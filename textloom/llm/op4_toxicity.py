@@ -1,25 +1,29 @@
 """Toxicity by a support vector machine on a subsequence string kernel with Nyström landmarks.
 
-The kernel of two words sums, over all subsequences of ``ORDER`` letters that they share, the decay to the power of the
-stretches they span in both; gaps and inserted characters weaken a match but don't break it. Landmarks are words whose
-document frequency in labelled toxic texts stands out, each unlike the ones before, and some common clean words. A
-text's pooled vector holds, for each landmark, the largest normalised kernel of any of its words; the Nyström map (the
-inverse root of the landmarks' kernel matrix) and a linear SVM score it, and a logistic fit on the margins gives 0 to 1.
+The kernel of two strings sums, over all subsequences of ``ORDER`` characters that they share, the decay to the power of the
+stretches they span in both; gaps and inserted characters weaken a match but don't break it. It is normalised, and sharpened
+by exp(``GAMMA`` (k - 1)), which keeps it a kernel. A text's strings are overlapping windows of ``LONGEST`` characters of its
+words, each word with a mark before it, so that a stem is one window whatever ending follows. Landmarks are windows whose
+document frequency in labelled toxic texts stands out, chosen so that every toxic text that has such windows is reached,
+rare languages too, and some common clean windows. A text's pooled vector holds, for each landmark, the largest kernel of any
+of its windows; the Nyström map (the inverse root of the landmarks' kernel matrix) and a linear SVM score it, and a logistic
+fit on margins of held-out folds gives 0 to 1.
 
 Words are runs without white space, stripped of other signs at both ends; runs of single characters are also joined
-(``i d i o t``). Longer words are cut into overlapping windows of ``LONGEST`` characters, so whole texts are scored. Training
-takes at most ``SAMPLE`` labelled rows of each class, by a hash of the id; that is the only bound. Scoring is one map-only
-pass; kernels of words seen before in a task come from a bounded table.
+(``i d i o t``). Whole texts are scored. Document frequencies cover all labelled training rows; the machine is fitted on at most
+``SAMPLE`` of them of each class, by a hash of the id, and ``CANDIDATES`` and ``LANDMARKS`` fix the size of the model. What the
+driver gets is bounded by these three. Scoring is one map-only pass; kernels of windows seen before in a task come from a
+bounded table.
 
 Cases: null, empty and wordless texts score as a text whose kernels are all zero; repeated rows get the same score;
-repeated labels count as toxic if any is; without labels of both classes everything scores 0; other columns are ignored.
+repeated labels count as toxic if any is; without labels of both classes everything scores 0; ties of odds go by the window;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,50 +32,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, save, table
 
 ORDER = 3
 DECAY = 0.8
-LONGEST = 16
-LANDMARKS = 40
-CLEAN_LANDMARKS = 8
+GAMMA = 3.0
+LONGEST = 8
+MARK = "^"
+LANDMARKS = 120
+CLEAN_LANDMARKS = 20
+CANDIDATES = 3_000
+FOLDS = 5
+REACH = 4  # landmarks of its own that each toxic text should have
 SAMPLE = 3_000
 CACHE = 200_000
-ALPHABET = 32
+ALPHABET = 64
 SIGNS = re.compile(r"^[\W_]+|[\W_]+$")
 
 
-def words(text: str | None) -> set[str]:
-    """Distinct words of a text, and joined runs of single characters."""
-    found, run = set(), []
+class _Windows(dict):
+    """Word -> its windows; forgets all when it is full."""
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= CACHE:
+            self.clear()
+        w = MARK + (word if word.isalpha() else SIGNS.sub("", word))
+        half = LONGEST // 2
+        out = () if len(w) < ORDER else (w,) if len(w) <= LONGEST else tuple(w[i : i + LONGEST] for i in range(0, len(w) - half, half))
+        self[word] = out
+        return out
+
+
+_WINDOWS = _Windows()
+
+
+def windows(text: str | None) -> set[str]:
+    """Distinct windows of a text's words, and of joined runs of single characters."""
+    plain, run = set(), []
     for w in (text or "").lower().split():
         if len(w) == 1 and w.isalnum():
             run.append(w)
             continue
-        if len(run) > 2:
-            found.add("".join(run))
-        run = []
-        if not w.isalpha():
-            w = SIGNS.sub("", w)
-        if len(w) >= ORDER:
-            found.add(w)
+        if run:
+            if len(run) > 2:
+                plain.add("".join(run))
+            run = []
+        plain.add(w)
     if len(run) > 2:
-        found.add("".join(run))
-    return found
-
-
-def windows(word: str) -> list[str]:
-    if len(word) <= LONGEST:
-        return [word]
-    half = LONGEST // 2
-    return [word[i : i + LONGEST] for i in range(0, len(word) - half, half)]
+        plain.add("".join(run))
+    return set(itertools.chain.from_iterable(map(_WINDOWS.__getitem__, plain)))
 
 
 def symbols(group: list[str]) -> np.ndarray:
-    """Words of one length as small numbers: a to z, four for other letters, one for digits and signs."""
+    """Windows of one length as small numbers: a to z, the mark, digits, signs, and 34 for other letters."""
     code = np.array([list(map(ord, w)) for w in group], np.int64)
-    other = np.where(code < 128, 31, 27 + code % 4)
-    return np.where((code >= 97) & (code <= 122), code - 96, other)
+    out = np.where(code < 128, 29, 30 + code % 34)
+    out[(code >= 48) & (code <= 57)] = 28
+    out[code == ord(MARK)] = 27
+    letter = (code >= 97) & (code <= 122)
+    out[letter] = code[letter] - 96
+    return out
 
 
 def _picks(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,38 +125,54 @@ def own_kernel(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.bincount(start // c.shape[1], sums * sums, minlength=len(c))
 
 
-def landmark_table(landmarks: list[str]) -> np.ndarray:
-    """Subsequence code -> weight in each normalised landmark."""
-    t = np.zeros((ALPHABET**ORDER, len(landmarks)), np.float32)
-    for j, z in enumerate(landmarks):
-        code, weight = features([z[:LONGEST]])
-        np.add.at(t[:, j], code[0], weight)
-        t[:, j] /= np.linalg.norm(t[:, j])
-    return t
-
-
-def kernels(group: list[str], lookup: np.ndarray) -> np.ndarray:
-    """Normalised kernels of words with all landmarks; a word of several windows has the largest of each."""
-    by: dict[int, list[tuple[int, str]]] = {}
-    for i, w in enumerate(group):
-        for part in windows(w):
-            by.setdefault(len(part), []).append((i, part))
-    out = np.zeros((len(group), lookup.shape[1]), np.float32)
-    for n, rows in by.items():
-        step = max(1, 200_000 // max(1, len(_picks(n)[1])))
-        for lo in range(0, len(rows), step):
-            at, part = zip(*rows[lo : lo + step], strict=True)
-            code, weight = features(list(part))
-            dots = np.einsum("bcm,c->bm", lookup[code], weight)
-            norm = np.sqrt(own_kernel(code, weight))[:, None]
-            np.maximum.at(out, np.array(at), (dots / norm).astype(np.float32))
-    return out
+@dataclass
+class Table:
+    """Landmarks by subsequence: ``row`` of each code (0: none), and the weight of each row in each normalised landmark."""
+
+    landmarks: list[str]
+    row: np.ndarray
+    weight: np.ndarray
+
+    @staticmethod
+    def of(landmarks: list[str]) -> Table:
+        row, own, at = np.zeros(ALPHABET**ORDER, np.int32), [], 0
+        for j, z in enumerate(landmarks):
+            code, weight = features([z])
+            norm = float(np.sqrt(own_kernel(code, weight))[0])
+            new = np.unique(code[0][row[code[0]] == 0])
+            row[new] = at + 1 + np.arange(len(new))
+            at += len(new)
+            own.append((row[code[0]], j, weight / norm))
+        t = np.zeros((at + 1, len(landmarks)), np.float32)
+        for rows, j, weight in own:
+            np.add.at(t[:, j], rows, weight)
+        return Table(landmarks, row, t)
+
+    def kernels(self, group: list[str]) -> np.ndarray:
+        """Sharpened kernels of windows with all landmarks."""
+        by: dict[int, list[int]] = {}
+        for i, w in enumerate(group):
+            by.setdefault(len(w), []).append(i)
+        out = np.zeros((len(group), len(self.landmarks)), np.float32)
+        for n, at in by.items():
+            step = max(1, 60_000 // max(1, len(_picks(n)[1])))
+            for lo in range(0, len(at), step):
+                part = at[lo : lo + step]
+                code, weight = features([group[i] for i in part])
+                norm = np.sqrt(own_kernel(code, weight)).astype(np.float32)
+                dots = np.zeros((len(part), len(self.landmarks)), np.float32)
+                rows = self.row[code]
+                for j in range(rows.shape[1]):  # subsequences of no landmark add nothing
+                    hit = np.flatnonzero(rows[:, j])
+                    if len(hit):
+                        dots[hit] += weight[j] * self.weight[rows[hit, j]]
+                out[part] = np.exp(GAMMA * (np.minimum(dots / norm[:, None], 1) - 1))
+        return out
 
 
 @dataclass
 class Model:
-    landmarks: list[str]
-    lookup: np.ndarray
+    table: Table
     weight: np.ndarray  # of the pooled kernels: the SVM's, through the Nyström map
     bias: float
     slope: float
@@ -148,24 +184,28 @@ class Model:
 
 
 class Pool:
-    """Pooled kernels of texts, with a bounded table of words."""
+    """Pooled kernels of texts, with a bounded table of windows."""
 
-    def __init__(self, lookup: np.ndarray):
-        self.lookup, self.at, self.rows = lookup, {}, np.zeros((0, lookup.shape[1]), np.float32)
+    def __init__(self, table: Table):
+        self.table, self.at, self.used = table, {}, 0
+        self.rows = np.zeros((1024, len(table.landmarks)), np.float32)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        bags = [words(t) for t in texts]
+        bags = [windows(t) for t in texts]
         new = list(set().union(*bags) - self.at.keys())
-        if len(self.at) + len(new) > CACHE:
-            self.at, self.rows = {}, self.rows[:0]
+        if self.used + len(new) > CACHE:
+            self.at, self.used = {}, 0
             new = list(set().union(*bags))
         if new:
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, kernels(new, self.lookup)])
-        out = np.zeros((len(texts), self.lookup.shape[1]), np.float32)
+            if self.used + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows[: self.used], np.zeros((max(len(new), len(self.rows)), self.rows.shape[1]), np.float32)])
+            self.at.update(zip(new, range(self.used, self.used + len(new)), strict=True))
+            self.rows[self.used : self.used + len(new)] = self.table.kernels(new)
+            self.used += len(new)
+        out = np.zeros((len(texts), self.rows.shape[1]), np.float32)
         for i, bag in enumerate(bags):
             if bag:
-                out[i] = self.rows[[self.at[w] for w in bag]].max(axis=0)
+                out[i] = self.rows[list(map(self.at.__getitem__, bag))].max(axis=0)
         return out
 
 
@@ -187,8 +227,8 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 400) ->
 
 
 def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic fit on margins, by Newton steps."""
-    c = np.ones(len(y))
+    """Logistic fit on margins, by Newton steps; a toxic row counts for the square root of the clean rows to each."""
+    c = np.where(y > 0, max(1.0, (y == 0).sum() / (y > 0).sum()) ** 0.5, 1.0)
     goal = np.where(y > 0, 1 - 1 / ((y > 0).sum() + 2), 1 / ((y == 0).sum() + 2))
     a, b = 1.0, 0.0
     for _ in range(40):
@@ -203,63 +243,108 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-3), float(b)
 
 
-def choose_landmarks(bags: list[set[str]], y: np.ndarray) -> list[str]:
-    bad, good = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
-        (bad if label else good).update(bag)
-    n_bad, n_good = int(y.sum()), int((y == 0).sum())
-    odds = {w: n * np.log((n + 0.5) / (n_bad + 1) / ((good[w] + 0.5) / (n_good + 1))) for w, n in bad.items() if 2 < len(w) <= LONGEST and n > 1}
+def candidates(train: DataFrame) -> tuple[dict[str, float], list[str]]:
+    """Windows that stand out in toxic texts, with their log odds, and the commonest of those that don't; document
+    frequencies over all of ``train``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 200):
+                b, n = whole.slice(lo, 200), {}
+                for toxic, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    for w in windows(text):
+                        n.setdefault(w, [0, 0])[toxic] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), *(pa.array([v[k] for v in n.values()], pa.int64()) for k in (0, 1))], ["w", "good", "bad"])
+
+    sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        return {}, []
+    seen = train.select("doc_id", "toxic", "text").mapInArrow(run, "w string, good long, bad long").groupBy("w").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    odds = F.log(((F.col("bad") + 0.5) / (sizes[1] + 1)) / ((F.col("good") + 0.5) / (sizes[0] + 1)))
+    seen = save(seen.where("good + bad > 1").withColumn("odds", odds), "windows")
+    bad = seen.where("bad > 1 and odds > 1").orderBy(F.desc(F.col("odds") * F.col("bad")), "w").limit(CANDIDATES).collect()
+    clean = seen.where("odds <= 0").orderBy(F.desc("good"), "w").limit(CLEAN_LANDMARKS).collect()
+    return {r["w"]: r["odds"] for r in bad}, [r["w"] for r in clean]
+
+
+def bags_of(train: DataFrame, some: dict[str, float]) -> list[list[str]]:
+    """The toxic texts' windows among ``some``, of at most ``SAMPLE`` texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(windows(t) & some.keys()) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], ["bag"])
+
+    return [r["bag"] for r in drawn(train, 1).select("text").mapInArrow(run, "bag array<string>").collect()]
+
+
+def drawn(train: DataFrame, toxic: int, sample: int = SAMPLE) -> DataFrame:
+    return train.where(F.col("toxic") == toxic).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample).select("doc_id", "toxic", "text")
+
+
+def choose_landmarks(bags: list[list[str]], odds: dict[str, float], most: int) -> list[str]:
+    """Windows by their odds in texts that have too few chosen ones, until every text has ``REACH`` or there are ``most``."""
+    texts: dict[str, list[int]] = {}
+    for i, bag in enumerate(bags):
+        for w in bag:
+            texts.setdefault(w, []).append(i)
+    have = np.zeros(len(bags), np.int64)
+    at = {w: np.array(x) for w, x in texts.items()}
     chosen: list[str] = []
-    vectors = np.zeros((0, ALPHABET**ORDER), np.float32)
-    clean = [w for w, _ in sorted(good.items(), key=lambda kv: (-kv[1], kv[0])) if 3 < len(w) <= LONGEST and odds.get(w, 0) <= 0]
-    for most, ranked in ((LANDMARKS, sorted((w for w in odds if odds[w] > 0), key=lambda w: (-odds[w], w))), (LANDMARKS + CLEAN_LANDMARKS, clean)):
-        for w in ranked[:4000]:
-            if len(chosen) >= most:
-                break
-            v = landmark_table([w])[:, 0]
-            if not len(chosen) or (vectors @ v).max() < 0.6:
-                chosen.append(w)
-                vectors = np.vstack([vectors, v])
+    while at and len(chosen) < most:
+        gain = {w: odds[w] * float((0.5 ** have[x] * (have[x] < REACH)).sum()) for w, x in at.items()}
+        best = min(gain, key=lambda w: (-gain[w], w))
+        if gain[best] <= 0:
+            break
+        chosen.append(best)
+        have[at.pop(best)] += 1
     return chosen
 
 
 def fit(train: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """``train`` has doc_id, text and toxic. The sample: so many rows of each class at most, whole texts as bags of words."""
+    """``train`` has doc_id, text and toxic."""
+    train = save(train.select("doc_id", "toxic", "text"), "labelled")
+    odds, clean = candidates(train)
+    if not odds:
+        return None
+    landmarks = choose_landmarks(bags_of(train, odds), odds, LANDMARKS)
+    if not landmarks:
+        return None
+    found = Table.of(landmarks + clean)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = Pool(found)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(sorted(words(t.as_py()))) for t in b.column(2)])], ["doc_id", "toxic", "bag"])
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                pooled = pool(part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in pooled], pa.binary())], ["doc_id", "toxic", "pooled"])
 
-    part = [
-        train.where(F.col("toxic") == k).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample).select("doc_id", "toxic", "text") for k in (0, 1)
-    ]
-    rows = part[0].unionAll(part[1]).mapInArrow(run, "doc_id long, toxic int, bag string").toPandas().sort_values(["doc_id", "toxic"])
+    rows = drawn(train, 0, sample).unionAll(drawn(train, 1, sample)).mapInArrow(run, "doc_id long, toxic int, pooled binary").toPandas().sort_values(["doc_id", "toxic", "pooled"])
     y = rows["toxic"].to_numpy()
-    if len(set(y.tolist())) < 2:
-        return None
-    bags = [set(b.split()) for b in rows["bag"]]
-    landmarks = choose_landmarks(bags, y)
-    if not landmarks:
-        return None
-    lookup = landmark_table(landmarks)
-    pool = Pool(lookup)
-    pooled = np.concatenate([pool([" ".join(b) for b in bags[i : i + 200]]) for i in range(0, len(bags), 200)]).astype(np.float64)
-    value, vector = np.linalg.eigh((lookup.T @ lookup).astype(np.float64))
+    pooled = np.stack([np.frombuffer(x, np.float32) for x in rows["pooled"]]).astype(np.float64)
+    value, vector = np.linalg.eigh(found.kernels(found.landmarks).astype(np.float64))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    w, b = svm(pooled @ root, y)
-    weight = root @ w
-    slope, shift = platt(pooled @ weight + b, y)
-    return Model(landmarks, lookup, weight, b, slope, shift)
+    x = pooled @ root
+    w, b = svm(x, y)
+    held = np.arange(len(y)) % FOLDS  # margins of texts that the machine has not seen, of both classes
+    margin = np.zeros(len(y))
+    for k in range(FOLDS):
+        part = held != k
+        if 0 < y[part].sum() < part.sum():
+            wk, bk = svm(x[part], y[part])
+            margin[~part] = x[~part] @ wk + bk
+    slope, shift = platt(margin, y)
+    return Model(found, root @ w, b, slope, shift)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id, score`` of each row of ``docs`` (doc_id, text)."""
     if model is None:
         return docs.select(F.col("doc_id").cast("long"), F.lit(0.0).alias("score"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: alphabet^order x landmarks
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: LANDMARKS windows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = Pool(sent.value.lookup)
+        pool = Pool(sent.value.table)
         for whole in batches:
             for lo in range(0, whole.num_rows, 200):
                 b = whole.slice(lo, 200)
