@@ -5,7 +5,7 @@ stretches they span in both; gaps and inserted characters weaken a match but don
 by exp(``GAMMA`` (k - 1)), which keeps it a kernel. A text's strings are overlapping windows of ``LONGEST`` characters of its
 words, each word with a mark before it, so that a stem is one window whatever ending follows. Landmarks are windows whose
 document frequency in labelled toxic texts stands out, chosen so that every toxic text that has such windows is reached,
-rare languages too, and some common clean windows. A text's pooled vector holds, for each landmark, the largest kernel of any
+rare languages too. A text's pooled vector holds, for each landmark, the largest kernel of any
 of its windows; the Nyström map (the inverse root of the landmarks' kernel matrix) and a linear SVM score it, and a logistic
 fit on margins of held-out folds gives 0 to 1.
 
@@ -15,7 +15,7 @@ Words are runs without white space, stripped of other signs at both ends; runs o
 driver gets is bounded by these three. Scoring is one map-only pass; kernels of windows seen before in a task come from a
 bounded table.
 
-Cases: null, empty and wordless texts score as a text whose kernels are all zero; repeated rows get the same score;
+Cases: null, empty and wordless texts score as a text that shares no subsequence with any landmark; repeated rows get the same score;
 repeated labels count as toxic if any is; without labels of both classes everything scores 0; ties of odds go by the window;
 other columns are ignored.
 """
@@ -35,12 +35,11 @@ from pyspark.sql import functions as F
 from .common import crc_mod, save, table
 
 ORDER = 3
-DECAY = 0.8
-GAMMA = 3.0
+DECAY = 0.9
+GAMMA = 2.0
 LONGEST = 8
 MARK = "^"
 LANDMARKS = 120
-CLEAN_LANDMARKS = 20
 CANDIDATES = 3_000
 FOLDS = 5
 REACH = 4  # landmarks of its own that each toxic text should have
@@ -202,7 +201,7 @@ class Pool:
             self.at.update(zip(new, range(self.used, self.used + len(new)), strict=True))
             self.rows[self.used : self.used + len(new)] = self.table.kernels(new)
             self.used += len(new)
-        out = np.zeros((len(texts), self.rows.shape[1]), np.float32)
+        out = np.full((len(texts), self.rows.shape[1]), np.exp(-GAMMA), np.float32)  # nothing shared
         for i, bag in enumerate(bags):
             if bag:
                 out[i] = self.rows[list(map(self.at.__getitem__, bag))].max(axis=0)
@@ -243,9 +242,8 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-3), float(b)
 
 
-def candidates(train: DataFrame) -> tuple[dict[str, float], list[str]]:
-    """Windows that stand out in toxic texts, with their log odds, and the commonest of those that don't; document
-    frequencies over all of ``train``."""
+def candidates(train: DataFrame) -> dict[str, float]:
+    """Windows that stand out in toxic texts, with their log odds; document frequencies over all of ``train``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -258,13 +256,11 @@ def candidates(train: DataFrame) -> tuple[dict[str, float], list[str]]:
 
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
-        return {}, []
+        return {}
     seen = train.select("doc_id", "toxic", "text").mapInArrow(run, "w string, good long, bad long").groupBy("w").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     odds = F.log(((F.col("bad") + 0.5) / (sizes[1] + 1)) / ((F.col("good") + 0.5) / (sizes[0] + 1)))
-    seen = save(seen.where("good + bad > 1").withColumn("odds", odds), "windows")
-    bad = seen.where("bad > 1 and odds > 1").orderBy(F.desc(F.col("odds") * F.col("bad")), "w").limit(CANDIDATES).collect()
-    clean = seen.where("odds <= 0").orderBy(F.desc("good"), "w").limit(CLEAN_LANDMARKS).collect()
-    return {r["w"]: r["odds"] for r in bad}, [r["w"] for r in clean]
+    bad = seen.where("bad > 1").withColumn("odds", odds).where("odds > 1")
+    return {r["w"]: r["odds"] for r in bad.orderBy(F.desc(F.col("odds") * F.col("bad")), "w").limit(CANDIDATES).collect()}
 
 
 def bags_of(train: DataFrame, some: dict[str, float]) -> list[list[str]]:
@@ -302,14 +298,14 @@ def choose_landmarks(bags: list[list[str]], odds: dict[str, float], most: int) -
 
 def fit(train: DataFrame, sample: int = SAMPLE) -> Model | None:
     """``train`` has doc_id, text and toxic."""
-    train = save(train.select("doc_id", "toxic", "text"), "labelled")
-    odds, clean = candidates(train)
+    train = save(train.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text"), "labelled")
+    odds = candidates(train)
     if not odds:
         return None
     landmarks = choose_landmarks(bags_of(train, odds), odds, LANDMARKS)
     if not landmarks:
         return None
-    found = Table.of(landmarks + clean)
+    found = Table.of(landmarks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = Pool(found)
