@@ -256,10 +256,28 @@ def test_lm_score_is_the_attention_models_own(spark):
     counts, model = op9_lm.fit(df.where("doc_id < 12"))
     got = {r.doc_id: r.score for r in op9_lm.score(df, counts, model).collect()}
     w = op9_lm.Words()
+    split = lambda t: [w.encoder.encode_ordinary(" " + word.decode()) for word in t.encode().lower().split()]
+    one, two, of_one, of_two = Counter(), Counter(), Counter(), Counter()
+    for t in texts[:12]:
+        for ids in split(t):
+            for j in range(1, len(ids)):
+                far = (ids[j - 2] if j > 1 else None, ids[j - 1])
+                one[ids[j - 1], ids[j]] += 1
+                of_one[ids[j - 1], model.own[ids[j]]] += 1
+                two[far, ids[j]] += 1
+                of_two[far, model.own[ids[j]]] += 1
     for i, t in enumerate(texts):
-        ids = [x for word in t.encode().lower().split() for x in w.encoder.encode_ordinary(" " + word.decode())] + [op9_lm.END]
-        own = op9_lm.score_chunk(model, np.array([op9_lm.END, *ids]), np.array([len(ids)])).astype(float).sum() / np.log(10)
-        assert got[i] == pytest.approx(own, rel=1e-4)
+        ids = [x for word in split(t) for x in word] + [op9_lm.END]
+        own = op9_lm.score_chunk(model, np.array([op9_lm.END, *ids]), np.array([len(ids)])).astype(float).sum()
+        for word in split(t):
+            for j, x in enumerate(word):
+                p, c = np.exp(float(model.inner[x])), model.own[x]
+                if j:
+                    far = (word[j - 2] if j > 1 else None, word[j - 1])
+                    p = (one[word[j - 1], x] + op9_lm.BACK_OFF * p) / (of_one[word[j - 1], c] + op9_lm.BACK_OFF)
+                    p = (two[far, x] + op9_lm.BACK_OFF * p) / (of_two[far, c] + op9_lm.BACK_OFF)
+                own += np.log(p)
+        assert got[i] == pytest.approx(own / np.log(10), rel=1e-4)
 
 
 def test_lm_learns_from_every_text(spark, monkeypatch):
@@ -311,7 +329,7 @@ def test_lm_windows_score_each_position_once_and_sum_to_one():
     assert got[3:8] == pytest.approx(whole, abs=1e-4)
 
 
-def kernel_by_hand(s, t, p=3, decay=0.8):
+def kernel_by_hand(s, t, p=3, decay=op4_toxicity.DECAY):
     import itertools
 
     def feats(w):
