@@ -48,6 +48,7 @@ REACH = 4  # landmarks of its own that each toxic text should have
 SAMPLE = 3_000
 CACHE = 200_000
 ALPHABET = 64
+SPELT = re.compile(r"(?<!\S)(?:[^\W_]\s+){2,}[^\W_](?!\S)")
 SIGNS = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -55,7 +56,7 @@ class _Windows(dict):
     """Word -> its windows; forgets all when it is full."""
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) >= CACHE:
+        if len(self) >= 2 * CACHE:
             self.clear()
         w = MARK + (word if word.isalpha() else SIGNS.sub("", word))
         half = LONGEST // 2
@@ -69,18 +70,9 @@ _WINDOWS = _Windows()
 
 def windows(text: str | None) -> set[str]:
     """Distinct windows of a text's words, and of joined runs of single characters."""
-    plain, run = set(), []
-    for w in (text or "").lower().split():
-        if len(w) == 1 and w.isalnum():
-            run.append(w)
-            continue
-        if run:
-            if len(run) > 2:
-                plain.add("".join(run))
-            run = []
-        plain.add(w)
-    if len(run) > 2:
-        plain.add("".join(run))
+    low = (text or "").lower()
+    plain = set(low.split())
+    plain.update("".join(run.split()) for run in SPELT.findall(low))
     return set(itertools.chain.from_iterable(map(_WINDOWS.__getitem__, plain)))
 
 
@@ -281,7 +273,10 @@ def bags_of(train: DataFrame, some: dict[str, float]) -> list[list[str]]:
 
 
 def drawn(train: DataFrame, toxic: int, sample: int = SAMPLE) -> DataFrame:
-    return train.where(F.col("toxic") == toxic).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample).select("doc_id", "toxic", "text")
+    """The rows of at most ``sample`` ids of a class; only ids are ordered, and the drawn ones are broadcast."""
+    mine = train.where(F.col("toxic") == toxic)
+    ids = mine.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample)
+    return mine.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "toxic", "text")
 
 
 def choose_landmarks(bags: list[list[str]], odds: dict[str, float], most: int) -> list[str]:
