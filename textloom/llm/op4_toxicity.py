@@ -11,9 +11,10 @@ it, and a logistic fit on margins of held-out folds gives 0 to 1. The machine le
 less, with a sign inserted in its words.
 
 Words are runs without white space, stripped of other signs at both ends; runs of single characters are also joined
-(``i d i o t``). Whole texts are scored. Document frequencies cover all labelled training rows; the machine is fitted on at most
-``SAMPLE`` of them of each class, by a hash of the id, and ``CANDIDATES`` and ``LANDMARKS`` fix the size of the model. What the
-driver gets is bounded by these three. Scoring is one map-only pass; kernels of windows seen before in a task come from a
+(``i d i o t``). Whole texts are scored. Documents are labelled by a broadcast of at most ``SAMPLE`` ids of each class,
+by a hash of the id, so that no text is shuffled; document frequencies cover these, the machine is fitted on at most ``FITTED``
+of them of each class, and ``CANDIDATES`` and ``LANDMARKS`` fix the size of the model. What the
+driver gets is bounded by these four. Scoring is one map-only pass; kernels of windows seen before in a task come from a
 bounded table.
 
 Cases: null, empty and wordless texts score as a text that shares no subsequence with any landmark; repeated rows get the same score;
@@ -45,7 +46,8 @@ CANDIDATES = 3_000
 FOLDS = 5
 GAPPED = 0.05  # what a gapped copy counts for
 REACH = 4  # landmarks of its own that each toxic text should have
-SAMPLE = 3_000
+SAMPLE = 10_000
+FITTED = 3_000
 CACHE = 200_000
 ALPHABET = 64
 SPELT = re.compile(r"(?<!\S)(?:[^\W_]\s+){2,}[^\W_](?!\S)")
@@ -263,7 +265,7 @@ def candidates(train: DataFrame) -> dict[str, float]:
 
 
 def bags_of(train: DataFrame, some: dict[str, float]) -> list[list[str]]:
-    """The toxic texts' windows among ``some``, of at most ``SAMPLE`` texts."""
+    """The toxic texts' windows among ``some``, of at most ``FITTED`` texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -272,7 +274,7 @@ def bags_of(train: DataFrame, some: dict[str, float]) -> list[list[str]]:
     return [r["bag"] for r in drawn(train, 1).select("text").mapInArrow(run, "bag array<string>").collect()]
 
 
-def drawn(train: DataFrame, toxic: int, sample: int = SAMPLE) -> DataFrame:
+def drawn(train: DataFrame, toxic: int, sample: int = FITTED) -> DataFrame:
     """The rows of at most ``sample`` ids of a class; only ids are ordered, and the drawn ones are broadcast."""
     mine = train.where(F.col("toxic") == toxic)
     ids = mine.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample)
@@ -298,7 +300,13 @@ def choose_landmarks(bags: list[list[str]], odds: dict[str, float], most: int) -
     return chosen
 
 
-def fit(train: DataFrame, sample: int = SAMPLE) -> Model | None:
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``doc_id, text, toxic`` of documents that have labels (doc_id, toxic), of at most ``sample`` ids of each class."""
+    some = [labels.where(F.col("toxic") == k).orderBy(F.xxhash64(F.lit(4), "doc_id"), "doc_id").limit(sample) for k in (0, 1)]
+    return docs.join(F.broadcast(some[0].unionAll(some[1])), "doc_id").select("doc_id", "text", "toxic")
+
+
+def fit(train: DataFrame, sample: int = FITTED) -> Model | None:
     """``train`` has doc_id, text and toxic."""
     train = save(train.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text"), "labelled")
     odds = candidates(train)
@@ -358,7 +366,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    train = docs.where(crc_mod("doc_id", 5) != 0).join(labels.where(crc_mod("doc_id", 5) != 0), "doc_id")
+    train = labelled(docs.where(crc_mod("doc_id", 5) != 0), labels.where(crc_mod("doc_id", 5) != 0))
     out = score(docs, fit(train))
     return out.select(
         "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
