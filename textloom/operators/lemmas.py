@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.chars import doubled_consonant_lemma
+
 # Fixed values: (lexicon, tags, suffix, replacements, also without a doubled consonant), tried in this order.
 SUFFIXES = [
     ("VB", "VBZ", "ies", ["y"], False),
@@ -42,30 +44,16 @@ SUFFIXES = [
 CARDINAL, ORDINAL = "#crd#", "#ord#"
 
 
-def doubled(stem: Column) -> Column:
-    """Whether the last two characters are the same."""
-    return (F.length(stem) >= 2) & (F.right(stem, F.lit(1)) == F.substr(stem, F.length(stem) - 1, F.lit(1)))
-
-
-def candidates(lower: Column, tag: Column) -> Column:
-    """Array of (rank, base) that the rules allow; a tag passes a rule if it is part of the rule's tags."""
-    found, rank = [], 0
-    for lexicon, tags, suffix, replacements, double in SUFFIXES:
-        fits = F.endswith(lower, F.lit(suffix)) & (F.substring(tag, 1, 2) == lexicon) & F.contains(F.lit(tags), tag)
-        stem = F.substr(lower, F.lit(1), F.length(lower) - len(suffix))
-        tries = [(fits, stem, r) for r in replacements]
-        if double:
-            tries += [(fits & doubled(stem), F.substr(stem, F.lit(1), F.length(stem) - 1), r) for r in replacements]
-        for ok, s, r in tries:
-            found.append(F.when(ok, F.struct(F.lit(rank).alias("rank"), F.concat(s, F.lit(r)).alias("base"))))
-            rank += 1
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
-
-
 def inflections(pairs: DataFrame, bases: DataFrame) -> DataFrame:
-    """``form, pos, base`` of the pairs that a rule takes to one of ``bases`` (lexicon, base); the first rule wins."""
-    tried = pairs.select("form", "pos", F.substring("pos", 1, 2).alias("lexicon"), F.inline(candidates(F.lower("form"), F.col("pos"))))
-    return tried.join(bases.select("lexicon", "base").distinct(), ["lexicon", "base"], "left_semi").groupBy("form", "pos").agg(F.min_by("base", "rank").alias("base"))
+    """``form, pos, base`` of the pairs that a rule takes to one of ``bases`` (lexicon, base); the first rule wins. A tag passes
+    a rule if it is part of the rule's tags."""
+    from .morphology import first_match, rules
+
+    table = rules(pairs.sparkSession, [(lexicon, "", suffix, replacements, [tags], double) for lexicon, tags, suffix, replacements, double in SUFFIXES])
+    own = pairs.select(F.lower("form").alias("form"), "pos", F.substring("pos", 1, 2).alias("lexicon")).distinct()
+    found = first_match(own, table, bases, F.contains(F.col("tags")[0], F.col("pos")), doubled_consonant_lemma)
+    low = found.select(F.col("form").alias("low"), "pos", F.col("lemma").alias("base"))
+    return pairs.select("form", "pos", F.lower("form").alias("low")).join(low, ["low", "pos"]).select("form", "pos", "base")
 
 
 def lemmas(tokens: DataFrame, bases: DataFrame, exceptions: DataFrame | None = None, abbreviations: DataFrame | None = None, cardinals=(), ordinals=()) -> DataFrame:
