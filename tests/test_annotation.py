@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom import catalog
-from textloom.operators import decoders, lemmas, metrics
+from textloom.operators import decoders, lemmas, metrics, text
 from textloom.sources import columns
 
 SF = "/root/testdata/sf0.001"
@@ -83,4 +83,4 @@ def test_path_weights():
 
 def test_coarse_and_prefix(spark):
     t = spark.createDataFrame([("NNS", "study", "studies"), ("??", "a", "b")], "p string, a string, b string")
-    assert [tuple(r) for r in t.select(lemmas.coarse(F.col("p")), lemmas.common_prefix(F.col("a"), F.col("b"))).collect()] == [("NN", 4), ("XX", 0)]
+    assert [tuple(r) for r in t.select(lemmas.coarse(F.col("p")), text.common_prefix(F.col("a"), F.col("b"))).collect()] == [("NN", 4), ("XX", 0)]

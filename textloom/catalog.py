@@ -288,8 +288,8 @@ def conll_rows(spark, d):
 
 @query("sentences")
 def sentences(spark, d):
-    s = read(spark, d, "documents").select("doc_id", F.posexplode(tokens.segment(F.split(F.trim("text"), r"\s+"))).alias("sid", "s"))
-    return s.select("doc_id", "sid", F.col("s.begin").alias("begin"), F.col("s.end").alias("end"))
+    t = english.english_tokens(read(spark, d, "documents"))
+    return t.groupBy("doc_id", "sid").agg(F.min("tid").alias("begin"), (F.max("tid") + 1).alias("end"))
 
 
 @query("viterbi_tags")

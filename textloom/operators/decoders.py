@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def best_path(scores: np.ndarray, transitions: np.ndarray) -> np.ndarray:
@@ -144,3 +145,65 @@ def repaired_tree(arcs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"sid": sid, "dep": np.arange(n), "head": repaired_heads(np.array(x, float).reshape(n, n))})
 
     return arcs.mapInPandas(run, "sid long, dep int, head int")
+
+
+def bounded_path(scores: np.ndarray, transitions: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[float, np.ndarray]:
+    """Score and tags of the best path with weights into its first and out of its last tag; ``transitions[to, from]``."""
+    first, last = scores.astype(float).copy(), len(scores) - 1
+    first[0] += start
+    first[last] += stop
+    path = best_path(first, transitions)
+    return float(first[np.arange(len(path)), path].sum() + transitions[path[1:], path[:-1]].sum()), path
+
+
+def softmax_path(scores: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Tags of the highest product of softmax scores and ``transitions[from, to]``, in logs; ties go to the smaller tag."""
+    z = scores - scores.max(axis=1, keepdims=True)
+    with np.errstate(divide="ignore"):
+        return best_path(z - np.log(np.exp(z).sum(axis=1, keepdims=True)), np.log(transitions.T))
+
+
+def decode_paths(emissions: DataFrame, transitions: list[list[float]], softmax: bool = False, start: list[float] | None = None, stop: list[float] | None = None) -> DataFrame:
+    """``sid, tid, tag_id`` from rows sid, tid, scores; the scores of a sentence are one row on the way, so that a task holds one
+    sentence at a time. Without ``softmax`` a path is a CRF's, with weights into its first and out of its last tag."""
+    m = np.array(transitions, float)
+    a, b = (np.zeros(len(m)) if x is None else np.array(x, float) for x in (start, stop))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for sid, rows in zip(batch["sid"], batch["rows"], strict=True):
+                tid, scores = [r["tid"] for r in rows], np.array([r["scores"] for r in rows], float)
+                path = softmax_path(scores, m) if softmax else bounded_path(scores, m, a, b)[1]
+                yield pd.DataFrame({"sid": sid, "tid": tid, "tag_id": path})
+
+    whole = emissions.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("tid", F.col("scores").cast("array<double>").alias("scores")))).alias("rows"))
+    return whole.mapInPandas(run, "sid long, tid long, tag_id int")
+
+
+def semantic_edges(arcs: DataFrame, relations_: DataFrame) -> DataFrame:
+    """``sid, tid, head, rel_id`` from rows sid, n, logits (n x n: head, dependent; node 0 is the root): an edge where the logit is
+    above 0. Tokens and heads count from 0 without the root, which is n - 1. ``relations_``: sid, head, dep, scores."""
+    cells = arcs.select("sid", "n", F.posexplode("logits").alias("at", "logit")).where("logit > 0")
+    cells = cells.select("sid", "n", F.floor(F.col("at") / F.col("n")).alias("head"), (F.col("at") % F.col("n")).alias("dep")).where("dep > 0")
+    best = relations_.select("sid", "head", "dep", (F.array_position("scores", F.array_max("scores")) - 1).alias("rel_id"))
+    e = cells.join(best, ["sid", "head", "dep"])
+    return e.select("sid", (F.col("dep") - 1).alias("tid"), F.when(F.col("head") == 0, F.col("n") - 1).otherwise(F.col("head") - 1).alias("head"), "rel_id")
+
+
+def plateau_rates(losses: list[float], rate: float, factor: float = 0.1, patience: int = 10, threshold: float = 1e-4, cooldown: int = 0, least: float = 0.0, eps: float = 1e-8) -> list[float]:
+    """The learning rate after each loss: cut by ``factor`` when more than ``patience`` losses in a row are no better than the best."""
+    best, bad, rest, out = float("inf"), 0, 0, []
+    for x in losses:
+        better = x < best * (1 - threshold)
+        best, bad = (x, 0) if better else (best, bad + 1)
+        if rest > 0:
+            rest, bad = rest - 1, 0
+        if bad > patience:
+            rate = max(rate * factor, least) if rate - max(rate * factor, least) > eps else rate
+            rest, bad = cooldown, 0
+        out.append(rate)
+    return out
+
+
+def exponential_rate(updates: Column, rate: float, decay: float, every: float) -> Column:
+    return F.lit(rate) * F.pow(F.lit(decay), updates / every)

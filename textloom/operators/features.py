@@ -43,3 +43,101 @@ def batches(df: DataFrame, bucket_col: str, order: str, budget: int) -> DataFram
     big, size = n % parts, F.floor(n / parts)
     at = F.when(i < big * (size + 1), F.floor(i / (size + 1))).otherwise(big + F.floor((i - big * (size + 1)) / size))
     return df.withColumn("batch", at)
+
+
+def concat_named(vectors: dict[str, Column]) -> Column:
+    """Vectors after one another in the order of their names."""
+    return F.concat(*[vectors[k] for k in sorted(vectors)])
+
+
+def word_vectors(t: DataFrame, word: str, table: DataFrame, dim: int, loose: bool = True) -> DataFrame:
+    """Adds ``vector`` from ``table`` (word, vector): the word as it is, and if ``loose`` in lower case, then with its digits as #, then
+    as 0; zeros where there is none. Distinct words are looked up, not tokens."""
+    from ..functions.chars import collapse_key
+
+    keys = collapse_key(F.col("__w")) if loose else [F.col("__w")]
+    own = t.select(F.col(word).alias("__w")).where("__w is not null").distinct()
+    tried = own.select("__w", F.posexplode(F.array(*keys)).alias("turn", "key"))
+    hit = tried.join(table.select(F.col("word").alias("key"), F.col("vector").alias("__v")), "key").groupBy("__w").agg(F.min_by("__v", "turn").alias("__v"))
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    return t.join(hit.withColumnRenamed("__w", word), word, "left").withColumn("vector", F.coalesce(F.col("__v").cast("array<double>"), zeros)).drop("__v")
+
+
+def padded_batch(t: DataFrame, group: str, order: str, ids: str, labels: str) -> DataFrame:
+    """``group, ids, labels`` as arrays of the longest group's length: ids padded with 0, labels with -1."""
+    g = t.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(order, ids, labels))).alias("t"))
+    n = g.agg(F.max(F.size("t")).alias("n"))
+    return g.crossJoin(F.broadcast(n)).select(  # one row
+        group, F.slice(F.concat(F.col(f"t.{ids}").cast("array<long>"), F.array_repeat(F.lit(0).cast("long"), F.col("n"))), F.lit(1), F.col("n")).alias("ids"),
+        F.slice(F.concat(F.col(f"t.{labels}").cast("array<long>"), F.array_repeat(F.lit(-1).cast("long"), F.col("n"))), F.lit(1), F.col("n")).alias("labels"),
+    )
+
+
+def length_splits(histogram: dict[int, int], k: int, passes: int = 1_000) -> list[int]:
+    """Largest lengths of ``k`` buckets: even parts of the sorted lengths, made distinct, then moved while padding falls.
+
+    The histogram has a row for each length, whatever the number of texts; fewer lengths than buckets are an error.
+    """
+    lens = sorted(histogram)
+    if len(lens) < k:
+        raise ValueError(f"{len(lens)} lengths for {k} buckets")
+    total, upto, at = sum(histogram.values()), 0, []
+    bounds = [(i + 1) * (total // k) + min(i + 1, total % k) for i in range(k)]
+    for i, n in enumerate(lens):
+        upto += histogram[n]
+        at += [i] * sum(1 for b in bounds[len(at) :] if b <= upto)
+    for j in range(k - 2, -1, -1):  # from the right: below the next, if there is room
+        at[j] = min(at[j], at[j + 1] - 1)
+    for j in range(k):
+        at[j] = max(at[j], j, at[j - 1] + 1 if j else 0)
+    rows = [0]
+    for n in lens:
+        rows.append(rows[-1] + histogram[n])
+
+    def padding(j: int, i: int) -> int:
+        """Cells of the two buckets that the split j parts, if it stood at i."""
+        first = at[j - 1] + 1 if j else 0
+        return (rows[i + 1] - rows[first]) * lens[i] + (rows[at[j + 1] + 1] - rows[i + 1]) * lens[at[j + 1]]
+
+    for _ in range(passes):
+        before = list(at)
+        for j in range(k - 1):
+            here, low = padding(j, at[j]), at[j - 1] + 1 if j else 0
+            if at[j] > low and padding(j, at[j] - 1) < here:
+                at[j] -= 1
+            elif at[j] + 1 < at[j + 1] and padding(j, at[j] + 1) <= here:
+                at[j] += 1
+        if at == before:
+            break
+    return [lens[i] for i in at]
+
+
+def char_stream(docs: DataFrame, vocab: DataFrame, backward: bool = False) -> DataFrame:
+    """``doc_id, pos, id`` of the characters of each text in ``vocab`` (item, cid), 0 for others; reversed if ``backward``."""
+    text = F.reverse("text") if backward else F.col("text")
+    c = docs.select("doc_id", F.posexplode(F.array_remove(F.split(text, ""), "")).alias("pos", "item"))
+    return c.join(F.broadcast(vocab.select("item", "cid")), "item", "left").select("doc_id", "pos", F.coalesce("cid", F.lit(0)).cast("long").alias("id"))
+
+
+def stream_batches(stream: DataFrame, columns: int) -> DataFrame:
+    """``doc_id, row, col, id, target`` of a stream in so many columns of equal length; what is left over goes, and the last row
+    has no target."""
+    w = Window.partitionBy("doc_id")
+    n = F.floor(F.count("*").over(w) / columns)
+    cells = stream.select("doc_id", "pos", "id", n.alias("n")).where("pos < n * " + str(columns))
+    cells = cells.select("doc_id", (F.col("pos") % F.col("n")).alias("row"), F.floor(F.col("pos") / F.col("n")).alias("col"), "id")
+    return cells.withColumn("target", F.lead("id").over(Window.partitionBy("doc_id", "col").orderBy("row")))
+
+
+def char_offsets(t: DataFrame) -> DataFrame:
+    """``sid, tid, forward, backward``: where a character model's state is read, at a token's end in the text of tokens with blanks
+    between, and at its beginning in the reversed text."""
+    w = Window.partitionBy("sid").orderBy("tid")
+    end = F.sum(F.length("tok") + 1).over(w) - 1
+    whole = F.sum(F.length("tok") + 1).over(Window.partitionBy("sid")) - 1
+    return t.select("sid", "tid", end.alias("forward"), (whole - end + F.length("tok")).alias("backward"))
+
+
+def original_order(df: DataFrame, bucket_col: str, index: str) -> DataFrame:
+    """Adds ``place``: where a row of (bucket, index in it) stood before bucketing, by its key ``doc_id``."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy("doc_id")) - 1).select("doc_id", bucket_col, index, "place")

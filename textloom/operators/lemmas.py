@@ -76,13 +76,6 @@ def lemmas(tokens: DataFrame, bases: DataFrame, exceptions: DataFrame | None = N
     return tokens.join(out.select("form", "pos", number.alias("lemma")), ["form", "pos"], "left")
 
 
-def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the longest common prefix of two strings."""
-    n = F.least(F.length(a), F.length(b))
-    same = F.transform(F.sequence(F.lit(0), n), lambda i: F.substr(a, F.lit(1), i) == F.substr(b, F.lit(1), i))
-    return F.aggregate(same, F.lit(0), lambda s, x: s + x.cast("int")) - 1
-
-
 # Penn Treebank tags and the coarse tags of lemmas; any other tag is XX.
 COARSE = {
     "AFX": "GW", "CC": "CC", "CD": "CD", "DT": "DT", "EX": "EX", "FW": "FW", "GW": "GW", "IN": "IN", "JJ": "JJ", "JJR": "JJ", "JJS": "JJ", "LS": "LS", "MD": "MD",

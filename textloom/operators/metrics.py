@@ -81,3 +81,55 @@ def edge_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 def perplexity(loss: Column) -> Column:
     return F.when(loss > 100, F.lit(float("nan"))).otherwise(F.exp(loss))
+
+
+def smoothed_f1(gold: DataFrame, pred: DataFrame, labeled: bool = True) -> DataFrame:
+    """``precision, recall, f1, seq_acc`` of edge sets sid, dep, head, rel, with 1e-12 in the denominators; a sentence is right if no
+    gold edge is missing. ``sid`` of sentences without gold edges must come in ``pred`` to count."""
+    keys = ["sid", "dep", "head", *(["rel"] if labeled else [])]
+    g, p = gold.select(*keys).distinct().withColumn("g", F.lit(1)), pred.select(*keys).distinct().withColumn("p", F.lit(1))
+    edges = g.unionByName(p, allowMissingColumns=True).groupBy(*keys).agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    both = F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull())
+    per = edges.groupBy("sid").agg(both.alias("k"), F.count("g").alias("g"), F.count("p").alias("p"))
+    s = per.agg(F.sum("k").alias("k"), F.sum("g").alias("g"), F.sum("p").alias("p"), F.avg((F.col("k") == F.col("g")).cast("int")).alias("seq_acc"))
+    a, b = F.col("k") / (F.col("p") + 1e-12), F.col("k") / (F.col("g") + 1e-12)
+    return s.select(F.round(a, 6).alias("precision"), F.round(b, 6).alias("recall"), F.round(2 * a * b / (a + b + 1e-12), 6).alias("f1"), F.round("seq_acc", 6).alias("seq_acc"))
+
+
+def graph_scores(gold: DataFrame, pred: DataFrame, tokens: DataFrame, mark: str = "PU") -> DataFrame:
+    """``part, ur, up, uf, lr, lp, lf`` in percent of edges sid, dep, head, rel whose dependent isn't tagged ``mark`` in ``tokens`` (sid, dep,
+    tag): of all, and of non-local ones, whose dependent doesn't have one head in each. A ratio over nothing is 0."""
+    g = gold.select("sid", "dep", "head", F.col("rel").alias("g")).distinct()
+    p = pred.select("sid", "dep", "head", F.col("rel").alias("p")).distinct()
+    own = tokens.where(F.col("tag") != mark).select("sid", "dep")
+    edges = g.join(p, ["sid", "dep", "head"], "full").join(own, ["sid", "dep"], "left_semi")
+    w = Window.partitionBy("sid", "dep")
+    edges = edges.withColumn("local", (F.count("g").over(w) == 1) & (F.count("p").over(w) == 1))
+    rows = edges.select("g", "p", F.explode(F.when(F.col("local"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("nonlocal")))).alias("part"))
+    s = rows.groupBy("part").agg(F.count("g").alias("gold"), F.count("p").alias("pred"), F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("u"), F.count_if(F.col("g") == F.col("p")).alias("l"))
+    percent = lambda a, b: F.round(F.coalesce(F.try_divide(100.0 * a, b), F.lit(0.0)), 6)
+    c = F.col
+    return s.select(
+        "part", *[x for k in "ul" for x in (percent(c(k), c("gold")).alias(f"{k}r"), percent(c(k), c("pred")).alias(f"{k}p"), percent(2 * c(k), c("gold") + c("pred")).alias(f"{k}f"))],
+    )
+
+
+class EvalMetric:
+    """Counts that add up over batches of chunk sets or labels, and the scores that follow from them."""
+
+    def __init__(self):
+        self.reset()
+
+    def reset(self) -> None:
+        self.correct = self.predicted = self.gold = 0
+
+    def update(self, gold: set, predicted: set) -> EvalMetric:
+        self.correct += len(gold & predicted)
+        self.predicted += len(predicted)
+        self.gold += len(gold)
+        return self
+
+    def get(self) -> tuple[float, float, float]:
+        p = self.correct / self.predicted if self.predicted else 0.0
+        r = self.correct / self.gold if self.gold else 0.0
+        return p, r, 2 * p * r / (p + r) if p + r else 0.0

@@ -64,3 +64,45 @@ def paint(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     )
     marked = rows.select("sid", "tid", F.concat(k, F.lit("-"), F.col("label")).alias("tag"))
     return tokens.select("sid", "tid").join(marked, ["sid", "tid"], "left").select("sid", "tid", F.coalesce("tag", F.lit("O")).alias("tag"))
+
+
+# Pairs of BILOU letters that need repair, and what they become under one label and under two.
+PAIRS = {
+    "BB": ("cur", "I", None), "BU": ("cur", "L", None), "BO": ("prev", "U", "U"), "IB": ("cur", "I", None), "IU": ("cur", "I", None), "IO": ("prev", "L", "L"),
+    "LI": ("cur", None, "B"), "LL": ("cur", None, "B"), "OI": ("cur", "B", "B"), "OL": ("cur", "B", "B"), "UI": ("prev", "B", None), "UL": ("prev", "B", None),
+}
+PAIRS = {
+    "BB": ("BI", "UB"), "BU": ("BL", "UU"), "BO": ("UO", "UO"), "IB": ("II", "LB"), "IU": ("II", "LU"), "IO": ("LO", "LO"), "LI": ("II", "LB"), "LL": ("IL", "LB"), "OI": ("OB", "OB"),
+    "OL": ("OB", "OB"), "UI": ("BI", "UB"), "UL": ("BL", "UB"),
+}
+
+
+def repaired(tag_list: Column) -> Column:
+    """A sentence's BILOU tags, made well-formed pair by pair from the left; an open chunk at the end is closed."""
+    table = F.create_map(*[F.lit(x) for k, (same, other) in PAIRS.items() for x in (f"{k}=", same)], *[F.lit(x) for k, (same, other) in PAIRS.items() for x in (f"{k}/", other)])
+    put = lambda tag, letter: F.when(letter == "O", F.lit("O")).otherwise(F.concat(letter, F.substring(tag, 2, 1 << 20)))
+
+    def step(acc: Column, cur: Column) -> Column:
+        prev = F.element_at(acc, -1)
+        key = F.concat(kind(prev), kind(cur), F.when(label(prev) == label(cur), F.lit("=")).otherwise(F.lit("/")))
+        new = F.element_at(table, key)
+        changed = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(put(prev, F.substring(new, 1, 1)), put(cur, F.substring(new, 2, 1))))
+        return F.when(F.size(acc) == 0, F.array(cur)).when(new.isNotNull(), changed).otherwise(F.concat(acc, F.array(cur)))
+
+    def close(acc: Column) -> Column:
+        last = F.element_at(acc, -1)
+        end = F.when(kind(last) == "B", put(last, F.lit("U"))).when(kind(last) == "I", put(last, F.lit("L"))).otherwise(last)
+        return F.when(F.size(acc) == 0, acc).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(end)))
+
+    return F.aggregate(tag_list, F.array().cast("array<string>"), step, close)
+
+
+def convert_scheme(t: DataFrame, source: str, target: str) -> DataFrame:
+    """Tags from one scheme to another: iob to iob (as IOB2) or iobes, ioblu to iobes."""
+    if (source, target) == ("iob", "iob"):
+        return iob1_to_iob2(t)
+    if (source, target) == ("iob", "iobes"):
+        return iob_to_iobes(iob1_to_iob2(t))
+    if (source, target) == ("ioblu", "iobes"):
+        return t.withColumn("tag", ioblu_to_iobes(F.col("tag")))
+    raise ValueError(f"no way from {source} to {target}")

@@ -55,3 +55,70 @@ def lowest_common(t: DataFrame, pairs: DataFrame) -> DataFrame:
     left = pairs.join(up.withColumnRenamed("node_id", "a").withColumnRenamed("distance", "da"), ["tree_id", "a"])
     both = left.join(up.withColumnRenamed("node_id", "b").withColumnRenamed("distance", "db"), ["tree_id", "b", "ancestor"])
     return both.groupBy("tree_id", "a", "b").agg(F.min_by("ancestor", F.col("da") + F.col("db")).alias("lca"))
+
+
+def children(t: DataFrame) -> DataFrame:
+    """``tree_id, node_id, child, at, n``: each child with its place from 0 and the number of children."""
+    w = Window.partitionBy("tree_id", "parent_id")
+    return t.where("parent_id <> 0").select("tree_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("child"), (F.row_number().over(w.orderBy("node_id")) - 1).alias("at"), F.count("*").over(w).alias("n"))
+
+
+def descendants(t: DataFrame) -> DataFrame:
+    """``tree_id, node_id, descendant, depth``: the ancestors turned round."""
+    return ancestors(t).select("tree_id", F.col("ancestor").alias("node_id"), F.col("node_id").alias("descendant"), F.col("distance").alias("depth"))
+
+
+def single_chain(t: DataFrame) -> DataFrame:
+    """``tree_id, node_id, lowest``: the end of the chain of only children below each node (itself, if it has none or several)."""
+    only = children(t).where("n = 1").select("tree_id", "node_id", "child")
+    step = ancestors(only.select("tree_id", F.col("child").alias("node_id"), F.col("node_id").alias("parent_id")))
+    deepest = step.groupBy("tree_id", F.col("ancestor").alias("node_id")).agg(F.max_by("node_id", "distance").alias("lowest"))
+    return t.select("tree_id", "node_id").join(deepest, ["tree_id", "node_id"], "left").select("tree_id", "node_id", F.coalesce("lowest", "node_id").alias("lowest"))
+
+
+def kth_siblings(t: DataFrame, k: int) -> DataFrame:
+    """``left_id, right_id``: the k-th sibling to either side."""
+    w = Window.partitionBy("tree_id", "parent_id").orderBy("node_id")
+    return t.select("tree_id", "node_id", F.lag("node_id", k).over(w).alias("left_id"), F.lead("node_id", k).over(w).alias("right_id"))
+
+
+def nearest_ancestor(t: DataFrame, matching: DataFrame, highest: bool = False) -> DataFrame:
+    """``tree_id, node_id, found``: the lowest (or highest) ancestor among ``matching`` (tree_id, node_id)."""
+    hit = ancestors(t).join(matching.select("tree_id", F.col("node_id").alias("ancestor")), ["tree_id", "ancestor"], "left_semi")
+    pick = F.max_by("ancestor", "distance") if highest else F.min_by("ancestor", "distance")
+    return hit.groupBy("tree_id", "node_id").agg(pick.alias("found"))
+
+
+def find_nodes(t: DataFrame, matching: DataFrame) -> DataFrame:
+    """``tree_id, node_id, found``: the nearest node below each node among ``matching``, the smallest of the nearest level."""
+    hit = descendants(t).join(matching.select("tree_id", F.col("node_id").alias("descendant")), ["tree_id", "descendant"], "left_semi")
+    return hit.groupBy("tree_id", "node_id").agg(F.min(F.struct("depth", "descendant")).alias("x")).select("tree_id", "node_id", F.col("x.descendant").alias("found"))
+
+
+def second_order(t: DataFrame) -> DataFrame:
+    """``tree_id, node_id, grandchild``."""
+    below = t.where("parent_id <> 0").select("tree_id", "node_id", "parent_id")
+    return below.alias("c").join(below.alias("p"), (F.col("c.tree_id") == F.col("p.tree_id")) & (F.col("c.parent_id") == F.col("p.node_id"))).select(
+        "c.tree_id", F.col("p.parent_id").alias("node_id"), F.col("c.node_id").alias("grandchild")
+    )
+
+
+def move(t: DataFrame, edits: DataFrame) -> DataFrame:
+    """The tree after nodes got other parents (tree_id, node_id, new_parent); 0 isolates a node. A cycle shows in ``ancestors``."""
+    return t.join(edits.select("tree_id", "node_id", "new_parent"), ["tree_id", "node_id"], "left").withColumn("parent_id", F.coalesce("new_parent", "parent_id")).drop("new_parent")
+
+
+def prune(t: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The tree without the given leaves, and without ancestors that have lost all that was below them."""
+    own = t.select("tree_id", "node_id").join(t.select("tree_id", F.col("parent_id").alias("node_id")).distinct(), ["tree_id", "node_id"], "left_anti")
+    kept = own.join(leaves.select("tree_id", "node_id"), ["tree_id", "node_id"], "left_anti")
+    alive = ancestors(t).join(kept, ["tree_id", "node_id"], "left_semi").select("tree_id", F.col("ancestor").alias("node_id")).unionAll(kept).distinct()
+    return t.join(alive, ["tree_id", "node_id"], "left_semi")
+
+
+def adopt(t: DataFrame, removed: DataFrame) -> DataFrame:
+    """The tree without the given nodes, whose children go to the nearest ancestor that is left."""
+    gone = removed.select("tree_id", "node_id")
+    left = t.join(gone, ["tree_id", "node_id"], "left_anti")
+    near = nearest_ancestor(t, left).withColumnRenamed("found", "near")
+    return left.join(near, ["tree_id", "node_id"], "left").withColumn("parent_id", F.coalesce("near", F.lit(0).cast("long"))).drop("near")

@@ -46,3 +46,58 @@ def downsample(df: DataFrame, order: str, p: float) -> DataFrame:
     """Keeps a row where the running sum of p passes an integer, and the first; ``order`` must be dense from 1."""
     i = F.col(order)
     return df.where((i == 1) | (F.floor(i * p) > F.floor((i - 1) * p)))
+
+
+def tag_dictionary(t: DataFrame, tag: str, *order: str, outside: bool = False) -> DataFrame:
+    """``item, cid``: ``O`` first if ``outside``, tags by first occurrence, then <START> and <STOP>."""
+    spark = t.sparkSession
+    rows = t.where(F.col(tag) != "O") if outside else t
+    own = first_seen(rows, tag, *order).select("item", (F.col("cid") + int(outside)).cast("long").alias("cid"))
+    n = own.agg((F.count("*") + int(outside)).alias("n"))
+    ends = n.select(F.inline(F.array(F.struct(F.lit("<START>").alias("item"), F.col("n").alias("cid")), F.struct(F.lit("<STOP>").alias("item"), (F.col("n") + 1).alias("cid")))))
+    out = own.unionAll(ends)
+    return out.unionAll(spark.range(1).select(F.lit("O"), F.lit(0).cast("long"))) if outside else out
+
+
+def label_dictionary(df: DataFrame, label: str) -> DataFrame:
+    """``item, cid``: the distinct labels in lexical order."""
+    own = df.where(F.col(label).isNotNull()).select(F.col(label).alias("item")).distinct()
+    return own.select("item", (F.row_number().over(Window.orderBy("item")) - 1).alias("cid"))
+
+
+def frequent(df: DataFrame, item: str, min_freq: int, most: int, *order: str) -> DataFrame:
+    """``item, freq, cid``: items of at least ``min_freq``, by frequency and then first occurrence, ``most`` of them."""
+    top = frequencies(df, item, *order).where(F.col("freq") >= min_freq).orderBy(F.desc("freq"), "at").limit(most)
+    return top.select("item", "freq", (F.row_number().over(Window.orderBy(F.desc("freq"), "at")) - 1).alias("cid"))
+
+
+def graph_vocabulary(t: DataFrame, word: str, tag: str, more_than: int, reserved: int = 3) -> DataFrame:
+    """``kind, item, id``: words above a frequency, then tags in lexical order in one numbering after the reserved ids."""
+    words = t.groupBy(F.col(word).alias("item")).agg(F.count("*").alias("freq")).where(F.col("freq") > more_than).select(F.lit("word").alias("kind"), "item", (-F.col("freq")).alias("by"))
+    tags = t.select(F.lit("tag").alias("kind"), F.col(tag).alias("item"), F.lit(0).cast("long").alias("by")).distinct()
+    ids = F.row_number().over(Window.orderBy(F.desc("kind"), "by", "item")) + (reserved - 1)
+    return words.unionAll(tags).select("kind", "item", ids.alias("id"))
+
+
+def extend(vocab: DataFrame, words: DataFrame) -> DataFrame:
+    """``item, id``: the words that the vocabulary lacks are numbered after it, in lexical order."""
+    new = words.select("item").where("item is not null").distinct().join(vocab.select("item"), "item", "left_anti")
+    last = vocab.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("last"))
+    more = new.withColumn("n", F.row_number().over(Window.orderBy("item"))).crossJoin(F.broadcast(last))  # one row
+    return vocab.select("item", F.col("id").cast("long").alias("id")).unionAll(more.select("item", (F.col("last") + F.col("n")).cast("long")))
+
+
+def strict_lookup(df: DataFrame, item: str, vocab: DataFrame) -> DataFrame:
+    """Ids of items; an item that the vocabulary lacks is an error."""
+    found = df.join(vocab.select(F.col("item").alias(item), "id"), item, "left")
+    return found.withColumn("id", F.coalesce("id", F.raise_error(F.concat(F.lit("not in the vocabulary: "), F.col(item))).cast("long")))
+
+
+def dev_sample(df: DataFrame, index: str, listed: DataFrame) -> DataFrame:
+    """Adds ``part``: dev for the rows whose index is listed (a column of that name), train for the others."""
+    marks = listed.select(index).distinct().withColumn("__dev", F.lit(True))
+    return df.join(marks, index, "left").withColumn("part", F.when(F.col("__dev"), "dev").otherwise("train")).drop("__dev")
+
+
+def shuffled(df: DataFrame, seed: int) -> DataFrame:
+    return df.orderBy(F.rand(seed))

@@ -91,3 +91,96 @@ def read_conll_u(spark: SparkSession, path: str) -> DataFrame:
 def write_lines(df: DataFrame, path: str) -> None:
     """Writes ``line`` as text, in the order of the partitions."""
     df.select("line").write.mode("overwrite").text(path)
+
+
+def edge_list(edges: Column) -> Column:
+    """``head:rel|head:rel`` of an array of (head, rel), by head; ``_`` for none."""
+    parts = F.transform(F.sort_array(edges), lambda e: F.concat_ws(":", e["head"].cast("string"), e["rel"]))
+    return F.when(F.size(edges) > 0, F.array_join(parts, "|")).otherwise(F.lit("_"))
+
+
+def sentence_lines(t: DataFrame, line: str = "line") -> DataFrame:
+    """``sid, block``: the lines of each sentence in order, as one text that ends with a blank line."""
+    g = t.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("tid", line))).alias("t"))
+    return g.select("sid", F.concat(F.array_join(F.col(f"t.{line}"), "\n"), F.lit("\n")).alias("block"))
+
+
+def write_sentences(t: DataFrame, path: str) -> None:
+    """Files of sentences with a blank line after each, in the order of ``sid`` over all files."""
+    sentence_lines(t).orderBy("sid").select("block").write.mode("overwrite").text(path)
+
+
+def scored_line(token: Column, gold: Column, pred: Column) -> Column:
+    """``token gold pred`` of an evaluation file."""
+    return F.concat_ws(" ", token, gold, pred)
+
+
+def merge_tags(gold: DataFrame, auto: DataFrame, column: int = 3) -> DataFrame:
+    """``sid, tid, line``: the rows of ``gold`` (sid, tid, f) with the tag of ``auto`` (sid, tid, gold, pred) in a column; rows that don't agree
+    on the gold tag are an error."""
+    both = gold.join(auto.select("sid", "tid", F.col("gold").alias("__gold"), F.col("pred").alias("__pred")), ["sid", "tid"], "left")
+    same = F.get("f", F.lit(column)) == F.col("__gold")
+    cells = F.transform("f", lambda x, i: F.when(i == column, F.col("__pred")).otherwise(x))
+    line = F.when(same, F.array_join(cells, "\t")).otherwise(F.raise_error(F.lit("the rows don't agree on the gold tag")).cast("string"))
+    return both.select("sid", "tid", line.alias("line"))
+
+
+def split_blocks(blocks: DataFrame, mark: str = "sent_id = 220") -> DataFrame:
+    """Adds ``part`` to blocks (a sentence each): dev where the block holds the mark."""
+    return blocks.withColumn("part", F.when(F.contains("block", F.lit(mark)), "dev").otherwise("train"))
+
+
+def first_share(blocks: DataFrame, ratio: float, order: str = "sid") -> DataFrame:
+    """The first share of the blocks, by ``order``."""
+    n = int(blocks.count() * ratio)
+    return blocks.orderBy(order).limit(n)
+
+
+def fetch_corpus(spark: SparkSession, train: str, columns: dict[str, int], test: str | None = None, dev: str | None = None, listed: DataFrame | None = None) -> DataFrame:
+    """``part, path, sid, tid`` and the columns of train, dev and test files; without dev files, the train sentences whose ``sid`` is listed."""
+    out = read_columns(spark, train, columns).withColumn("part", F.lit("train"))
+    if dev is None and listed is not None:
+        from ..operators.vocab import dev_sample
+
+        out = dev_sample(out.drop("part"), "sid", listed)
+    for name, path in (("dev", dev), ("test", test)):
+        if path is not None:
+            out = out.unionByName(read_columns(spark, path, columns).withColumn("part", F.lit(name)))
+    return out
+
+
+def to_documents(t: DataFrame, token: str = "tok", tag: str | None = None) -> DataFrame:
+    """``path, sens``: documents as arrays of sentences with their tokens and, if named, gold tags."""
+    cols = [F.col(token).alias("tok"), *([F.col(tag).alias("gold")] if tag else [])]
+    s = t.groupBy("path", "sid").agg(F.sort_array(F.collect_list(F.struct("tid", *cols))).alias("t"))
+    fields = [F.col("t.tok").alias("tok"), *([F.col("t.gold").alias("gold")] if tag else [])]
+    return s.select("path", F.struct("sid", *fields).alias("s")).groupBy("path").agg(F.sort_array(F.collect_list("s")).alias("sens"))
+
+
+def write_json(docs: DataFrame, path: str) -> None:
+    """One document a line, its nulls left out."""
+    docs.select(F.to_json(F.struct(*docs.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_words(spark: SparkSession, path: str) -> DataFrame:
+    """``word``: the distinct stripped lines."""
+    return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''").distinct()
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """``word, other`` of lines with two words."""
+    f = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).select(F.get(f, F.lit(0)).alias("word"), F.get(f, F.lit(1)).alias("other")).where("other is not null")
+
+
+def read_suffix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """``affix, pos, rank, suffix, replacements, doubled`` of XML files of ``affix`` elements with ``rule`` elements."""
+    rule = "rule array<struct<_affix_form:string,_replacements:string,_doubleConsonants:boolean>>"
+    r = spark.read.option("rowTag", "affix").schema(f"_form string, _org_pos string, {rule}").xml(path)
+    r = r.select(F.col("_form").alias("affix"), F.col("_org_pos").alias("pos"), F.posexplode("rule").alias("rank", "r"))
+    return r.select("affix", "pos", "rank", F.col("r._affix_form").alias("suffix"), F.split("r._replacements", ",", -1).alias("replacements"), F.coalesce("r._doubleConsonants", F.lit(False)).alias("doubled"))
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """``path, sha1`` of files."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha1("content").alias("sha1"))
