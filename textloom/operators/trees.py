@@ -35,7 +35,12 @@ def ancestors(t: DataFrame) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage by a checkpoint in the shared folder; a local one only where the session names none."""
     context = df.sparkSession.sparkContext
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir() and shared:
+        context.setCheckpointDir(shared)
     if not context.getCheckpointDir():
+        if not (context.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
     return df.checkpoint()
 
