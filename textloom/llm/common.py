@@ -30,9 +30,11 @@ def crc_mod(doc_id: str, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share; a local one only where the session names none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -124,7 +126,7 @@ class Forest:
         return True
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of (u, v) as (id, component), the smallest id of each; nodes without an edge are absent.
 
     Alternates large-star and small-star: minima are pre-aggregated map-side, each round is two shuffles, and every
@@ -135,9 +137,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc"
     )
     size = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-    for _ in range(max_rounds):
-        if not size[0]:
-            break
+    while size[0]:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

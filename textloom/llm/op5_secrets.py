@@ -176,3 +176,19 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("path").alias("doc_id"), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
         F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"),
     )
+
+
+def _spans_sql(no: int, rule: SecretRule) -> str:
+    p = rule.pattern.replace("'", "''")
+    return f"""SELECT id, {no} AS no, '{rule.kind}' AS kind, hit, val, sum(length(gap) + length(hit)) OVER (PARTITION BY id ORDER BY i) AS "end" FROM
+        (SELECT id, generate_subscripts(h, 1) AS i, unnest(h) AS hit, unnest(v) AS val, unnest(g[1:len(h)]) AS gap FROM (SELECT id, regexp_extract_all(t, '{p}') AS h,
+            regexp_extract_all(t, '{p}', {rule.value}) AS v, string_split_regex(t, '{p}') AS g FROM docs WHERE regexp_matches(t, '{p}')))"""
+
+
+#: The same rules by another engine: gaps between matches give the places.
+SQL = f"""WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+    found AS ({" UNION ALL ".join(f"SELECT * FROM ({_spans_sql(i, r)}) WHERE length(val) >= {r.least}" for i, r in enumerate(RULES))}),
+    told AS (SELECT id, no, "end" - length(hit) AS "begin", kind || ':' || CAST("end" - length(hit) AS BIGINT) || ':' || CAST("end" AS BIGINT) AS span, "end" FROM found),
+    per AS (SELECT id, count(*) FILTER (no = 0) AS a, count(*) FILTER (no = 1) AS b, count(*) FILTER (no = 2) AS c,
+        coalesce(string_agg(span, ',' ORDER BY "begin", no, "end") FILTER (no < {len(BASE_RULES)}), '') AS base, string_agg(span, ',' ORDER BY "begin", no, "end") AS spans FROM told GROUP BY id)
+    SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN per USING (id)"""
