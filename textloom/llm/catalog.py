@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op1_embedding_dedup as op1_module
 from . import op2_url_filter, op3_chat
+from . import op5_secrets as op5_module
+from . import op6_jaccard as op6_module
 from .op1_embedding_dedup import op1_embedding_dedup
 from .op2_url_filter import op2_url_filter as op2
 from .op3_chat import op3_chat as op3
@@ -30,4 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm": op9_lm,
     "op10_language": op10_language,
 }
-SQL: dict[str, str] = {"op2_url_filter": op2_url_filter.SQL, "op3_chat": op3_chat.SQL}
+SQL: dict[str, str] = {
+    "op1_embedding_dedup": op1_module.SQL, "op2_url_filter": op2_url_filter.SQL, "op3_chat": op3_chat.SQL, "op5_secrets": op5_module.SQL, "op6_jaccard": op6_module.SQL,
+}

@@ -3,7 +3,7 @@
 The halves of the unit vectors have codebooks of their own (k-means on a sample of at most ``SAMPLE`` vectors); a vector's
 cell is the pair of its nearest codewords. A vector visits the cells in the order of a multi-sequence traversal, by the
 sum of the halves' distances. How many it visits is fitted on the sample: as many as bring the recall of pairs at the
-threshold to ``TARGET``. Every vector is indexed and visits; pairs met are verified by cosine in double precision.
+threshold to ``TARGET``, all cells if it takes them. Equal vectors are one class, indexed once with its size; every class visits; pairs met are verified by cosine in double precision.
 
 A cell's vectors are dealt into blocks and so are its visitors, so a cell that holds a third of all vectors is many
 tasks. A task counts links with matrix products and returns one row per vector that it saw linked, with the root of its
@@ -32,7 +32,7 @@ TARGET = 0.995
 PER_CELL = 64
 BLOCK = 1_024
 VISITORS = 8_192
-MOST_VISITS = 64
+FIRST_VISITS = 64
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -80,7 +80,6 @@ def fit(x: np.ndarray, total: int, threshold: float, target: float) -> tuple[Gri
     k = int(np.clip(round((total / PER_CELL) ** 0.5), 1, 256))
     grid = Grid(codebook(x[:, :cut], k), codebook(x[:, cut:], k))
     cells = len(grid.left) * len(grid.right)
-    most = min(MOST_VISITS, cells)
     q = x[:QUERIES]
     a, b = np.nonzero((q @ x.T >= threshold) & (np.arange(len(x))[None] != np.arange(len(q))[:, None]))
     if len(a) > 20_000:  # enough to fit a number
@@ -91,20 +90,30 @@ def fit(x: np.ndarray, total: int, threshold: float, target: float) -> tuple[Gri
     away = rng.normal(size=q.shape)
     away -= (away * q).sum(axis=1, keepdims=True) * q
     made = threshold * q + (1 - threshold**2) ** 0.5 * away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
-    visits = grid.visit(q, most)
-    mine = np.concatenate([visits[a], visits])
-    other = np.concatenate([x[b], made])
-    back = np.concatenate([grid.visit(x[b], most), grid.visit(made, most)]) if len(other) else mine
-    own_cell = back[:, 0]
-    there = np.where((mine == own_cell[:, None]).any(axis=1), (mine == own_cell[:, None]).argmax(axis=1), most)
-    here = np.where((back == mine[:, :1]).any(axis=1), (back == mine[:, :1]).argmax(axis=1), most)
-    rank = np.minimum(there, here)
-    need = max(np.quantile(rank[part], target, method="higher") for part in (slice(0, len(a)), slice(len(a), None)) if len(rank[part]))
-    return grid, int(min(most, need + 1))
+    most = min(FIRST_VISITS, cells)
+    while True:
+        visits = grid.visit(q, most)
+        mine = np.concatenate([visits[a], visits])
+        other = np.concatenate([x[b], made])
+        back = np.concatenate([grid.visit(x[b], most), grid.visit(made, most)]) if len(other) else mine
+        own_cell = back[:, 0]
+        there = np.where((mine == own_cell[:, None]).any(axis=1), (mine == own_cell[:, None]).argmax(axis=1), most)
+        here = np.where((back == mine[:, :1]).any(axis=1), (back == mine[:, :1]).argmax(axis=1), most)
+        rank = np.minimum(there, here)
+        need = max(np.quantile(rank[part], target, method="higher") for part in (slice(0, len(a)), slice(len(a), None)) if len(rank[part]))
+        if need < most or most == cells:
+            return grid, int(min(most, need + 1))
+        most = min(4 * most, cells)
+
+
+def number_type(vectors: DataFrame) -> str:
+    """Four bytes a number where the vectors hold no more; products are in double precision all the same."""
+    return "<f4" if "array<float>" in dict(vectors.dtypes)["embedding"] else "<f8"
 
 
 def place(vectors: DataFrame, grid: Grid, n: int) -> DataFrame:
-    """``vec_id, cell, visits, vec`` (bytes of doubles) of usable vectors."""
+    """``vec_id, size, cell, visits, vec`` (bytes of its numbers) of usable vectors (vec_id, embedding, size)."""
+    kind = number_type(vectors)
     sent = vectors.sparkSession.sparkContext.broadcast(grid)  # at most 2 x 256 codewords
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +129,13 @@ def place(vectors: DataFrame, grid: Grid, n: int) -> DataFrame:
                     got = g.visit(unit(np.stack([rows[i] for i in mine])), n)
                     for i, v in zip(mine, got, strict=True):
                         cell[i], visits[i] = v[0], v.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cell), pa.array(visits, pa.list_(pa.int64())), pa.array([r.tobytes() for r in rows], pa.binary())], ["vec_id", "cell", "visits", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column(2), pa.array(cell), pa.array(visits, pa.list_(pa.int64())), pa.array([r.astype(kind).tobytes() for r in rows], pa.binary())], ["vec_id", "size", "cell", "visits", "vec"])
 
-    return vectors.mapInArrow(run, "vec_id long, cell long, visits array<long>, vec binary")
+    return vectors.mapInArrow(run, "vec_id long, size long, cell long, visits array<long>, vec binary")
 
 
-def count_links(threshold: float):
-    """Links of visitors with a block: rows of cell, block, lot, visitor, vec_id, own, visits, vec."""
+def count_links(threshold: float, kind: str):
+    """Links of visitors with a block: rows of cell, block, lot, visitor, vec_id, own, visits, vec, size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (cell, _, _), rows in stream_groups(batches, 3):
@@ -134,9 +143,9 @@ def count_links(threshold: float):
             ids = rows.column(4).to_numpy()
             if visitor.all() or not visitor.any():
                 continue
-            vecs = unit(np.stack([np.frombuffer(v) for v in rows.column(7).to_pylist()]))
+            vecs = unit(np.stack([np.frombuffer(v, kind) for v in rows.column(7).to_pylist()]))
             x, q = np.flatnonzero(~visitor), np.flatnonzero(visitor)
-            own = rows.column(5).to_numpy()
+            own, size = rows.column(5).to_numpy(), rows.column(8).to_numpy()
             seen = rows.column(6).take(pa.array(x)).to_pylist()
             back = {int(c): np.array([c in v for v in seen]) for c in np.unique(own[q])}
             n = np.zeros(len(ids), np.int64)
@@ -144,8 +153,8 @@ def count_links(threshold: float):
             for at in range(0, len(q), 1024):
                 part = q[at : at + 1024]
                 hit = (vecs[part] @ vecs[x].T >= threshold) & (ids[part][:, None] != ids[x][None])
-                n[part] += hit.sum(axis=1)
-                n[x] += (hit & ~np.stack([back[int(c)] for c in own[part]])).sum(axis=0)
+                n[part] += hit @ size[x]
+                n[x] += size[part] @ (hit & ~np.stack([back[int(c)] for c in own[part]]))
                 links.append(hit)
             hit = np.concatenate(links)
             if not hit.any():
@@ -168,7 +177,6 @@ def count_links(threshold: float):
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each vector of ``vectors`` (vec_id, embedding)."""
-    spark = vectors.sparkSession
     one = vectors.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.max("embedding").alias("embedding"))
     sound = ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
     good = one.where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
@@ -179,29 +187,35 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target: fl
     dim, total = sizes[0]
     drawn = good.where(F.size("embedding") == dim).orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
     grid, n = fit(unit(np.array(drawn.column(0).to_pylist(), np.float64)), total, threshold, target)
-    placed = save(place(good, grid, n), "placed")
+    key = [F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2")]
+    keyed = good.select("vec_id", *key, "embedding")
+    classes = save(keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.min("embedding").alias("embedding")), "classes")
+    placed = save(place(classes.select(F.col("rep").alias("vec_id"), "embedding", "size"), grid, n), "placed")
 
-    visits = placed.select("vec_id", F.col("cell").alias("own"), F.explode("visits").alias("cell"), "vec")
-    size = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    visits = placed.select("vec_id", F.col("cell").alias("own"), F.explode("visits").alias("cell"), "vec", "size")
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     lots = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / VISITORS).cast("long").alias("lots"))
-    plan = F.broadcast(size.join(lots, "cell"))  # a row per cell, at most 65536 and one per odd length
+    plan = F.broadcast(sizes.join(lots, "cell"))  # a row per cell, at most 65536 and one per odd length
     to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     held = placed.join(plan, "cell").select(
         "cell", F.pmod(F.xxhash64("vec_id"), "blocks").alias("block"), to("lots").alias("lot"), F.lit(False).alias("visitor"),
-        "vec_id", F.col("cell").alias("own"), "visits", "vec",
+        "vec_id", F.col("cell").alias("own"), "visits", "vec", "size",
     )
     come = visits.join(plan, "cell").select(
         "cell", to("blocks").alias("block"), F.pmod(F.xxhash64("vec_id"), "lots").alias("lot"), F.lit(True).alias("visitor"),
-        "vec_id", "own", F.array().cast("array<bigint>").alias("visits"), "vec",
+        "vec_id", "own", F.array().cast("array<bigint>").alias("visits"), "vec", "size",
     )
     keys = ["cell", "block", "lot"]
     found = save(
-        held.unionAll(come).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(count_links(threshold), "vec_id long, n long, root long"), "links"
+        held.unionAll(come).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(count_links(threshold, number_type(good)), "vec_id long, n long, root long"), "links"
     )
     n_links = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     comp = components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("id", "vec_id")
-    del spark
-    return one.select("vec_id").join(n_links, "vec_id", "left").join(comp, "vec_id", "left").select(
+    of_class = classes.select(F.col("rep").alias("vec_id"), "k1", "k2", "size").join(n_links, "vec_id", "left").join(comp, "vec_id", "left").select(
+        "k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n"), F.coalesce("component", "vec_id").alias("component")
+    )
+    linked = keyed.select("vec_id", "k1", "k2").join(of_class, ["k1", "k2"]).select("vec_id", "n", "component")
+    return one.select("vec_id").join(linked, "vec_id", "left").select(
         "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"),
         F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"),
     )
@@ -209,3 +223,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target: fl
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: Every pair by cosine, then the smallest id in reach.
+SQL = """WITH RECURSIVE one AS (SELECT vec_id, max(embedding)::DOUBLE[] AS v FROM embeddings GROUP BY vec_id),
+    good AS (SELECT * FROM one WHERE vec_id IS NOT NULL AND len(v) > 0 AND list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0))),
+    link AS (SELECT a.vec_id AS u, b.vec_id AS w FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+    reach AS (SELECT vec_id AS u, vec_id AS w FROM one UNION SELECT r.u, l.w FROM reach r JOIN link l ON r.w = l.u)
+    SELECT o.vec_id, (SELECT count(*) FROM link WHERE u = o.vec_id) AS n_links, coalesce(m, o.vec_id) AS component_id, coalesce(m = o.vec_id, false) AS kept
+    FROM one o LEFT JOIN (SELECT u, min(w) AS m FROM reach GROUP BY u) ON u = o.vec_id"""
