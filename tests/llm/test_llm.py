@@ -411,3 +411,27 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     assert not df.where(F.col("text").contains("password=")).count()
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == kept[3]
+
+
+def test_pipeline_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    extra = "blob rep p score rejected lang_pred k1 k2 hits items hash pos words component_id n_shingles text_ length".split()
+    secret = 'token = "abcdefghijklmnop1234"'
+    texts = [prose(i, 60) for i in range(40)] + [prose(0, 60), f"{prose(77, 50)} {secret}", None]
+    rows = [(i, t, "en", "s", len(t or ""), *["x"] * len(extra)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS + "".join(f", {c} string" for c in extra))
+    spark.createDataFrame([(1, prose(5, 60))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns, name
+        got = {r.doc_id: r.text for r in out.collect()}
+        if name == "near_duplicates":
+            assert 0 in got and 40 not in got
+        if name == "decontaminate":
+            assert 5 not in got and len(got) == len(texts) - 1
+        if name == "secrets":
+            assert secret not in got[41] and got[42] is None and got[1] == texts[1]
+    assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() == len(texts)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0

@@ -157,8 +157,8 @@ def redact_all(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     mine = docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
     distinct = mine.groupBy("__blob").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).alias("p"))
-    reps = distinct.select(F.col("__blob").alias("blob"), F.col("p.doc_id").alias("rep"))
-    unseen = mine.join(reps.hint("shuffle_hash"), (F.col("__blob") == F.col("blob")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    reps = distinct.select(F.col("__blob").alias("__of"), F.col("p.doc_id").alias("__rep"))
+    unseen = mine.join(reps.hint("shuffle_hash"), (F.col("__blob") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi")
     found = scan_blobs(unseen.select(F.col("__blob").alias("blob"), F.col(text).alias("text"))).where(F.size("spans") > 0)
     per_kind = found.groupBy("blob", "kind_no").agg(F.first("spans").alias("spans"))
     spans = save(per_kind.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("__spans")), "secrets")
