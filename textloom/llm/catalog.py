@@ -20,6 +20,8 @@ from .op7_decontaminate import op7_decontaminate
 from .op8_packing import op8_packing
 from .op9_lm import op9_lm
 from .op10_language import op10_language
+from .op11_merkle import SQL as OP11_SQL
+from .op11_merkle import op11_merkle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
@@ -32,7 +34,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_lm": op9_lm,
     "op10_language": op10_language,
+    "op11_merkle": op11_merkle,
 }
 SQL: dict[str, str] = {
     "op1_embedding_dedup": op1_module.SQL, "op2_url_filter": op2_url_filter.SQL, "op3_chat": op3_chat.SQL, "op5_secrets": op5_module.SQL, "op6_jaccard": op6_module.SQL,
+    "op11_merkle": OP11_SQL,
 }
