@@ -22,6 +22,8 @@ from .op9_lm import op9_lm
 from .op10_language import op10_language
 from .op11_merkle import SQL as OP11_SQL
 from .op11_merkle import op11_merkle
+from .op13_runs import SQL as OP13_SQL
+from .op13_runs import op13_runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
@@ -35,8 +37,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm": op9_lm,
     "op10_language": op10_language,
     "op11_merkle": op11_merkle,
+    "op13_runs": op13_runs,
 }
 SQL: dict[str, str] = {
     "op1_embedding_dedup": op1_module.SQL, "op2_url_filter": op2_url_filter.SQL, "op3_chat": op3_chat.SQL, "op5_secrets": op5_module.SQL, "op6_jaccard": op6_module.SQL,
     "op11_merkle": OP11_SQL,
+    "op13_runs": OP13_SQL,
 }
