@@ -22,6 +22,8 @@ from .op9_lm import op9_lm
 from .op10_language import op10_language
 from .op11_merkle import SQL as OP11_SQL
 from .op11_merkle import op11_merkle
+from .op12_licenses import SQL as OP12_SQL
+from .op12_licenses import op12_licenses
 from .op13_runs import SQL as OP13_SQL
 from .op13_runs import op13_runs
 
@@ -37,10 +39,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm": op9_lm,
     "op10_language": op10_language,
     "op11_merkle": op11_merkle,
+    "op12_licenses": op12_licenses,
     "op13_runs": op13_runs,
 }
 SQL: dict[str, str] = {
     "op1_embedding_dedup": op1_module.SQL, "op2_url_filter": op2_url_filter.SQL, "op3_chat": op3_chat.SQL, "op5_secrets": op5_module.SQL, "op6_jaccard": op6_module.SQL,
     "op11_merkle": OP11_SQL,
+    "op12_licenses": OP12_SQL,
     "op13_runs": OP13_SQL,
 }

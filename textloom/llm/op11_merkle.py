@@ -8,8 +8,8 @@ their value, make the root in the same way.
 Leaves get their index by distributed ranks. Each task then walks a range of indexed leaves with a stack that holds, for each level, the
 nodes of an open run (the peaks of a mountain range). A node that fills its run is a carry: the parent is emitted as a record and pushed one level up.
 The number of leaves is known, so the last run of a level is full when it has what is left. Nodes of runs that cross the edge of a task
-are handed on: merging reads them over ranges that grow sixteen times a round, with the same stack, until one task is left; a task hands
-on at most 2 * (base - 1) nodes a level, so no round gathers more than that from each of sixteen tasks.
+are handed on, at most 2 * (base - 1) a level. They are merged with the same stack in spans of the index, about sixteen tasks' leaves at first; what a span can't
+settle is its own top, so each next round merges about sixteen nodes a group, until a span holds the longest tree.
 
 Proofs go down in storeys of some levels. A block of a storey is the leaves and records below one node, ``BLOCK`` leaves at most,
 and one row that holds what is above it; so a task holds one block, whatever the share of a value.
@@ -120,20 +120,37 @@ def walk(base: int):
     return run
 
 
+def merge(base: int):
+    """The nodes of one span of a tree, as ``walk``."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["first", "level"])
+        at, out = Range(p["g"].iloc[0], int(p["n"].iloc[0]), base), []
+        for level, i, d in zip(p["level"], p["idx"], p["digest"], strict=True):
+            out += at.add(int(level), int(i), d)
+        return pd.DataFrame([*out, *at.close()], columns=["g", "n", "level", "idx", "digest", "open"])
+
+    return run
+
+
 def records(leaves: DataFrame, base: int = BASE) -> DataFrame:
     """``g, n, level, idx, digest``: all nodes above the leaves of each tree; ``leaves``: g, n, idx, digest."""
     parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = F.col("idx").cast("decimal(38,0)") * F.pow(F.lit(float(base)), "level").cast("decimal(20,0)")
-    nodes, done = leaves.select("g", "n", F.lit(0).alias("level"), "idx", "digest"), None
-    while True:
-        spread = nodes.withColumn("first", first).repartitionByRange(parts, "g", "first").sortWithinPartitions("g", "first", "level")
-        out = save(spread.drop("first").mapInArrow(walk(base), NODE), "merkle")
-        new = out.where("not open").drop("open")
-        done = new if done is None else done.unionAll(new)
-        nodes = out.where("open").drop("open")
-        if parts == 1 or nodes.isEmpty():
-            return done
-        parts = ceil(parts / ROUND)
+    rows, most = leaves.agg(F.count("*"), F.max("n")).first()
+    spread = leaves.select("g", "n", F.lit(0).alias("level"), "idx", "digest").repartitionByRange(parts, "g", "idx").sortWithinPartitions("g", "idx")
+    out = save(spread.mapInArrow(walk(base), NODE), "merkle")
+    done, nodes = out.where("not open").drop("open"), out.where("open").drop("open")
+    step = max(1, round(log(ROUND, base)))
+    level = ceil(log(max(rows // parts, 1), base)) + step  # spans of some tasks' leaves
+    while rows:
+        first = F.col("idx") * F.pow(F.lit(float(base)), "level").cast("long")
+        by = nodes.withColumn("first", first).withColumn("span", F.floor(F.col("first") / F.lit(float(base)) ** level))
+        out = save(by.groupBy("g", "span").applyInPandas(merge(base), NODE), "merkle")
+        done, nodes = done.unionAll(out.where("not open").drop("open")), out.where("open").drop("open")
+        if base**level >= most:
+            break
+        level += step
+    return done
 
 
 def storey(base: int, levels: int, low: int, last: bool):
