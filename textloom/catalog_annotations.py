@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .catalog import EV, FORMS, TREE, WORDS, forms, query, read, tagged, tree, words
+from .catalog import EV, FORMS, LENGTHS, TREE, WORDS, forms, query, read, tagged, tree, words
 from .functions import chars
 from .operators import decoders, english, features, metrics, morphology, tags, text, trees, vocab
+from .operators.ranks import durable, ranked
 from .sources import columns
 
 TOKS = r"""toks AS (SELECT doc_id AS sid, generate_subscripts(p, 1) - 1 AS tid, unnest(p) AS tok FROM
@@ -339,3 +340,92 @@ def softmax_tags(spark, d):
     e = e.select(F.concat_ws("-", "label", F.floor(order / 10)).alias("s"), F.col("vec_id").alias("tid"), F.slice("embedding", 1, 4).alias("scores"))
     e = e.withColumn("sid", F.xxhash64("s")).select("sid", "tid", "scores")
     return decoders.decode_paths(e, [[0.4 if i == j else 0.2 for j in range(4)] for i in range(4)], softmax=True)
+
+
+MIXED = "((({m} * {m}) % 2147483647) * 31 + {m} * 7 + {v} % 2147483647) % 2147483647"
+
+
+def _mixed_sql(seed: str, turn: int, v: str) -> str:
+    m = f"((({v}) % 2147483647 * 48271 + ({seed}) % 65536 * 16807 + {(turn + 1) * 69621}) % 2147483647)"
+    return MIXED.format(m=m, v=f"({v})")
+
+
+def permuted_sql(name: str, rows: str, seed: str, out: str = "place") -> str:
+    """CTEs ``name``: the rows of ``rows`` (with i, n) and ``out``."""
+    a, b = "ceil(sqrt(n::DOUBLE))::BIGINT", f"ceil(n / ceil(sqrt(n::DOUBLE)))::BIGINT"
+    steps, last = [f"{name}0 AS (SELECT *, {a} AS side, {b} AS cols, i AS x, 0 AS walk FROM {rows})"], f"{name}0"
+    turn = f"SELECT * REPLACE (u * cols + v AS x, walk + 1 AS walk) EXCLUDE (u, v) FROM (SELECT * REPLACE ((v + {_mixed_sql(seed, 3, 'u')}) % cols AS v) FROM (SELECT * REPLACE ((u + {_mixed_sql(seed, 2, 'v')}) % side AS u) FROM (SELECT * REPLACE ((v + {_mixed_sql(seed, 1, 'u')}) % cols AS v) FROM (SELECT * REPLACE ((u + {_mixed_sql(seed, 0, 'v')}) % side AS u) FROM (SELECT *, x // cols AS u, x % cols AS v FROM {{}})))))"
+    turn = turn.replace("* REPLACE (u * cols + v AS x, walk + 1 AS walk) EXCLUDE (u, v)", "* EXCLUDE (u, v, x, walk), u * cols + v AS x, walk + 1 AS walk")
+    steps.append(f"{name}w AS ({turn.format(last)} UNION ALL {turn.format(f'(SELECT * FROM {name}w WHERE x >= n)')})")
+    steps.append(f"{name} AS (SELECT * EXCLUDE (x, walk, side, cols), x AS {out} FROM {name}w WHERE x < n)")
+    return ", ".join(steps)
+
+
+@query("shuffled_docs", f"""WITH RECURSIVE r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+    {permuted_sql("p", "r", "17")} SELECT doc_id, lang, place FROM p""")
+def shuffled_docs(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    return features.shuffled(docs, [F.desc("n_chars"), "doc_id"], 17, ["lang"]).select("doc_id", "lang", "place")
+
+
+@query("sampled_batches", rf"""WITH RECURSIVE c AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) + 1 AS len FROM documents),
+    b AS (SELECT doc_id, CASE WHEN len <= 50 THEN 50 WHEN len <= 200 THEN 200 WHEN len <= 1000 THEN 1000 WHEN len <= 5000 THEN 5000 ELSE 1000000 END AS bucket FROM c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY bucket) AS n, greatest(20000 // bucket, 1) AS size FROM b),
+    {permuted_sql("p", "r", "5 * 1009 + 2 + bucket")},
+    q AS (SELECT bucket, sum(k) OVER (ORDER BY bucket) - k AS start, CAST(sum(k) OVER () AS BIGINT) AS n FROM (SELECT bucket, max(n) AS m, (max(n) + max(size) - 1) // max(size) AS k FROM r GROUP BY bucket)),
+    t AS (SELECT p.doc_id, p.bucket, place % size AS slot, CAST(start + place // size AS BIGINT) AS i, q.n FROM p JOIN q USING (bucket)),
+    {permuted_sql("z", "t", "5 * 1009 + 2", "batch")} SELECT doc_id, bucket, batch, slot FROM z""")
+def sampled_batches(spark, d):
+    n = read(spark, d, "documents").select("doc_id", (F.regexp_count("text", F.lit(r"\S+")) + 1).alias("n"))
+    b = n.select("doc_id", features.bucket(F.col("n"), LENGTHS).alias("bucket"))
+    return features.sampled_batches(b, "bucket", "doc_id", 20_000, 5, 2).select("doc_id", "bucket", "batch", "slot")
+
+
+@query("downsample_ranked", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS i FROM documents) WHERE i = 1 OR floor(i * 0.125) > floor((i - 1) * 0.125)")
+def downsample_ranked(spark, d):
+    return vocab.downsample(read(spark, d, "documents").select("doc_id", "n_chars"), [F.desc("n_chars"), "doc_id"], 0.125).select("doc_id")
+
+
+@query("original_order", r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) + 1 AS len FROM documents),
+    b AS (SELECT doc_id, CASE WHEN len <= 50 THEN 50 WHEN len <= 200 THEN 200 WHEN len <= 1000 THEN 1000 WHEN len <= 5000 THEN 5000 ELSE 1000000 END AS bucket FROM c)
+    SELECT doc_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS "index", row_number() OVER (ORDER BY doc_id) - 1 AS place FROM b""")
+def original_order(spark, d):
+    n = read(spark, d, "documents").select("doc_id", (F.regexp_count("text", F.lit(r"\S+")) + 1).alias("n"))
+    b = n.select("doc_id", features.bucket(F.col("n"), LENGTHS).alias("bucket"))
+    return features.original_order(ranked(b, ["doc_id"], ["bucket"], "index"), "bucket", "index")
+
+
+@query("interned", f"""WITH {WORDS}, w AS (SELECT *, doc_id % 3 AS turn FROM words), f AS (SELECT tok AS item, min(struct_pack(t := turn, a := doc_id, b := tid)) AS seen FROM w GROUP BY tok)
+    SELECT item, row_number() OVER (ORDER BY seen) - 1 AS id FROM f""")
+def interned(spark, d):
+    """Three batches one after another; the SQL numbers all at once."""
+    w, ids = words(spark, d).select("doc_id", "tid", "tok"), None
+    for turn in range(3):
+        ids = durable(vocab.intern(ids, w.where(F.col("doc_id") % 3 == turn), "tok", "doc_id", "tid"), "interned")
+    return ids
+
+
+@query("normalised_vectors", """WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, unnest(list_transform(embedding, lambda x: 0)) FROM embeddings WHERE vec_id % 3 = 0),
+    s AS (SELECT stddev_pop(x) AS sd FROM v) SELECT vec_id, round(CASE WHEN vec_id % 3 = 0 THEN 0 ELSE list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / sd END, 5) AS total FROM embeddings, s""")
+def normalised_vectors(spark, d):
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    got = vocab.normalised(e.where("item % 3 <> 0"), e, 64)
+    return got.select(F.col("id").alias("vec_id"), F.round(F.reduce("vector", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+PATHS = TREE + """, up AS (SELECT tree_id, node_id, [node_id] AS path FROM tree WHERE parent_id = 0 UNION ALL SELECT t.tree_id, t.node_id, list_append(u.path, t.node_id)
+        FROM tree t JOIN up u ON t.tree_id = u.tree_id AND t.parent_id = u.node_id),
+    pre AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY path) - 1 AS enter, len(path) - 1 AS depth FROM up),
+    size AS (SELECT tree_id, a AS node_id, count(*) AS k FROM (SELECT tree_id, unnest(path) AS a FROM up) GROUP BY 1, 2)"""
+
+
+@query("tree_intervals", f"""WITH RECURSIVE {PATHS} SELECT tree_id, node_id, enter, enter + k - 1 AS "last", depth FROM pre JOIN size USING (tree_id, node_id)""")
+def tree_intervals(spark, d):
+    return trees.intervals(tree(spark, d))
+
+
+@query("tree_contains", f"""WITH RECURSIVE {PATHS} SELECT a.tree_id, a.node_id // 3 + 1 AS a, a.node_id AS b, list_contains(a.path, a.node_id // 3 + 1) AND a.node_id <> a.node_id // 3 + 1 AS below FROM up a""")
+def tree_contains(spark, d):
+    t = tree(spark, d)
+    pairs = t.select("tree_id", (F.floor(F.col("node_id") / 3) + 1).alias("a"), F.col("node_id").alias("b"))
+    return trees.contains(pairs, trees.intervals(t))

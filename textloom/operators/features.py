@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 OFFSETS = (3, 2, 1, 0, -1, -2, -3)
 
 
@@ -35,14 +37,74 @@ def bucket(length: Column, splits: list[int]) -> Column:
 
 
 def batches(df: DataFrame, bucket_col: str, order: str, budget: int) -> DataFrame:
-    """Batches of about ``budget`` tokens in each bucket, as even parts in order."""
-    w = Window.partitionBy(bucket_col)
-    n = F.count("*").over(w)
+    """Batches of about ``budget`` tokens in each bucket, as even parts in order; a bucket of any size is ranked by ranges."""
+    n, i = F.col("__n"), F.col("__i")
     parts = F.least(F.greatest(F.floor(n * F.col(bucket_col) / budget), F.lit(1)), n)
-    i = F.row_number().over(w.orderBy(order)) - 1
     big, size = n % parts, F.floor(n / parts)
     at = F.when(i < big * (size + 1), F.floor(i / (size + 1))).otherwise(big + F.floor((i - big * (size + 1)) / size))
-    return df.withColumn("batch", at)
+    return ranked(df, [order], [bucket_col], "__i", "__n").withColumn("batch", at).drop("__i", "__n")
+
+
+PRIME = 2_147_483_647
+WALKS = 16
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _mixed(seed: Column, turn: int, v: Column) -> Column:
+    """A number below PRIME from a seed and a value, in whole numbers that any SQL computes alike."""
+    first = ((v % PRIME) * 48_271 + (seed % 65_536) * 16_807 + (turn + 1) * 69_621) % PRIME
+    return _let(first, lambda m: ((m * m) % PRIME * 31 + m * 7 + v % PRIME) % PRIME)
+
+
+def permuted(rank: Column, n: Column, seed: Column | int) -> Column:
+    """A bijection of 0..n-1, keyed by ``seed``: places for ranks without a sort.
+
+    The rank is a cell of a grid of a rows and b columns, the least with a x b >= n whose sides are near the root of n. Four turns add to one
+    coordinate a number made from the other, which is a bijection of the grid; a cell outside of 0..n-1 is moved on until it is inside. At
+    most a - 1 cells are outside, so ``WALKS`` moves suffice for n up to 256, and beyond that all but never fail; failing is an error.
+    """
+    seed = F.lit(seed).cast("long") if isinstance(seed, int) else seed.cast("long")
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    b = F.ceil(n / a).cast("long")
+
+    def turns(u: Column, v: Column, turn: int) -> Column:
+        if turn == 4:
+            return u * b + v
+        return _let((u + _mixed(seed, turn, v)) % a, lambda u: _let((v + _mixed(seed, turn + 1, u)) % b, lambda v: turns(u, v, turn + 2)))
+
+    def move(x: Column) -> Column:
+        return _let(F.floor(x / b), lambda u: _let(x % b, lambda v: turns(u, v, 0)))
+
+    walk = F.reduce(F.sequence(F.lit(1), F.lit(WALKS)), -rank.cast("long") - 1, lambda x, _: F.when((x >= 0) & (x < n), x).otherwise(move(F.when(x < 0, -x - 1).otherwise(x))))
+    return F.when(walk < n, walk).otherwise(F.raise_error(F.lit("no place found: raise WALKS")).cast("long"))
+
+
+def shuffled(df: DataFrame, order: list[str], seed: int, within: list[str] | None = None, name: str = "place") -> DataFrame:
+    """Adds ``name``, a place in a random order of the rows (of each value of ``within``). It depends on the seed and on the rank by the key ``order``
+    only, so it is the same on any partitioning."""
+    rows = ranked(df, order, within, "__i", "__n")
+    return rows.withColumn(name, permuted(F.col("__i"), F.col("__n"), seed)).drop("__i", "__n")
+
+
+def sampled_batches(df: DataFrame, bucket_col: str, order: str, budget: int, seed: int, epoch: int) -> DataFrame:
+    """Adds ``batch``, its number in the epoch, and ``slot``, the place in it: each row once an epoch, in batches of one bucket.
+
+    A bucket holds ``budget`` tokens a batch, so a batch of long sentences has fewer; its quota is as many batches as its rows fill. Rows are dealt to
+    the batches of their bucket, and batches to their turn, by the permutations of seed and epoch.
+    """
+    key = seed * 1_009 + epoch
+    size = F.greatest(F.floor(F.lit(budget) / F.col(bucket_col)), F.lit(1))
+    rows = ranked(df, [order], [bucket_col], "__i", "__n").withColumn("__place", permuted(F.col("__i"), F.col("__n"), F.lit(key) + F.col(bucket_col)))
+    quota = df.groupBy(bucket_col).agg(F.count("*").alias("__rows")).withColumn("__quota", F.ceil(F.col("__rows") / size))
+    quota = ranked(quota, [bucket_col], name="__b").orderBy("__b").select(bucket_col, "__quota")  # a row for each bucket
+    w = Window.partitionBy(F.lit(0)).orderBy(bucket_col)
+    quota = quota.withColumn("__from", F.sum("__quota").over(w) - F.col("__quota")).withColumn("__all", F.sum("__quota").over(Window.partitionBy(F.lit(0))))
+    rows = rows.join(F.broadcast(quota), bucket_col).withColumn("batch", permuted((F.col("__from") + F.floor(F.col("__place") / size)).cast("long"), F.col("__all").cast("long"), key))
+    return rows.withColumn("slot", (F.col("__place") % size).cast("long")).drop("__i", "__n", "__place", "__quota", "__from", "__all")
 
 
 def concat_named(vectors: dict[str, Column]) -> Column:
@@ -63,14 +125,15 @@ def word_vectors(t: DataFrame, word: str, table: DataFrame, dim: int, loose: boo
     return t.join(hit.withColumnRenamed("__w", word), word, "left").withColumn("vector", F.coalesce(F.col("__v").cast("array<double>"), zeros)).drop("__v")
 
 
-def padded_batch(t: DataFrame, group: str, order: str, ids: str, labels: str) -> DataFrame:
-    """``group, ids, labels`` as arrays of the longest group's length: ids padded with 0, labels with -1."""
-    g = t.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(order, ids, labels))).alias("t"))
-    n = g.agg(F.max(F.size("t")).alias("n"))
-    return g.crossJoin(F.broadcast(n)).select(  # one row
-        group, F.slice(F.concat(F.col(f"t.{ids}").cast("array<long>"), F.array_repeat(F.lit(0).cast("long"), F.col("n"))), F.lit(1), F.col("n")).alias("ids"),
-        F.slice(F.concat(F.col(f"t.{labels}").cast("array<long>"), F.array_repeat(F.lit(-1).cast("long"), F.col("n"))), F.lit(1), F.col("n")).alias("labels"),
-    )
+def padded_batch(t: DataFrame, group: str, order: str, ids: str, labels: str, batch: str | None = None) -> DataFrame:
+    """``group, ids, labels`` as arrays of the longest length in the group's ``batch`` (of the rows, if none is named): ids padded with 0,
+    labels with -1. The batch is the first column, if named."""
+    b = batch or "__batch"
+    rows = t if batch else t.withColumn(b, F.lit(0))
+    g = rows.groupBy(b, group).agg(F.sort_array(F.collect_list(F.struct(order, ids, labels))).alias("t"))
+    longest = rows.groupBy(b, group).agg(F.count("*").alias("n")).groupBy(b).agg(F.max("n").cast("int").alias("n"))
+    fill = lambda c, pad: F.slice(F.concat(F.col(c).cast("array<long>"), F.array_repeat(F.lit(pad).cast("long"), F.col("n"))), F.lit(1), F.col("n"))
+    return g.join(longest, b).select(*([batch] if batch else []), group, fill(f"t.{ids}", 0).alias("ids"), fill(f"t.{labels}", -1).alias("labels"))
 
 
 def length_splits(histogram: dict[int, int], k: int, passes: int = 1_000) -> list[int]:
@@ -138,6 +201,6 @@ def char_offsets(t: DataFrame) -> DataFrame:
     return t.select("sid", "tid", end.alias("forward"), (whole - end + F.length("tok")).alias("backward"))
 
 
-def original_order(df: DataFrame, bucket_col: str, index: str) -> DataFrame:
-    """Adds ``place``: where a row of (bucket, index in it) stood before bucketing, by its key ``doc_id``."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy("doc_id")) - 1).select("doc_id", bucket_col, index, "place")
+def original_order(df: DataFrame, bucket_col: str, index: str, key: str = "doc_id") -> DataFrame:
+    """``key, bucket, index, place``: where a row of (bucket, index in it) stood before bucketing, by its key."""
+    return ranked(df, [key], name="place").select(key, bucket_col, index, "place")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chars import doubled_consonant_morph
 from .lemmas import coarse
-from .trees import durable
+from .ranks import durable
 
 MORPHS = "array<struct<form:string,tag:string>>"
 RULE = "lexicon string, rank int, tag string, affix string, replacements array<string>, tags array<string>, lemma_tag string, doubled boolean"

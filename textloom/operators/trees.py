@@ -1,48 +1,113 @@
-"""Tree algebra over adjacency rows ``tree_id, node_id, parent_id`` (0: none)."""
+"""Tree algebra over adjacency rows ``tree_id, node_id, parent_id`` (0: none).
 
-from __future__ import annotations
+Nothing walks level by level. Pointers double: after k rounds a row points 2^k ancestors up, so a tree of any depth takes the logarithm of its
+depth in rounds of n rows. ``jumps`` keeps all rounds, for walks by binary lifting; ``intervals`` ranks the list of entering and leaving
+nodes in the same way, after which a question about a subtree is a comparison of numbers. Joins are on (tree, node), which is unique, so
+a tree may hold any share of the rows. Rounds are written to the shared folder. A cycle, which no tree has, is an error.
+"""
 
-import tempfile
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = 16
+from .ranks import durable
+
+KEY = ["tree_id", "node_id"]
+
+
+def _follow(rows: DataFrame, at: str, step: DataFrame, how: str = "left") -> DataFrame:
+    """Joins ``step`` (keyed by node_id) to the node that column ``at`` names; at may be null."""
+    named = step.withColumnRenamed("tree_id", "__tree").withColumnRenamed("node_id", "__node")
+    return rows.join(named, (rows["tree_id"] == F.col("__tree")) & (rows[at] == F.col("__node")), how).drop("__tree", "__node")
+
+
+def _rounds(t: DataFrame):
+    """Numbers of rounds; more than the logarithm of the rows is an error."""
+    most, k = max(t.count(), 1), 0
+    while 2**k <= 2 * most:
+        yield k
+        k += 1
+    raise ValueError(f"a node has more than {most} ancestors: the rows hold a cycle")
+
+
+def jumps(t: DataFrame) -> list[DataFrame]:
+    """``tree_id, node_id, up``: for k = 0, 1, .. the ancestor 2^k above, where there is one."""
+    out = [durable(t.where("parent_id <> 0").select(*KEY, F.col("parent_id").alias("up")), "jumps")]
+    for _ in _rounds(t):
+        far = _follow(out[-1], "up", out[-1].select(*KEY, F.col("up").alias("far")), "inner").select(*KEY, F.col("far").alias("up"))
+        far = durable(far, "jumps")
+        if far.isEmpty():
+            return out
+        out.append(far)
+    raise AssertionError
+
+
+def climb(rows: DataFrame, at: str, height: Column, table: list[DataFrame]) -> DataFrame:
+    """Moves ``at`` up by ``height``, a jump for each bit; null where the tree ends below. Changes the column ``at`` only."""
+    rows = rows.withColumn("__height", height.cast("long"))
+    rows = rows.withColumn(at, F.when(F.col("__height") < 2 ** len(table), F.col(at)))
+    for k, step in enumerate(table):
+        far = _follow(rows, at, step)
+        rows = far.withColumn(at, F.when(F.shiftright("__height", k).bitwiseAND(1) == 1, F.col("up")).otherwise(F.col(at))).drop("up")
+    return rows.drop("__height")
+
+
+def depths(t: DataFrame, table: list[DataFrame] | None = None) -> DataFrame:
+    """``tree_id, node_id, depth``: the number of ancestors, by binary lifting."""
+    rows = t.select(*KEY, F.col("node_id").alias("__at"), F.lit(0).cast("long").alias("depth"))
+    for k, step in reversed(list(enumerate(jumps(t) if table is None else table))):
+        far = _follow(rows, "__at", step)
+        rows = far.select(*KEY, F.coalesce("up", "__at").alias("__at"), (F.col("depth") + F.when(F.col("up").isNotNull(), 2**k).otherwise(0)).alias("depth"))
+    return rows.select(*KEY, "depth")
+
+
+def intervals(t: DataFrame) -> DataFrame:
+    """``tree_id, node_id, enter, last, depth``: the place of a node in pre-order from 0, the largest one below it (or its own), and the
+    number of its ancestors. A node u is below v exactly where v.enter < u.enter <= v.last. Siblings, and the roots of a forest, go by id.
+
+    The list goes through entering and leaving each node; ranking it by doubling counts, from each item on, the items that
+    enter and those that leave.
+    """
+    w = Window.partitionBy("tree_id", "parent_id").orderBy("node_id")
+    first = t.where("parent_id <> 0").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.min("node_id").alias("first"))
+    rows = t.select(*KEY, "parent_id", F.lead("node_id").over(w).alias("right")).join(first, KEY, "left")
+    item = lambda node, leave: F.struct(node.alias("node"), F.lit(leave).alias("leave"))
+    enter = rows.select("tree_id", item(F.col("node_id"), False).alias("node_id"), F.when(F.col("first").isNotNull(), item(F.col("first"), False)).otherwise(item(F.col("node_id"), True)).alias("next"), F.lit(1).cast("long").alias("n"))
+    leave = rows.select(
+        "tree_id", item(F.col("node_id"), True).alias("node_id"),
+        F.when(F.col("right").isNotNull(), item(F.col("right"), False)).when(F.col("parent_id") != 0, item(F.col("parent_id"), True)).alias("next"), F.lit(0).cast("long").alias("n"),
+    )
+    items = durable(enter.unionAll(leave), "tour")
+    for _ in _rounds(items):
+        if items.where("next is not null").isEmpty():
+            break
+        step = items.select(*KEY, F.col("next").alias("far"), F.col("n").alias("more"))
+        items = durable(_follow(items, "next", step).select(*KEY, F.col("far").alias("next"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "tour")
+    total = t.groupBy("tree_id").agg(F.count("*").alias("total"))
+    by = items.groupBy("tree_id", F.col("node_id.node").alias("node_id")).agg(F.max(F.when(~F.col("node_id.leave"), F.col("n"))).alias("a"), F.max(F.when(F.col("node_id.leave"), F.col("n"))).alias("b"))
+    out = by.join(total, "tree_id").select(*KEY, (F.col("total") - F.col("a")).alias("enter"), (F.col("total") - F.col("b") - 1).alias("last"))
+    return out.join(depths(t), KEY)
+
+
+def contains(pairs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Adds ``below`` to pairs (tree_id, a, b): b is a descendant of a, by ``intervals``."""
+    a, b = (spans.select("tree_id", F.col("node_id").alias(x), F.col("enter").alias(f"{x}_enter"), F.col("last").alias(f"{x}_last")) for x in "ab")
+    out = pairs.join(a, ["tree_id", "a"], "left").join(b, ["tree_id", "b"], "left")
+    below = (F.col("a_enter") < F.col("b_enter")) & (F.col("b_enter") <= F.col("a_last"))
+    return out.select(*pairs.columns, F.coalesce(below, F.lit(False)).alias("below"))
 
 
 def ancestors(t: DataFrame) -> DataFrame:
-    """``tree_id, node_id, ancestor, distance``: repeated joins by tree and node until none is left.
+    """``tree_id, node_id, ancestor, distance`` of all pairs, which are quadratic in a tree's depth: only for who wants them all.
 
-    Every ``LEVELS`` levels are checkpointed, so that plans stay short; a cycle, which no tree has, is an error.
+    A round adds the pairs that are up to twice as far.
     """
-    up = t.select("tree_id", F.col("node_id").alias("ancestor"), F.col("parent_id").alias("above"))
-    step = t.where("parent_id <> 0").select("tree_id", "node_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance"))
-    out, part, d, most = None, step, 1, None
-    while True:
-        step = step.join(up, ["tree_id", "ancestor"]).where("above <> 0").select("tree_id", "node_id", F.col("above").alias("ancestor"), F.lit(d + 1).alias("distance"))
-        if step.isEmpty():
-            return part if out is None else out.unionAll(part)
-        d, part = d + 1, part.unionAll(step)
-        if d % LEVELS == 0:
-            part = durable(part)
-            step, out = part.where(F.col("distance") == d), part if out is None else out.unionAll(part)
-            most = most or t.count()
-            if d > most:
-                raise ValueError(f"a node has more than {most} ancestors: the rows hold a cycle")
-            part = step.limit(0)
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder; a local one only where the session names none."""
-    context = df.sparkSession.sparkContext
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not context.getCheckpointDir() and shared:
-        context.setCheckpointDir(shared)
-    if not context.getCheckpointDir():
-        if not (context.master or "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
-    return df.checkpoint()
+    pairs = t.where("parent_id <> 0").select(*KEY, F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance"))
+    for k, step in enumerate(jumps(t)):
+        far = _follow(step, "up", pairs, "inner").select(*KEY, "ancestor", (F.col("distance") + 2**k).cast("int").alias("distance"))
+        pairs = durable(pairs.unionAll(far), "ancestors")
+    return pairs
 
 
 def siblings(t: DataFrame) -> DataFrame:
@@ -54,12 +119,23 @@ def siblings(t: DataFrame) -> DataFrame:
 
 
 def lowest_common(t: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``tree_id, a, b, lca`` for pairs of nodes, a node being its own ancestor here."""
-    own = t.select("tree_id", "node_id", F.col("node_id").alias("ancestor"), F.lit(0).alias("distance"))
-    up = ancestors(t).unionAll(own)
-    left = pairs.join(up.withColumnRenamed("node_id", "a").withColumnRenamed("distance", "da"), ["tree_id", "a"])
-    both = left.join(up.withColumnRenamed("node_id", "b").withColumnRenamed("distance", "db"), ["tree_id", "b", "ancestor"])
-    return both.groupBy("tree_id", "a", "b").agg(F.min_by("ancestor", F.col("da") + F.col("db")).alias("lca"))
+    """``tree_id, a, b, lca`` for pairs of nodes, a node being its own ancestor here; pairs without a common one go.
+
+    The deeper node climbs to the depth of the other, then both make all jumps that keep them apart.
+    """
+    table = jumps(t)
+    deep = depths(t, table)
+    rows = pairs.select("tree_id", "a", "b").distinct()
+    rows = _follow(_follow(rows, "a", deep.withColumnRenamed("depth", "da"), "inner"), "b", deep.withColumnRenamed("depth", "db"), "inner")
+    low = rows.withColumns({"x": F.when(F.col("da") >= F.col("db"), F.col("a")).otherwise(F.col("b")), "y": F.when(F.col("da") >= F.col("db"), F.col("b")).otherwise(F.col("a"))})
+    rows = durable(climb(low, "x", F.abs(F.col("da") - F.col("db")), table).drop("da", "db"), "lca")
+    for step in reversed(table):
+        both = _follow(_follow(rows, "x", step.withColumnRenamed("up", "ux")), "y", step.withColumnRenamed("up", "uy"))
+        apart = F.col("ux") != F.col("uy")
+        rows = both.withColumns({"x": F.when(apart, F.col("ux")).otherwise(F.col("x")), "y": F.when(apart, F.col("uy")).otherwise(F.col("y"))}).drop("ux", "uy")
+    end = _follow(_follow(rows, "x", table[0].withColumnRenamed("up", "ux")), "y", table[0].withColumnRenamed("up", "uy"))
+    lca = F.when(F.col("x") == F.col("y"), F.col("x")).when(F.col("ux") == F.col("uy"), F.col("ux"))
+    return end.select("tree_id", "a", "b", lca.alias("lca")).where("lca is not null")
 
 
 def children(t: DataFrame) -> DataFrame:
@@ -75,10 +151,13 @@ def descendants(t: DataFrame) -> DataFrame:
 
 def single_chain(t: DataFrame) -> DataFrame:
     """``tree_id, node_id, lowest``: the end of the chain of only children below each node (itself, if it has none or several)."""
-    only = children(t).where("n = 1").select("tree_id", "node_id", "child")
-    step = ancestors(only.select("tree_id", F.col("child").alias("node_id"), F.col("node_id").alias("parent_id")))
-    deepest = step.groupBy("tree_id", F.col("ancestor").alias("node_id")).agg(F.max_by("node_id", "distance").alias("lowest"))
-    return t.select("tree_id", "node_id").join(deepest, ["tree_id", "node_id"], "left").select("tree_id", "node_id", F.coalesce("lowest", "node_id").alias("lowest"))
+    down = durable(children(t).where("n = 1").select(*KEY, F.col("child").alias("end"), F.lit(True).alias("moved")), "chain")
+    for _ in _rounds(t):
+        if down.where("moved").isEmpty():
+            break
+        far = _follow(down.drop("moved"), "end", down.select(*KEY, F.col("end").alias("far")))
+        down = durable(far.select(*KEY, F.coalesce("far", "end").alias("end"), F.col("far").isNotNull().alias("moved")), "chain")
+    return t.select(*KEY).join(down.drop("moved"), KEY, "left").select(*KEY, F.coalesce("end", "node_id").alias("lowest"))
 
 
 def kth_siblings(t: DataFrame, k: int) -> DataFrame:
@@ -88,16 +167,38 @@ def kth_siblings(t: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_ancestor(t: DataFrame, matching: DataFrame, highest: bool = False) -> DataFrame:
-    """``tree_id, node_id, found``: the lowest (or highest) ancestor among ``matching`` (tree_id, node_id)."""
-    hit = ancestors(t).join(matching.select("tree_id", F.col("node_id").alias("ancestor")), ["tree_id", "ancestor"], "left_semi")
-    pick = F.max_by("ancestor", "distance") if highest else F.min_by("ancestor", "distance")
-    return hit.groupBy("tree_id", "node_id").agg(pick.alias("found"))
+    """``tree_id, node_id, found``: the lowest (or highest) ancestor among ``matching`` (tree_id, node_id).
+
+    A row holds what is found among its next 2^k ancestors; what the row 2^k above has found comes behind that.
+    """
+    hit = matching.select("tree_id", F.col("node_id").alias("parent_id")).distinct().withColumn("__hit", F.col("parent_id"))
+    rows = durable(t.where("parent_id <> 0").join(hit, ["tree_id", "parent_id"], "left").select(*KEY, F.col("parent_id").alias("up"), F.col("__hit").alias("found")), "nearest")
+    for _ in _rounds(t):
+        if rows.where("up is not null").isEmpty():
+            break
+        far = _follow(rows, "up", rows.select(*KEY, F.col("up").alias("far"), F.col("found").alias("more")))
+        found = F.coalesce("more", "found") if highest else F.coalesce("found", "more")
+        rows = durable(far.select(*KEY, F.col("far").alias("up"), found.alias("found")), "nearest")
+    return rows.where("found is not null").select(*KEY, "found")
 
 
 def find_nodes(t: DataFrame, matching: DataFrame) -> DataFrame:
-    """``tree_id, node_id, found``: the nearest node below each node among ``matching``, the smallest of the nearest level."""
-    hit = descendants(t).join(matching.select("tree_id", F.col("node_id").alias("descendant")), ["tree_id", "descendant"], "left_semi")
-    return hit.groupBy("tree_id", "node_id").agg(F.min(F.struct("depth", "descendant")).alias("x")).select("tree_id", "node_id", F.col("x.descendant").alias("found"))
+    """``tree_id, node_id, found``: the nearest node below each node among ``matching``, the smallest of the nearest level.
+
+    A row holds the best of the next 2^k levels below it and hands it to the row 2^k above, where the least is kept.
+    """
+    hit = matching.select(*KEY).distinct().join(depths(t), KEY).select(*KEY, F.struct("depth", F.col("node_id").alias("node")).alias("own"))
+    up = t.select(*KEY, F.when(F.col("parent_id") != 0, F.col("parent_id")).alias("up"))
+    own = durable(up.join(hit, KEY, "left"), "find")
+    best = own.where("own is not null and up is not null").groupBy("tree_id", F.col("up").alias("node_id")).agg(F.min("own").alias("best"))
+    rows = durable(own.drop("own").join(best, KEY, "left"), "find")
+    for _ in _rounds(t):
+        if rows.where("up is not null").isEmpty():
+            break
+        more = rows.where("up is not null and best is not null").groupBy("tree_id", F.col("up").alias("node_id")).agg(F.min("best").alias("more"))
+        far = _follow(rows, "up", rows.select(*KEY, F.col("up").alias("far"))).join(more, KEY, "left")
+        rows = durable(far.select(*KEY, F.col("far").alias("up"), F.least("best", "more").alias("best")), "find")
+    return rows.where("best is not null").select(*KEY, F.col("best.node").alias("found"))
 
 
 def second_order(t: DataFrame) -> DataFrame:
@@ -117,8 +218,8 @@ def prune(t: DataFrame, leaves: DataFrame) -> DataFrame:
     """The tree without the given leaves, and without ancestors that have lost all that was below them."""
     own = t.select("tree_id", "node_id").join(t.select("tree_id", F.col("parent_id").alias("node_id")).distinct(), ["tree_id", "node_id"], "left_anti")
     kept = own.join(leaves.select("tree_id", "node_id"), ["tree_id", "node_id"], "left_anti")
-    alive = ancestors(t).join(kept, ["tree_id", "node_id"], "left_semi").select("tree_id", F.col("ancestor").alias("node_id")).unionAll(kept).distinct()
-    return t.join(alive, ["tree_id", "node_id"], "left_semi")
+    alive = find_nodes(t, kept).select(*KEY).unionAll(kept).distinct()
+    return t.join(alive, KEY, "left_semi")
 
 
 def adopt(t: DataFrame, removed: DataFrame) -> DataFrame:
