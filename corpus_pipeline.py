@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import op5_secrets, op6_jaccard, op7_decontaminate, op8_packing, op10_language
-from textloom.llm.common import crc_mod, shared_dir, table
+from textloom.llm.common import crc_mod, save, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +24,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = op6_jaccard.jaccard_components(docs, k=5, num=80, den=100)
-    gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group the row of the smallest id stays, of several under that id the one whose text has the smallest digest. A document is an
+    id with its text: rows that repeat whole go or stay together."""
+    mark = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    groups = save(op6_jaccard.jaccard_components(docs.select("doc_id", "text", mark.alias("__mark")), k=5, num=80, den=100).where("group_id is not null"), "groups")
+    heads = groups.where("doc_id = component_id").select("group_id", "doc_id", "__mark")
+    least = heads.groupBy("group_id").agg(F.min("__mark").alias("least"))
+    more = heads.join(least, "group_id").where(F.col("__mark") != F.col("least"))
+    gone = groups.where("doc_id <> component_id").select("doc_id", "__mark").unionAll(more.select("doc_id", "__mark")).distinct()
+    return docs.withColumn("__mark", mark).join(gone.hint("shuffle_hash"), ["doc_id", "__mark"], "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,3 +212,22 @@ def test_planted_repeats(spark):
             p = 1 + (n - a) // (3 + g % 8)
             o = [o[i] if i < a else o[a + (i - a) % p] for i in range(n)]
         assert r["text"].split() == o
+
+
+def test_texts_under_one_id(spark):
+    """Near-duplicate stage and Jaccard join where ids are shared or rows repeat: each text is judged by itself."""
+    import corpus_pipeline
+    from textloom.llm import op6_jaccard
+
+    words = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    x, y, z = words("x"), words("y"), words("z")
+    rows = [(1, x), (5, x), (5, y), (5, z), (7, y + " more"), (7, ""), (7, None), (9, z), (9, z), (None, x), (5, z + " tail")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=str)
+    one_of_z = [p for p in kept if p[1] and p[1].startswith(z)]
+    assert len(one_of_z) == 1 and one_of_z[0][0] == 5
+    assert sorted([p for p in kept if p not in one_of_z], key=str) == sorted([(1, x), (5, y), (7, ""), (7, None), (None, x)], key=str)
+    comp = sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in op6_jaccard.jaccard_components(docs.select("doc_id", "text"), 5, 80).collect()], key=str)
+    assert comp == sorted([(1, 26, 1), (5, 26, 1), (5, 26, 5), (5, 26, 5), (7, 27, 5), (7, 0, 7), (7, 0, 7), (9, 26, 5), (9, 26, 5), (None, 26, None), (5, 27, 5)], key=str)

@@ -18,8 +18,8 @@ Groups are streamed from sorted partitions, one block in memory at a time. Inter
 folder. No partner, candidate or list is capped.
 
 Cases: null, empty or blank text has an empty set and no component but its own; fewer words than n make the whole
-sequence one n-gram; rows that share an id are one document if their text is equal, and are judged by their own text
-otherwise; a null id gets a null component; an empty table gives no rows; other columns are ignored.
+sequence one n-gram; rows that share an id are judged by their own text each, as classes of their own (their ids are then numbers beyond
+all ids while links are searched); a null id gets a null component; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.operators.ranks import ranked
+
 from .common import Forest, binary_views, components, discard, mix64, save, stream_groups, table, word_hashes, words_of
 
 HEAVY = 500_000
@@ -113,7 +115,8 @@ def shared(n: int, num: int, den: int) -> int:
 
 
 def describe(docs: DataFrame, k: int, num: int, den: int, heavy) -> DataFrame:
-    """``doc_id, n, digest, prefix``; ``docs`` has doc_id and text."""
+    """``doc_id, n, digest, prefix`` and what follows the text; ``docs`` has doc_id and text first."""
+    more = docs.columns[2:]
     sent = docs.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,13 +129,15 @@ def describe(docs: DataFrame, k: int, num: int, den: int, heavy) -> DataFrame:
                     n.append(len(s))
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     first.append(prefix(s, sent.value, num, den).view(np.int64) if len(s) else [])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "prefix"])
+                own = [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*own, *b.columns[2:]], ["doc_id", "n", "digest", "prefix", *more])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
+    return docs.select(F.col("doc_id").cast("long"), "text", *more).mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>" + kept)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``rep, set`` for the classes in ``wanted`` (rep, digest), from the text of the document that stands for each."""
+    """``rep, set`` for the classes in ``wanted`` (rep, doc, digest), from the text of the document that stands for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -146,7 +151,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                         out.append(s)
                 yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(out, pa.binary())], ["rep", "set"])
 
-    mine = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.hint("shuffle_hash"), "rep")
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted.hint("shuffle_hash"), "doc")
     return mine.select("rep", "digest", "text").mapInArrow(run, "rep long, set binary")
 
 
@@ -237,19 +242,28 @@ def block_links(num: int, den: int):
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text), ``group_id`` (a number that rows of one component share and
+    no others; null for empty sets), and the other columns of ``docs``, which must not have these names."""
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    docs = docs.select("doc_id", "text", *more)
     seen = save(describe(docs, k, num, den, heavy_hitters(docs.select("text"), k)), "described")
     sound = "digest is not null and doc_id is not null"
-    classes = save(seen.where(sound).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
-    first_rows = seen.where(sound).join(classes.select("digest", F.col("rep").alias("doc_id")).hint("shuffle_hash"), ["digest", "doc_id"], "left_semi")
-    rows = first_rows.select(F.col("doc_id").alias("rep"), F.explode("prefix").alias("token"))
+    classes = save(seen.where(sound).groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")).withColumn("rep", F.col("doc")), "classes")
+    twice = classes.groupBy("doc").agg(F.count("*").alias("c"), F.min("digest").alias("first")).where("c > 1")
+    shared_ids = not twice.isEmpty()
+    if shared_ids:  # texts under one id: all classes but one of them get numbers of their own
+        last = int(classes.agg(F.max("doc")).first()[0])
+        clash = classes.join(twice.select("doc", "first"), "doc").where("digest <> first").select("digest")
+        numbers = ranked(clash, ["digest"]).select("digest", (F.col("rank") + last + 1).alias("number"))
+        classes = save(classes.join(numbers, "digest", "left").withColumn("rep", F.coalesce("number", "doc")).drop("number"), "classes")
+    first_rows = seen.where(sound).select("doc_id", "digest", "prefix").join(classes.select("digest", "rep", F.col("doc").alias("doc_id")).hint("shuffle_hash"), ["digest", "doc_id"])
+    rows = first_rows.select("rep", F.explode("prefix").alias("token"))
     lists = rows.groupBy("token").agg(F.min("rep").alias("leader"), F.count("*").alias("many")).where("many > 1").drop("many")
     met = save(rows.join(lists, "token").groupBy("leader", "rep").agg(F.count("*").alias("c")), "met")
     fewest = F.lit(1) + F.floor(F.ceil(F.col("n") * num / den) * (den - num) / (2 * den))  # shared() of the smallest partner
-    wanted = met.groupBy("rep").agg(F.sum("c").alias("c")).join(classes, "rep").where(F.col("c") >= fewest).select("rep", "digest", "n")
+    wanted = met.groupBy("rep").agg(F.sum("c").alias("c")).join(classes, "rep").where(F.col("c") >= fewest).select("rep", "doc", "digest", "n")
     wanted = save(wanted, "wanted")
-    sets = save(sets_of(docs, wanted.select("rep", "digest"), k), "sets")
+    sets = save(sets_of(docs, wanted.select("rep", "doc", "digest"), k), "sets")
 
     # round one: each class against the leader with which it shares most
     best = met.where("leader <> rep").groupBy("rep").agg(F.max(F.struct("c", (-F.col("leader")).alias("col2"))).alias("b"))
@@ -293,17 +307,21 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     second = save(dealt.mapInArrow(block_links(num, den), LINKS), "across")
     final = components(first.unionAll(second))
 
-    by_class = classes.select("digest", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "digest", F.coalesce("component", "rep").alias("component_id")
-    )
-    return seen.select("doc_id", "n", "digest").join(by_class, "digest", "left").select(
+    by_class = classes.select("digest", "doc", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").withColumn("group_id", F.coalesce("component", "rep"))
+    if shared_ids:  # the smallest id of a component is no longer its number
+        by_class = save(by_class, "groups")
+        by_class = by_class.join(by_class.groupBy("group_id").agg(F.min("doc").alias("least")), "group_id").select("digest", "group_id", F.col("least").alias("component_id"))
+    else:
+        by_class = by_class.select("digest", "group_id", F.col("group_id").alias("component_id"))
+    return seen.select("doc_id", "n", "digest", *more).join(by_class, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.col("group_id")).alias("group_id"), *more,
     )
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("group_id")
 
 
 #: Every pair that shares a shingle, then the smallest id in reach.
