@@ -373,7 +373,10 @@ def edge_scores(spark, d):
     return metrics.edge_scores(t, pred)
 
 
-@query("model_split", "SELECT doc_id, CASE WHEN doc_id < n * 9999 // 10000 THEN 'train' WHEN doc_id < n * 99995 // 100000 THEN 'valid' ELSE 'test' END AS part FROM documents, (SELECT count(*) AS n FROM documents)")
+@query("model_split", """SELECT doc_id, CASE WHEN i < n * 9999 // 10000 THEN 'train' WHEN i < n * 99995 // 100000 THEN 'valid' ELSE 'test' END AS part
+    FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)""")
 def model_split(spark, d):
-    rows = read(spark, d, "documents").select("doc_id")  # ids are dense from 0
-    return rows.select("doc_id", columns.model_split(F.col("doc_id"), rows.count()).alias("part"))
+    from .sources import corpora
+
+    rows = read(spark, d, "documents").select("doc_id", F.concat(F.lit("x"), F.col("doc_id")).alias("line"))
+    return corpora.model_lines(rows, "line", "doc_id").select(F.substring("line", 2, 20).cast("long").alias("doc_id"), "part")

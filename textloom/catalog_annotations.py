@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import EV, FORMS, LENGTHS, TREE, WORDS, forms, query, read, tagged, tree, words
 from .functions import chars
 from .operators import decoders, english, features, metrics, morphology, tags, text, trees, vocab
-from .operators.ranks import durable, ranked
-from .sources import columns
+from .operators.ranks import durable, ranked, shared_dir
+from .sources import columns, corpora
 
 TOKS = r"""toks AS (SELECT doc_id AS sid, generate_subscripts(p, 1) - 1 AS tid, unnest(p) AS tok FROM
         (SELECT doc_id, regexp_extract_all(text, '\w+|[^\w\s]') AS p FROM documents))"""
@@ -429,3 +431,25 @@ def tree_contains(spark, d):
     t = tree(spark, d)
     pairs = t.select("tree_id", (F.floor(F.col("node_id") / 3) + 1).alias("a"), F.col("node_id").alias("b"))
     return trees.contains(pairs, trees.intervals(t))
+
+
+@query("model_lines", r"""WITH l AS (SELECT doc_id, generate_subscripts(p, 1) AS pos, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+    r AS (SELECT line, row_number() OVER (ORDER BY doc_id, pos) - 1 AS place, count(*) OVER () AS n FROM l),
+    s AS (SELECT *, n * 9999 // 10000 AS train FROM r WHERE trim(line) <> '')
+    SELECT CASE WHEN place < train THEN 'train' WHEN place < n * 99995 // 100000 THEN 'valid' ELSE 'test' END AS part,
+        CASE WHEN place < train THEN least(place // greatest(train // 10000, 1), 9999) + 1 ELSE 1 END AS shard, place, line FROM s""")
+def model_lines(spark, d):
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return corpora.model_lines(lines, "line", "doc_id", "pos")
+
+
+@query("column_round_trip", f"""WITH {EV} SELECT dense_rank() OVER (ORDER BY sid) - 1 AS sid, tid - 1 AS tid, CAST(tid AS VARCHAR) AS id, event_type AS form, tag, CAST(tid // 2 AS VARCHAR) AS head FROM ev""")
+def column_round_trip(spark, d):
+    """Sentences written to shards of ten-column rows and read again."""
+    t = tagged(spark, d)
+    cols = {"id": F.col("tid"), "form": F.col("event_type"), "cpos": F.col("tag"), "head": F.floor(F.col("tid") / 2), "deprel": F.lit("dep")}
+    path = f"{shared_dir(spark)}/columns-{uuid.uuid4().hex}"
+    columns.write_sentences(t.select("sid", "tid", columns.conll_line(cols).alias("line")), path, 7)
+    rows = durable(columns.read_columns(spark, path, {"id": 0, "form": 1, "tag": 3, "head": 6}), "columns")
+    sids = ranked(rows.select("path", "sid").distinct(), ["path", "sid"], name="place")
+    return rows.join(sids, ["path", "sid"]).select(F.col("place").alias("sid"), "tid", "id", "form", "tag", "head")

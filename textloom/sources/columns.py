@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
+
 FIELDS = ("id", "form", "lemma", "cpos", "pos", "feats", "head", "deprel", "phead", "pdeprel")
 
 
@@ -13,15 +15,40 @@ def conll_line(cols: dict[str, Column]) -> Column:
     return F.concat_ws("\t", *[F.coalesce(cols[f].cast("string"), F.lit("_")) if f in cols else F.lit("_") for f in FIELDS])
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """``path, sid, tid, f``: the fields of each line; the last sentence needs no blank line.
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """``path, sid, tid, line``: the lines of sentences; a sentence is a stretch of lines that aren't blank, comments left out.
 
-    A file is one record, so that no order of lines has to be restored; it must fit in a task, many files are many tasks.
+    A file may be larger than a task: Spark splits it by bytes, and a line knows the split that it was read in and its place there. Sentences and
+    places are counted within each split; what a split's first sentence continues comes from sums over the splits of the file, a row for each.
+    So no file, and no sentence, has to fit into a task.
     """
-    blocks = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    sens = blocks.select("path", F.posexplode(F.filter(F.split(F.replace("value", F.lit("\r"), F.lit("")), r"\n[ \t]*\n\s*"), lambda x: F.trim(x) != "")).alias("sid", "block"))
-    lines = F.filter(F.split("block", "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("#")))
-    return sens.select("path", "sid", F.posexplode(lines).alias("tid", "line")).select("path", "sid", "tid", F.split(F.trim("line"), r"\s+").alias("f"))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    blank = F.rlike("value", F.lit(r"^\s*$"))
+    w = Window.partitionBy("path", "block").orderBy("at")
+    lines = raw.where(~F.startswith("value", F.lit("#"))).select("path", "block", "at", "value", blank.alias("blank"), F.lag(blank).over(w).alias("gap"))
+    # a sentence begins after a blank line; the first line of a split waits for the split before
+    lines = lines.withColumn("begins", ~F.col("blank") & F.coalesce("gap", F.lit(False))).withColumn("sid", F.count_if("begins").over(w))
+    lines = lines.withColumn("tid", F.count_if(~F.col("blank")).over(Window.partitionBy("path", "block", "sid").orderBy("at")) - 1)
+    whole = lines.groupBy("path", "block").agg(
+        F.min_by("blank", "at").alias("first_blank"), F.max_by("blank", "at").alias("last_blank"), F.max("sid").alias("begun"), F.max_by(F.col("tid") + 1, "at").alias("open")
+    )
+    f = Window.partitionBy("path").orderBy("block")
+    whole = whole.withColumn("opens", ~F.col("first_blank") & F.coalesce(F.lag("last_blank").over(f), F.lit(True)))  # the first line begins a sentence
+    whole = whole.withColumn("begun", F.col("begun") + F.col("opens").cast("int"))
+    so_far = f.rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.withColumn("sids", F.coalesce(F.sum("begun").over(so_far), F.lit(0)) + F.col("opens").cast("int") - 1)
+    # lines of the sentence that is open at the end of a split: those since its last beginning, which may lie some splits back
+    whole = whole.withColumn("since", F.sum(F.when(F.col("begun") > 0, 1).otherwise(0)).over(f))
+    whole = whole.withColumn("held", F.sum("open").over(Window.partitionBy("path", "since").orderBy("block")))
+    whole = whole.select("path", "block", "sids", F.when(F.col("opens"), 0).otherwise(F.coalesce(F.lag("held").over(f), F.lit(0))).alias("carried"))
+    out = lines.where("not blank").join(whole, ["path", "block"])
+    tid = F.col("tid") + F.when(F.col("sid") == 0, F.col("carried")).otherwise(0)
+    return out.select("path", (F.col("sid") + F.col("sids")).cast("long").alias("sid"), tid.cast("long").alias("tid"), F.col("value").alias("line"))
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``path, sid, tid, f``: the fields of each line; the last sentence needs no blank line."""
+    return lines_of(spark, path).select("path", "sid", "tid", F.split(F.trim(F.replace("line", F.lit("\r"), F.lit(""))), r"\s+").alias("f"))
 
 
 def read_columns(spark: SparkSession, path: str, columns: dict[str, int]) -> DataFrame:
@@ -29,13 +56,25 @@ def read_columns(spark: SparkSession, path: str, columns: dict[str, int]) -> Dat
     return read_rows(spark, path).select("path", "sid", "tid", *[F.get("f", F.lit(i)).alias(k) for k, i in columns.items()])
 
 
-def read_dependencies(spark: SparkSession, path: str) -> DataFrame:
+PAD = "<pad>"
+
+
+def known_relation(rows: DataFrame, rel: str, relations: DataFrame | None) -> DataFrame:
+    """A relation that ``relations`` (item) lacks becomes the padding one."""
+    if relations is None:
+        return rows
+    own = relations.select(F.col("item").alias(rel), F.lit(True).alias("__known")).distinct()
+    return rows.join(own, rel, "left").withColumn(rel, F.when(F.col("__known"), F.col(rel)).otherwise(F.lit(PAD))).drop("__known")
+
+
+def read_dependencies(spark: SparkSession, path: str, relations: DataFrame | None = None) -> DataFrame:
     """``path, sid, tid, form, pos, head, rel`` of rows of eight or ten columns, told apart line by line."""
     rows, at = read_rows(spark, path), F.when(F.size("f") >= 10, F.lit(6)).otherwise(F.lit(5))
-    return rows.select(
+    rows = rows.select(
         "path", "sid", "tid", F.get("f", F.lit(1)).alias("form"), F.get("f", F.lit(3)).alias("pos"),
         F.get("f", at).try_cast("int").alias("head"), F.get("f", at + 1).alias("rel"),
     )
+    return known_relation(rows, "rel", relations).select("path", "sid", "tid", "form", "pos", "head", "rel")
 
 
 def eight_to_ten(fields: Column) -> Column:
@@ -44,14 +83,14 @@ def eight_to_ten(fields: Column) -> Column:
     return F.concat_ws("\t", *own[:5], F.lit("_"), own[5], own[6], F.lit("_"), F.lit("_"))
 
 
-def read_semantic_edges(spark: SparkSession, path: str) -> DataFrame:
+def read_semantic_edges(spark: SparkSession, path: str, relations: DataFrame | None = None) -> DataFrame:
     """``path, sid, dep, head, rel``: one row per edge of eight-column rows, more edges as ``head:rel|head:rel`` in the last."""
     rows = read_rows(spark, path)
     more = F.when(F.get("f", F.lit(7)) != "_", F.split(F.get("f", F.lit(7)), r"\|")).otherwise(F.array().cast("array<string>"))
     extra = F.transform(more, lambda x: F.struct(F.substring_index(x, ":", 1).try_cast("int").alias("head"), F.regexp_extract(x, "^[^:]*:(.*)$", 1).alias("rel")))
     first = F.array(F.struct(F.get("f", F.lit(5)).try_cast("int").alias("head"), F.get("f", F.lit(6)).alias("rel")))
     edges = rows.select("path", "sid", (F.col("tid") + 1).alias("dep"), F.inline(F.concat(first, F.coalesce(extra, F.array().cast("array<struct<head:int,rel:string>>")))))
-    return edges.where("head is not null").distinct()
+    return known_relation(edges.where("head is not null"), "rel", relations).select("path", "sid", "dep", "head", "rel").distinct()
 
 
 def labelled_text(line: Column) -> Column:
@@ -76,16 +115,18 @@ def read_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
     return rows.select(F.get("f", F.lit(0)).alias("word"), F.transform(F.slice("f", 2, dim), lambda x: x.cast("double")).alias("vector"))
 
 
-def model_split(index: Column, n: int) -> Column:
-    """The part of a line by its place from 0 among n: train, valid and test at 0.9999 and 0.99995 of the lines."""
-    return F.when(index < n * 9999 // 10000, "train").when(index < n * 99995 // 100000, "valid").otherwise("test")
+def morph_features(feats: Column) -> Column:
+    """A map of ``Key=Value|..``, keys in lower case; what has no = is left out, of a key that comes twice the last one stays."""
+    pair = F.transform(F.filter(F.split(feats, r"\|"), lambda x: F.contains(x, F.lit("="))), lambda x: F.struct(F.lower(F.get(F.split(x, "="), F.lit(0))).alias("k"), F.get(F.split(x, "="), F.lit(1)).alias("v")))
+    return F.map_from_entries(F.filter(pair, lambda x, i: ~F.exists(F.slice(pair, i + 2, F.greatest(F.size(pair), F.lit(1))), lambda y: y["k"] == x["k"])))
 
 
 def read_conll_u(spark: SparkSession, path: str) -> DataFrame:
-    """CoNLL-U without its multiword ranges and empty nodes; features as a map."""
-    cols = {"id": 0, "form": 1, "lemma": 2, "upos": 3, "pos": 4, "feats": 5, "head": 6, "deprel": 7}
-    rows = read_columns(spark, path, cols).where(~F.rlike("id", F.lit(r"^\d+[.-]\d+$")))
-    return rows.withColumn("feats", F.when(F.col("feats") != "_", F.expr(r"str_to_map(lower(feats), '\\|', '=')")))
+    """CoNLL-U without its multiword ranges and empty nodes; features as a map, and ``frame``, column 11 where column 10 is Y."""
+    cols = {"id": 0, "form": 1, "lemma": 2, "upos": 3, "pos": 4, "feats": 5, "head": 6, "deprel": 7, "frame": 11, "__has": 10}
+    rows = read_columns(spark, path, cols).where(~F.rlike("id", F.lit("[.-]")))
+    rows = rows.withColumn("feats", F.when(F.contains("feats", F.lit("=")), morph_features(F.col("feats"))))
+    return rows.withColumn("frame", F.when(F.col("__has") == "Y", F.col("frame"))).drop("__has")
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -105,9 +146,11 @@ def sentence_lines(t: DataFrame, line: str = "line") -> DataFrame:
     return g.select("sid", F.concat(F.array_join(F.col(f"t.{line}"), "\n"), F.lit("\n")).alias("block"))
 
 
-def write_sentences(t: DataFrame, path: str) -> None:
-    """Files of sentences with a blank line after each, in the order of ``sid`` over all files."""
-    sentence_lines(t).orderBy("sid").select("block").write.mode("overwrite").text(path)
+def write_sentences(t: DataFrame, path: str, shards: int | None = None) -> None:
+    """Files of sentences with a blank line after each, in the order of ``sid`` over all files; a file is a range of sentences."""
+    blocks = sentence_lines(t)
+    dealt = blocks.repartitionByRange(shards, "sid") if shards else blocks.repartitionByRange("sid")
+    dealt.sortWithinPartitions("sid").select("block").write.mode("overwrite").text(path)
 
 
 def scored_line(token: Column, gold: Column, pred: Column) -> Column:
@@ -132,8 +175,7 @@ def split_blocks(blocks: DataFrame, mark: str = "sent_id = 220") -> DataFrame:
 
 def first_share(blocks: DataFrame, ratio: float, order: str = "sid") -> DataFrame:
     """The first share of the blocks, by ``order``."""
-    n = int(blocks.count() * ratio)
-    return blocks.orderBy(order).limit(n)
+    return ranked(blocks, [order], name="__i", total="__n").where(F.col("__i") < F.floor(F.col("__n") * ratio)).drop("__i", "__n")
 
 
 def fetch_corpus(spark: SparkSession, train: str, columns: dict[str, int], test: str | None = None, dev: str | None = None, listed: DataFrame | None = None) -> DataFrame:
