@@ -5,7 +5,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import ranks
 from textloom.sources import columns, corpora
 
 
@@ -127,7 +126,3 @@ def test_model_lines(spark, tmp_path, monkeypatch):
     corpora.write_model_lines(got, str(tmp_path / "lm"))
     one = "".join(f.read_text() for f in sorted((tmp_path / "lm" / "part=train" / "shard=2").glob("part-*"))).splitlines()
     assert one == [f"l{i}" for i in range(4999, 9998) if i % 10 != 3]
-
-
-def test_shared_folder_on_a_cluster(spark):
-    assert ranks.shared_dir(spark).startswith("file:")

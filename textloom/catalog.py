@@ -292,10 +292,80 @@ def sentences(spark, d):
     return t.groupBy("doc_id", "sid").agg(F.min("tid").alias("begin"), (F.max("tid") + 1).alias("end"))
 
 
-@query("viterbi_tags")
+MOVES = [[0.5 if i == j else 0.125 * (i - j) for j in range(4)] for i in range(4)]
+INTO, OUT_OF = [0.0, 0.25, -0.5, 0.125], [0.25, 0.0, 0.0, -0.25]
+
+
+def emissions(spark: SparkSession, d: str) -> DataFrame:
+    """``sid, tid, scores, tag_id``: vectors as sentences of growing length, k-th of 2k + 1 tokens."""
+    e = read(spark, d, "embeddings")
+    sid = F.floor(F.sqrt("vec_id"))
+    return e.select(sid.alias("sid"), (F.col("vec_id") - sid * sid).alias("tid"), F.slice("embedding", 1, 4).cast("array<double>").alias("scores"), (F.col("label") % 4).cast("int").alias("tag_id"))
+
+
+EMISSIONS = """em AS (SELECT sid, vec_id - sid * sid AS tid, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS s, label % 4 AS tag FROM (SELECT *, CAST(floor(sqrt(vec_id)) AS BIGINT) AS sid FROM embeddings))"""
+
+
+def _best(at: int) -> str:
+    sums = ", ".join(f"v[{j + 1}] + {MOVES[at][j]}" for j in range(4))
+    return f"[{sums}]"
+
+
+@query("viterbi_tags", f"""WITH RECURSIVE {EMISSIONS}, p AS (SELECT sid, 0 AS tid, [{", ".join(f"s[{i + 1}] + {INTO[i]}" for i in range(4))}] AS v, [[0], [1], [2], [3]] AS paths FROM em WHERE tid = 0
+    UNION ALL SELECT p.sid, p.tid + 1, [{", ".join(f"list_max({_best(i)}) + s[{i + 1}]" for i in range(4))}], [{", ".join(f"list_append(paths[list_position({_best(i)}, list_max({_best(i)}))], {i})" for i in range(4))}]
+        FROM p JOIN em ON em.sid = p.sid AND em.tid = p.tid + 1),
+    e AS (SELECT sid, max(tid) AS z FROM em GROUP BY sid), f AS (SELECT p.sid, paths, [{", ".join(f"v[{i + 1}] + {OUT_OF[i]}" for i in range(4))}] AS v FROM p JOIN e ON p.sid = e.sid AND p.tid = e.z),
+    b AS (SELECT sid, paths[list_position(v, list_max(v))] AS path FROM f) SELECT sid, generate_subscripts(path, 1) - 1 AS tid, unnest(path) AS tag_id FROM b""")
 def viterbi_tags(spark, d):
-    e = read(spark, d, "embeddings").select(F.col("label").cast("long").alias("sid"), F.col("vec_id").alias("tid"), F.slice("embedding", 1, 4).alias("scores"))
-    return decoders.viterbi(e, [[0.5 if i == j else 0.0 for j in range(4)] for i in range(4)])
+    return decoders.decode_paths(emissions(spark, d), MOVES, start=INTO, stop=OUT_OF)
+
+
+def _log_sum(cells: list[str]) -> str:
+    top = f"list_max([{', '.join(cells)}])"
+    return f"({top} + ln({' + '.join(f'exp({c} - {top})' for c in cells)}))"
+
+
+@query("crf_losses", f"""WITH RECURSIVE {EMISSIONS}, p AS (SELECT sid, 0 AS tid, tag, [{", ".join(f"s[{i + 1}] + {INTO[i]}" for i in range(4))}] AS v, [{", ".join(map(str, INTO))}][tag + 1] + s[tag + 1] AS gold FROM em WHERE tid = 0
+    UNION ALL SELECT p.sid, p.tid + 1, em.tag, [{", ".join(f"{_log_sum([f'v[{j + 1}] + {MOVES[i][j]}' for j in range(4)])} + s[{i + 1}]" for i in range(4))}], gold + s[em.tag + 1] + [{", ".join(str(x) for row in MOVES for x in row)}][em.tag * 4 + p.tag + 1]
+        FROM p JOIN em ON em.sid = p.sid AND em.tid = p.tid + 1),
+    e AS (SELECT sid, max(tid) AS z FROM em GROUP BY sid), f AS (SELECT p.sid, z + 1 AS n, {_log_sum([f"v[{i + 1}] + {OUT_OF[i]}" for i in range(4)])} AS total, gold + [{", ".join(map(str, OUT_OF))}][tag + 1] AS gold FROM p JOIN e ON p.sid = e.sid AND p.tid = e.z)
+    SELECT sid, n, round(total, 6) AS log_partition, round(gold, 6) AS gold, round(total - gold, 6) AS loss FROM f""")
+def crf_losses(spark, d):
+    got = decoders.crf_losses(emissions(spark, d), MOVES, INTO, OUT_OF, piece=8)
+    return got.select("sid", "n", *[F.round(c, 6).alias(c) for c in ("log_partition", "gold", "loss")])
+
+
+TAGS = ["O", "B-a", "I-a", "B-b", "I-b", "B-c", "I-c"]
+SIZES = [4, 16, 64, 256, 1024, 4096]
+ARGMAX = f"""best AS (SELECT sid, vec_id - sid * sid AS tid, [{", ".join(f"'{x}'" for x in TAGS)}][list_position(embedding[1:7], list_max(embedding[1:7]))] AS tag
+    FROM (SELECT *, CAST(floor(sqrt(vec_id)) AS BIGINT) AS sid FROM embeddings))"""
+
+
+def decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Scores in padded batches, and the tags read back from them."""
+    sid = F.floor(F.sqrt("vec_id"))
+    e = read(spark, d, "embeddings").select(sid.alias("sid"), (F.col("vec_id") - sid * sid).alias("tid"), F.slice("embedding", 1, 9).alias("scores"))
+    return decoders.decoded_batches(decoders.padded_scores(e, SIZES, 100), spark.createDataFrame(list(enumerate(TAGS)), "cid int, item string"))
+
+
+@query("decoded_tags", f"WITH {ARGMAX} SELECT sid, tid, tag FROM best")
+def decoded_tags(spark, d):
+    return decoded(spark, d)
+
+
+@query("decoded_chunks", f"""WITH {ARGMAX}, l AS (SELECT *, lag(tag) OVER (PARTITION BY sid ORDER BY tid) AS b FROM best),
+    m AS (SELECT *, sum(CASE WHEN tag <> 'O' AND (b IS NULL OR b = 'O' OR substr(b, 3) <> substr(tag, 3) OR tag LIKE 'B-%') THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY tid) AS cid FROM l)
+    SELECT sid, min(tid) AS "begin", max(tid) + 1 AS "end", arg_min(substr(tag, 3), tid) AS label FROM m WHERE tag <> 'O' GROUP BY sid, cid""")
+def decoded_chunks(spark, d):
+    return tags.chunks(decoded(spark, d))
+
+
+@query("parsed_heads")
+def parsed_heads(spark, d):
+    """A sentence of seven words for each vector; the test holds heads and relations against an exhaustive search."""
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("sid"), F.lit(8).alias("n"), F.col("embedding").cast("array<double>").alias("arcs"))
+    rel = F.flatten(F.transform("arcs", lambda x: F.array(x, -x, x * x, F.lit(0.05))))
+    return decoders.parsed(e.withColumn("relations", rel), [8, 16, 64], 6400)
 
 
 @query("mst_heads")
