@@ -12,6 +12,7 @@ from .functions import chars
 from .operators import decoders, english, features, metrics, morphology, tags, text, trees, vocab
 from .operators.ranks import durable, ranked, shared_dir
 from .sources import columns, corpora
+from .streaming import lines as line_stream
 
 TOKS = r"""toks AS (SELECT doc_id AS sid, generate_subscripts(p, 1) - 1 AS tid, unnest(p) AS tok FROM
         (SELECT doc_id, regexp_extract_all(text, '\w+|[^\w\s]') AS p FROM documents))"""
@@ -453,3 +454,24 @@ def column_round_trip(spark, d):
     rows = durable(columns.read_columns(spark, path, {"id": 0, "form": 1, "tag": 3, "head": 6}), "columns")
     sids = ranked(rows.select("path", "sid").distinct(), ["path", "sid"], name="place")
     return rows.join(sids, ["path", "sid"]).select(F.col("place").alias("sid"), "tid", "id", "form", "tag", "head")
+
+
+def document_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("ts"), "line")
+
+
+@query("stream_lines", r"""WITH l AS (SELECT doc_id, generate_subscripts(p, 1) AS no, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS sid, regexp_extract_all(line, '\S+') AS toks FROM l WHERE regexp_matches(line, '\S')),
+    t AS (SELECT doc_id, sid, generate_subscripts(toks, 1) AS i, unnest(toks) AS w FROM k)
+    SELECT doc_id, sid, count(*) AS n, string_agg(w || '/' || CASE WHEN regexp_full_match(w, '[0-9]+') THEN 'CD' WHEN lower(w) LIKE '%ing' THEN 'VBG' WHEN lower(w) LIKE '%ed' THEN 'VBD' WHEN lower(w) LIKE '%s' THEN 'NNS' ELSE 'NN' END, ' ' ORDER BY i) AS tagged
+    FROM t GROUP BY doc_id, sid""")
+def stream_lines(spark, d):
+    """The lines of all documents in shuffled files, half of them before a restart of the stream."""
+    lines, base = document_lines(spark, d), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    half = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(2))
+    for k in (0, 1):
+        lines.where(half == k).repartition(4, F.xxhash64("line_no", "doc_id")).write.parquet(f"{base}/in/{k}")
+        source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in/*")
+        line_stream.run_to_end(line_stream.decode_stream(source, delay="10000 days"), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out")
