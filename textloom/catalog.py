@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import chars
 from .operators import decoders, english, features, lemmas, metrics, tags, tokens, trees, vocab
-from .sources import columns
+from .operators.ranks import durable
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,7 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.space_tokens(read(spark, d, "documents").select("doc_id", "text"))
+    return tokens.space_words(read(spark, d, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,7 +71,7 @@ def corpus_stats(spark, d):
 
 @query("space_tokens", f'WITH {WORDS} SELECT doc_id, tid, tok, "end" - length(tok) AS "begin", "end" FROM words')
 def space_tokens(spark, d):
-    return words(spark, d)
+    return tokens.space_tokens(read(spark, d, "documents").select("doc_id", "text"))
 
 
 @query("newline_blocks", r"""WITH b AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS bid, unnest(p) AS block FROM
@@ -249,11 +249,11 @@ def tree_lca(spark, d):
     return trees.lowest_common(t, t.where("node_id > 1").select("tree_id", F.col("node_id").alias("a"), (F.col("node_id") - 1).alias("b")))
 
 
-@query("feature_window", """WITH w AS (SELECT vec_id, embedding AS v, lead(embedding, 3) OVER o AS a, lag(embedding, 3) OVER o AS z FROM embeddings WINDOW o AS (PARTITION BY label ORDER BY vec_id))
+@query("feature_window", """WITH w AS (SELECT vec_id, embedding AS v, lead(embedding, 3) OVER o AS a, lag(embedding, 3) OVER o AS z FROM embeddings WINDOW o AS (PARTITION BY CAST(floor(sqrt(vec_id)) AS BIGINT) ORDER BY vec_id))
     SELECT vec_id, CAST(7 * 64 AS INT) AS size, round(CAST(coalesce(a[1], 0) AS DOUBLE), 6) AS ahead, round(CAST(v[1] AS DOUBLE), 6) AS here, round(CAST(coalesce(z[64], 0) AS DOUBLE), 6) AS behind FROM w""")
 def feature_window(spark, d):
-    w = features.window_of("embedding", ["label"], "vec_id", 64)
-    e = read(spark, d, "embeddings").select("vec_id", w.alias("f"))
+    w = features.window_of("embedding", ["sid"], "vec_id", 64)
+    e = read(spark, d, "embeddings").withColumn("sid", F.floor(F.sqrt("vec_id"))).select("vec_id", w.alias("f"))
     at = lambda i: F.round(F.col("f")[i].cast("double"), 6)
     return e.select("vec_id", F.size("f").alias("size"), at(0).alias("ahead"), at(3 * 64).alias("here"), at(7 * 64 - 1).alias("behind"))
 
@@ -400,7 +400,7 @@ def forms(spark: SparkSession, d: str) -> DataFrame:
     best AS (SELECT form, pos, arg_min(base, rank) AS base FROM tried WHERE base IN (SELECT low FROM pairs) GROUP BY form, pos)
     SELECT form, pos, coalesce(base, low) AS lemma FROM pairs LEFT JOIN best USING (form, pos)""")
 def lemma_forms(spark, d):
-    f = forms(spark, d)
+    f = durable(forms(spark, d), "forms")  # read three times
     bases = f.select(F.lower("form").alias("base")).distinct().select("base", F.explode(F.array(*map(F.lit, ("VB", "NN", "JJ", "RB")))).alias("lexicon"))
     return lemmas.lemmas(f, bases).select("form", "pos", "lemma")
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .catalog import EV, FORMS, LENGTHS, TREE, WORDS, forms, query, read, tagged, tree, words
+from .catalog import EMISSIONS, EV, FORMS, LENGTHS, TREE, WORDS, emissions, forms, query, read, tagged, tree, words
 from .functions import chars
 from .operators import decoders, english, features, metrics, morphology, tags, text, trees, vocab
 from .operators.ranks import durable, ranked, shared_dir
@@ -317,7 +317,24 @@ def gold_ids(spark, d):
     return vocab.lookup(gold, "gold", ids, -1).select("sid", "tid", "id")
 
 
-@query("bilou_repaired")
+def _repairs() -> str:
+    return "MAP {" + ", ".join(f"'{k}{mark}': '{x}'" for k, both in tags.PAIRS.items() for mark, x in zip("=/", both, strict=True)) + "}"
+
+
+def _put(tag: str, letter: str) -> str:
+    return f"CASE WHEN {letter} = 'O' THEN 'O' ELSE {letter} || substr({tag}, 2) END"
+
+
+_KEY = "substr(acc[i], 1, 1) || substr(l[i + 1], 1, 1) || CASE WHEN substr(acc[i], 3) = substr(l[i + 1], 3) THEN '=' ELSE '/' END"
+
+
+@query("bilou_repaired", f"""WITH RECURSIVE {EV}, k AS (SELECT sid, tid, substr('OBILU', CAST(event_id % 5 AS INT) + 1, 1) AS k, event_type FROM ev),
+    s AS (SELECT sid, list(CASE WHEN k = 'O' THEN k ELSE k || '-' || event_type END ORDER BY tid) AS l FROM k GROUP BY sid),
+    r AS (SELECT sid, l, 1 AS i, l[1:1] AS acc FROM s UNION ALL
+        SELECT sid, l, i + 1, CASE WHEN new IS NULL THEN list_append(acc, l[i + 1]) ELSE list_concat(acc[1:i - 1], [{_put("acc[i]", "substr(new, 1, 1)")}, {_put("l[i + 1]", "substr(new, 2, 1)")}]) END
+        FROM (SELECT *, {_repairs()}[{_KEY}] AS new FROM r WHERE i < len(l))),
+    z AS (SELECT sid, acc[1:i - 1] AS head, acc[i] AS last FROM r WHERE i = len(l))
+    SELECT sid, array_to_string(list_append(head, CASE substr(last, 1, 1) WHEN 'B' THEN 'U' || substr(last, 2) WHEN 'I' THEN 'L' || substr(last, 2) ELSE last END), ' ') AS tags FROM z""")
 def bilou_repaired(spark, d):
     t = tagged(spark, d)
     letter = F.substr(F.lit("OBILU"), (F.col("event_id") % 5 + 1).cast("int"), F.lit(1))
@@ -336,13 +353,21 @@ def english_blocks(spark, d):
     return english.english_tokens(read(spark, d, "documents"), segment=3)
 
 
-@query("softmax_tags")
+LIKELY = [[0.4 if i == j else 0.2 for j in range(4)] for i in range(4)]
+
+
+def _likely(at: int) -> str:
+    return "[" + ", ".join(f"v[{j + 1}] + ln({LIKELY[j][at]})" for j in range(4)) + "]"
+
+
+@query("softmax_tags", f"""WITH RECURSIVE {EMISSIONS}, n AS (SELECT sid, tid, list_transform(s, lambda x: x - ln(list_sum(list_transform(s, lambda y: exp(y))))) AS s FROM em),
+    p AS (SELECT sid, 0 AS tid, s AS v, [[0], [1], [2], [3]] AS paths FROM n WHERE tid = 0
+    UNION ALL SELECT p.sid, p.tid + 1, [{", ".join(f"list_max({_likely(i)}) + s[{i + 1}]" for i in range(4))}], [{", ".join(f"list_append(paths[list_position({_likely(i)}, list_max({_likely(i)}))], {i})" for i in range(4))}]
+        FROM p JOIN n ON n.sid = p.sid AND n.tid = p.tid + 1),
+    e AS (SELECT sid, max(tid) AS z FROM em GROUP BY sid), b AS (SELECT p.sid, paths[list_position(v, list_max(v))] AS path FROM p JOIN e ON p.sid = e.sid AND p.tid = e.z)
+    SELECT sid, generate_subscripts(path, 1) - 1 AS tid, unnest(path) AS tag_id FROM b""")
 def softmax_tags(spark, d):
-    e = read(spark, d, "embeddings")
-    order = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    e = e.select(F.concat_ws("-", "label", F.floor(order / 10)).alias("s"), F.col("vec_id").alias("tid"), F.slice("embedding", 1, 4).alias("scores"))
-    e = e.withColumn("sid", F.xxhash64("s")).select("sid", "tid", "scores")
-    return decoders.decode_paths(e, [[0.4 if i == j else 0.2 for j in range(4)] for i in range(4)], softmax=True)
+    return decoders.decode_paths(emissions(spark, d), LIKELY, softmax=True)
 
 
 MIXED = "((({m} * {m}) % 2147483647) * 31 + {m} * 7 + {v} % 2147483647) % 2147483647"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def sentence():
     return Window.partitionBy("sid").orderBy("tid")
 
@@ -67,10 +68,6 @@ def paint(spans: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 # Pairs of BILOU letters that need repair, and what they become under one label and under two.
-PAIRS = {
-    "BB": ("cur", "I", None), "BU": ("cur", "L", None), "BO": ("prev", "U", "U"), "IB": ("cur", "I", None), "IU": ("cur", "I", None), "IO": ("prev", "L", "L"),
-    "LI": ("cur", None, "B"), "LL": ("cur", None, "B"), "OI": ("cur", "B", "B"), "OL": ("cur", "B", "B"), "UI": ("prev", "B", None), "UL": ("prev", "B", None),
-}
 PAIRS = {
     "BB": ("BI", "UB"), "BU": ("BL", "UU"), "BO": ("UO", "UO"), "IB": ("II", "LB"), "IU": ("II", "LU"), "IO": ("LO", "LO"), "LI": ("II", "LB"), "LL": ("IL", "LB"), "OI": ("OB", "OB"),
     "OL": ("OB", "OB"), "UI": ("BI", "UB"), "UL": ("BL", "UB"),
