@@ -142,13 +142,17 @@ def greedy(lens: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict
 @dataclass
 class Plan:
     """``x``: how often each configuration (pairs of index and count) is used, in fractions; together they hold every piece.
-    ``prices`` are feasible in the dual, so that ``bound`` is below any packing."""
+    ``prices`` are feasible in the dual, so that ``bound`` is below any packing; ``gap`` says how far the program is above it at most."""
 
     x: dict[tuple, float]
     total: float
     prices: np.ndarray
     bound: float
 
+    @property
+    def gap(self) -> float:
+        return self.total / self.bound - 1 if self.bound else 0.0
+
 
 def linear_program(lens: np.ndarray, need: np.ndarray, capacity: int, gap: float = GAP, rounds: int = ROUNDS) -> Plan:
     """The configuration program by multiplicative weights.
@@ -157,7 +161,8 @@ def linear_program(lens: np.ndarray, need: np.ndarray, capacity: int, gap: float
     the weights: the best one, and for each of the lengths that lag most the best one that holds it, if its price is near.
     A step covers at most a fixed share of any demand in it, and never more than is open, so that steps are bounded however
     rare a length is and nothing is covered twice. A sweep ends when all is covered; the next one begins with the prices of
-    the best bound. Sweeps end at a gap of ``gap`` between the total and the bound, or after ``rounds`` rounds.
+    the best bound. Sweeps end at a gap of ``gap`` between the total and the bound; none begins after ``rounds`` rounds, and then the
+    gap that is left is the plan's ``gap`` (0.1 % on sf0.1, 1 % where many lengths fit two or three to a sequence).
     """
     base, plan = lens / capacity, Plan({}, np.inf, lens / capacity, 0.0)
     rate, share, near, done_rounds = RATE, SHARE, NEAR, 0
