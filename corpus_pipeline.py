@@ -59,9 +59,13 @@ ORACLE_SQL = None  # language ID and packing are beyond SQL; tests follow single
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage is written before the next one reads it; the folder of the stage before is deleted then."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(before, True)
+        before = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return STAGES[-1][1](spark, docs, sf_dir)

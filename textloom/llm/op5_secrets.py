@@ -2,7 +2,7 @@
 
 Every version of every path is addressed by its content. Blobs that the ledger has not seen under a rule's version are
 scanned once under the rules that they lack, whatever number of paths hold them, and findings are joined back to all paths. Native: hashes and ids
-travel first, and only the text of one path for each unseen blob is shuffled; findings return by content hash.
+travel first; then texts are shuffled by (blob, path) to find the one that is scanned of each unseen blob; findings return by content hash.
 
 Spans are code points, end exclusive. They come from the pieces between a rule's matches, so each text is split once for
 each kind that occurs in it at all.

@@ -10,8 +10,8 @@ number of substitutions. Native: HOFs and joins only.
 Tokens are runs of letters and digits of the lower-cased text. Items with fewer tokens than a mask spans are found by
 whole-item hashes of that length and must agree as a whole.
 
-Scale: documents are never joined with each other; hits are aggregated by the content hash of the text, so copies are
-verified under one key, and only texts with a hit are shuffled. The benchmark's hashes are broadcast up to
+Scale: documents are never joined with each other. Hits are aggregated by the content hash of the text; to verify them every text is shuffled
+once by that hash, and copies of a text with a hit are each verified. The benchmark's hashes are broadcast up to
 ``BROADCAST_ROWS`` rows (counted first), and joined by a shuffle beyond.
 
 Cases: null or empty text is clean; null or empty items match nothing; repeated rows get the same verdict; a document
