@@ -148,3 +148,26 @@ def test_cycles_are_errors(spark):
     df = spark.createDataFrame([(1, 1, 3), (1, 2, 1), (1, 3, 2)], "tree_id long, node_id long, parent_id long")
     with pytest.raises(ValueError, match="cycle"):
         trees.jumps(df)
+
+
+def test_random_case_and_ranges(spark):
+    from textloom.functions import chars
+    from textloom.operators import text
+
+    got = spark.range(4000).select(text.random_case(F.lit("aB"), F.col("id"), 3, 0.25).alias("x")).groupBy("x").count().collect()
+    n = {r.x: r["count"] for r in got}
+    assert set(n) == {"ab", "AB", "aB"} and all(800 < n[k] < 1200 for k in ("ab", "AB"))
+    probe = spark.createDataFrame([("a",), ("m",), ("z",), ("A",)], "c string")
+    assert [r.x for r in probe.select(chars.is_range(F.col("c"), "b", "z").alias("x")).collect()] == [False, True, True, False]
+
+
+def test_scores_of_any_labels(spark):
+    from textloom.operators import metrics
+
+    t = spark.createDataFrame([("a", "a"), ("b", "a"), (None, None), ("c", "c")], "g string, p string")
+    assert tuple(metrics.accuracy(t, "g", "p").first()) == (4, 2, 0.5)
+    assert tuple(metrics.accuracy(t.limit(0), "g", "p").first()) == (0, 0, 0.0)
+    gold = spark.createDataFrame([(1, 1, 0, "r"), (1, 2, 1, "x"), (2, 1, 0, "r"), (3, 1, 0, "r"), (3, 2, 1, "p")], "sid long, dep long, head long, rel string")
+    pred = spark.createDataFrame([(1, 1, 0, "r"), (1, 2, 1, "x"), (1, 2, 0, "more"), (2, 1, 0, "y"), (3, 1, 0, "r")], "sid long, dep long, head long, rel string")
+    tags = spark.createDataFrame([(1, 1, "N"), (1, 2, "N"), (2, 1, "N"), (3, 1, "N"), (3, 2, "PU"), (4, 1, "N")], "sid long, dep long, tag string")
+    assert tuple(metrics.exact_graphs(gold, pred, tags).first()) == (4, 4, 3)

@@ -368,7 +368,13 @@ def parsed_heads(spark, d):
     return decoders.parsed(e.withColumn("relations", rel), [8, 16, 64], 6400)
 
 
-@query("mst_heads")
+@query("mst_heads", """WITH RECURSIVE c AS (SELECT vec_id AS sid, list_transform(range(64), lambda i: -ln(CASE WHEN i // 8 = i % 8 THEN 0 ELSE abs(embedding[i + 1]::DOUBLE) END + 1e-20)) AS c FROM embeddings),
+    s AS (SELECT sid, c, 0 AS k, list_transform(range(8), lambda j: c[j * 8 + 1]) AS best, list_transform(range(8), lambda j: 0) AS head, list_transform(range(8), lambda j: j > 0) AS free FROM c
+        UNION ALL SELECT sid, c, k + 1, list_transform(range(8), lambda j: CASE WHEN left_[j + 1] AND c[j * 8 + node + 1] < best[j + 1] THEN c[j * 8 + node + 1] ELSE best[j + 1] END),
+            list_transform(range(8), lambda j: CASE WHEN left_[j + 1] AND c[j * 8 + node + 1] < best[j + 1] THEN node ELSE head[j + 1] END), left_
+        FROM (SELECT *, list_transform(range(8), lambda j: free[j + 1] AND j <> node) AS left_ FROM (SELECT *, list_position(open, list_min(open)) - 1 AS node
+            FROM (SELECT *, list_transform(range(8), lambda j: CASE WHEN free[j + 1] THEN best[j + 1] ELSE 1e300 END) AS open FROM s WHERE k < 7))))
+    SELECT sid, generate_subscripts(head, 1) - 1 AS dep, unnest(head) AS head FROM s WHERE k = 7""")
 def mst_heads(spark, d):
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("sid"), F.transform("embedding", lambda x: F.abs(x).cast("double")).alias("probs"))
     return decoders.tree_heads(e, 8)

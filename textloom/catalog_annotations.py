@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .catalog import EMISSIONS, EV, FORMS, LENGTHS, TREE, WORDS, emissions, forms, query, read, tagged, tree, words
+from .catalog import BILOU, EMISSIONS, EV, FORMS, LENGTHS, TREE, WORDS, emissions, forms, query, read, tagged, tree, words
 from .functions import chars
 from .operators import decoders, english, features, metrics, morphology, tags, text, trees, vocab
 from .operators.ranks import durable, ranked, shared_dir
@@ -500,3 +500,59 @@ def stream_lines(spark, d):
         source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in/*")
         line_stream.run_to_end(line_stream.decode_stream(source, delay="10000 days"), f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out")
+
+
+@query("token_accuracy", f"""WITH {EV} SELECT sid, count(*) AS n, count(*) FILTER (event_id % 7 <> 0 OR tag = 'O') AS correct, round(count(*) FILTER (event_id % 7 <> 0 OR tag = 'O') / count(*), 6) AS accuracy FROM ev GROUP BY sid""")
+def token_accuracy(spark, d):
+    t = tagged(spark, d).withColumn("pred", F.when(F.col("event_id") % 7 == 0, "O").otherwise(F.col("tag")))
+    return metrics.accuracy(t, "tag", "pred", "sid")
+
+
+@query("exact_graphs", f"""WITH {EV}, cut AS (SELECT sid * 1000 + tid // 5 AS sid, tid AS dep, tid // 2 AS head, event_type AS rel, event_id FROM ev),
+    p AS (SELECT sid, dep, CASE WHEN event_id % 13 = 0 THEN dep // 3 ELSE head END AS head, CASE WHEN event_id % 11 = 0 THEN 'y' ELSE rel END AS rel FROM cut),
+    m AS (SELECT c.sid, bool_or(p.rel IS NULL) AS arc, bool_or(p.rel IS DISTINCT FROM c.rel) AS rel FROM cut c LEFT JOIN p USING (sid, dep, head) WHERE c.event_id % 9 <> 0 GROUP BY c.sid)
+    SELECT count(*) AS graphs, count(*) FILTER (NOT coalesce(arc, false)) AS unlabeled, count(*) FILTER (NOT coalesce(m.rel, false)) AS labeled FROM (SELECT DISTINCT sid FROM cut) LEFT JOIN m USING (sid)""")
+def exact_graphs(spark, d):
+    t = tagged(spark, d).select((F.col("sid") * 1000 + F.floor(F.col("tid") / 5)).alias("sid"), F.col("tid").alias("dep"), F.floor(F.col("tid") / 2).alias("head"), F.col("event_type").alias("rel"), "event_id")
+    pred = t.select("sid", "dep", F.when(F.col("event_id") % 13 == 0, F.floor(F.col("dep") / 3)).otherwise(F.col("head")).alias("head"), F.when(F.col("event_id") % 11 == 0, "y").otherwise(F.col("rel")).alias("rel"))
+    return metrics.exact_graphs(t, pred, t.select("sid", "dep", F.when(F.col("event_id") % 9 == 0, "PU").otherwise("X").alias("tag")))
+
+
+@query("graph_lines", f"""WITH {EDGES}, e AS (SELECT sid, dep, string_agg(head || ':' || rel, '|' ORDER BY head, rel) AS e FROM g GROUP BY sid, dep)
+    SELECT ev.sid, tid, concat_ws(chr(9), tid, event_type, '_', tag, '_', '_', tid // 2, 'dep', e, '_') AS line FROM ev JOIN e ON ev.sid = e.sid AND tid = dep""")
+def graph_lines(spark, d):
+    gold, _, _ = edges(spark, d)
+    cols = {"id": F.col("tid"), "form": F.col("event_type"), "cpos": F.col("tag"), "head": F.floor(F.col("tid") / 2), "deprel": F.lit("dep")}
+    return columns.graph_lines(tagged(spark, d), gold, cols)
+
+
+@query("argmax_labels", """WITH l AS (SELECT source AS item, row_number() OVER (ORDER BY source) AS cid FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)), n AS (SELECT count(*) AS n FROM l)
+    SELECT vec_id, item AS best FROM embeddings, n JOIN l ON cid = list_position(embedding[1:n], list_max(embedding[1:n]))""")
+def argmax_labels(spark, d):
+    return features.argmax_label(read(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", vocab.label_dictionary(read(spark, d, "documents"), "source")).select("vec_id", "best")
+
+
+@query("sentence_matrices", """SELECT CAST(floor(sqrt(vec_id)) AS BIGINT) AS sid, count(*) AS n, round(sum((vec_id + 1) * embedding[3]::DOUBLE), 4) AS third FROM embeddings GROUP BY 1""")
+def sentence_matrices(spark, d):
+    e = read(spark, d, "embeddings").select(F.floor(F.sqrt("vec_id")).alias("sid"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    weighed = F.reduce("matrix", F.struct(F.col("sid") * F.col("sid") + 1, F.lit(0.0)), lambda a, v: F.struct(a["col1"] + 1, a["col2"] + a["col1"] * F.get(v, F.lit(2))), lambda a: a["col2"])
+    return features.sentence_matrix(e, "v", tid="vec_id").select("sid", F.col("n").cast("long").alias("n"), F.round(weighed, 4).alias("third"))
+
+
+@query("schemes", f"""WITH {BILOU} SELECT sid, tid, CASE k WHEN 'O' THEN 'O' WHEN 'L' THEN 'E-' || event_type WHEN 'U' THEN 'S-' || event_type ELSE k || '-' || event_type END AS tag FROM u""")
+def schemes(spark, d):
+    t = tagged(spark, d)
+    letter = F.substr(F.lit("OBILU"), (F.col("event_id") % 5 + 1).cast("int"), F.lit(1))
+    t = t.withColumn("tag", F.when(letter == "O", letter).otherwise(F.concat(letter, F.lit("-"), F.col("event_type"))))
+    return tags.convert_scheme(t, "ioblu", "iobes").select("sid", "tid", "tag")
+
+
+@query("labelled_lines", r"""SELECT doc_id, lang || ',' || source AS labels, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents WHERE doc_id % 4 <> 0 AND regexp_matches(text, '\S')""")
+def labelled_lines(spark, d):
+    """Documents as labelled lines, written and read again; lines without a label give no row."""
+    docs = read(spark, d, "documents")
+    line = F.concat(F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("__label__"), "lang", F.lit(" __label__"), "source", F.lit(" "))).otherwise(F.lit("")), F.regexp_replace("text", r"\s+", " "))
+    path = f"{shared_dir(spark)}/labelled-{uuid.uuid4().hex}"
+    docs.select(F.concat("doc_id", F.lit("\t"), line).alias("value")).write.text(path)
+    rows = spark.read.text(path).select(F.substring_index("value", "\t", 1).cast("long").alias("doc_id"), columns.labelled_text(F.regexp_replace("value", "^[0-9]+\t", "")).alias("x"))
+    return rows.where("x is not null").select("doc_id", F.array_join("x.labels", ",").alias("labels"), "x.text")

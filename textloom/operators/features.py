@@ -22,12 +22,25 @@ def pad_to(vectors: Column, n: int, pad: Column) -> Column:
     return F.slice(F.concat(vectors, F.array_repeat(pad, n)), 1, n)
 
 
-def argmax(scores: Column, n: int) -> Column:
+def argmax(scores: Column, n: int | Column) -> Column:
     """Position from 0 of the largest of the first n scores."""
-    some = F.slice(scores, 1, n)
+    some = F.slice(scores, F.lit(1), F.lit(n) if isinstance(n, int) else n)
     return F.array_position(some, F.array_max(some)) - 1
 
 
+def argmax_label(df: DataFrame, scores: str, labels: DataFrame) -> DataFrame:
+    """Adds ``best``, the label (item, cid) of the largest score; scores beyond the number of labels don't count."""
+    n = labels.agg(F.count("*").cast("int").alias("__n"))
+    some = df.crossJoin(F.broadcast(n)).withColumn("__cid", argmax(F.col(scores), F.col("__n")))  # one row
+    return some.join(F.broadcast(labels.select(F.col("cid").cast("long").alias("__cid"), F.col("item").alias("best"))), "__cid", "left").drop("__cid", "__n")  # a row for each score at most
+
+
+def sentence_matrix(t: DataFrame, vector: str, sid: str = "sid", tid: str = "tid") -> DataFrame:
+    """``sid, n, matrix``: the vectors of a sentence's tokens as rows, in order."""
+    g = t.groupBy(sid).agg(F.sort_array(F.collect_list(F.struct(tid, F.col(vector).alias("v")))).alias("t"))
+    return g.select(sid, F.size("t").alias("n"), F.col("t.v").alias("matrix"))
+
+
 def bucket(length: Column, splits: list[int]) -> Column:
     """The smallest split that is not less than the length."""
     out = F.lit(None).cast("int")

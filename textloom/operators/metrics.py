@@ -34,6 +34,13 @@ def confusion(df: DataFrame, gold: str, pred: str) -> DataFrame:
     return s.select("tp", "fp", "tn", "fn", *f1(F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")), ratio(F.col("tp") + F.col("tn"), n).alias("accuracy"))
 
 
+def accuracy(df: DataFrame, gold: str, pred: str, *by: str) -> DataFrame:
+    """``by, n, correct, accuracy`` of labels of any kind; a null is never right. Counts add up, so that batches may be scored one by one."""
+    right = F.coalesce(F.col(gold) == F.col(pred), F.lit(False))
+    s = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(right).alias("correct")) if by else df.agg(F.count("*").alias("n"), F.count_if(right).alias("correct"))
+    return s.select(*by, "n", "correct", ratio(F.col("correct"), F.col("n")).alias("accuracy"))
+
+
 def attachment(df: DataFrame, score_punctuation: bool = False) -> DataFrame:
     """``uas, las, label_accuracy`` of rows form, head, rel, p_head, p_rel."""
     kept = df if score_punctuation else df.where(~F.rlike("form", F.lit(r"^\p{P}+$")))
@@ -114,6 +121,18 @@ def graph_scores(gold: DataFrame, pred: DataFrame, tokens: DataFrame, mark: str
     )
 
 
+def exact_graphs(gold: DataFrame, pred: DataFrame, tokens: DataFrame, mark: str = "PU") -> DataFrame:
+    """``graphs, unlabeled, labeled``: sentences of ``tokens`` (sid, dep, tag), and those in which every gold edge (sid, dep, head, rel) whose dependent isn't
+    tagged ``mark`` is predicted, without and with its relation; edges that are predicted besides don't count."""
+    own = tokens.where(F.col("tag") != mark).select("sid", "dep")
+    g = gold.select("sid", "dep", "head", F.col("rel").alias("g")).distinct().join(own, ["sid", "dep"], "left_semi")
+    both = g.join(pred.select("sid", "dep", "head", F.col("rel").alias("p")).distinct(), ["sid", "dep", "head"], "left")
+    missed = both.groupBy("sid").agg(F.max(F.col("p").isNull()).alias("arc"), F.max(F.coalesce(F.col("p") != F.col("g"), F.lit(True))).alias("rel"))
+    s = tokens.select("sid").distinct().join(missed, "sid", "left")
+    fine = lambda c: F.count_if(~F.coalesce(F.col(c), F.lit(False)))
+    return s.agg(F.count("*").alias("graphs"), fine("arc").alias("unlabeled"), fine("rel").alias("labeled"))
+
+
 class EvalMetric:
     """Counts that add up over batches of chunk sets or labels, and the scores that follow from them."""
 

@@ -89,7 +89,7 @@ def suffix_difference(form: Column, base: Column) -> Column:
     return F.when(i == 0, F.lit("")).when(j == 0, apart).otherwise(inside)
 
 
-def random_case(c: Column, seed: int, share: float = 0.01) -> Column:
-    """A share of the texts in lower case and as many in upper case, by a seed."""
-    r = F.rand(seed)
-    return F.when(r < share, F.lower(c)).when(r > 1 - share, F.upper(c)).otherwise(c)
+def random_case(c: Column, key: Column, seed: int, share: float = 0.01) -> Column:
+    """A share of the texts in lower case and as many in upper case, by seed and row key, so that a repeated task gives the same."""
+    r = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / 1_000_000
+    return F.when(r < share, F.lower(c)).when(r >= 1 - share, F.upper(c)).otherwise(c)

@@ -140,6 +140,13 @@ def edge_list(edges: Column) -> Column:
     return F.when(F.size(edges) > 0, F.array_join(parts, "|")).otherwise(F.lit("_"))
 
 
+def graph_lines(t: DataFrame, edges: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """``sid, tid, line``: ten-column rows of tokens (sid, tid) whose last but one cell lists the edges (sid, dep, head, rel) of the token as
+    ``head:rel|head:rel``."""
+    own = edges.groupBy("sid", F.col("dep").alias("tid")).agg(edge_list(F.collect_list(F.struct("head", "rel"))).alias("__edges"))
+    return t.join(own, ["sid", "tid"], "left").select("sid", "tid", conll_line(cols | {"phead": F.col("__edges")}).alias("line"))
+
+
 def sentence_lines(t: DataFrame, line: str = "line") -> DataFrame:
     """``sid, block``: the lines of each sentence in order, as one text that ends with a blank line."""
     g = t.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("tid", line))).alias("t"))
