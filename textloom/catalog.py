@@ -385,8 +385,8 @@ def english_tokens(spark, d):
     return english.english_tokens(read(spark, d, "documents"))
 
 
-FORMS = r"""forms AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS form FROM documents),
-    pairs AS (SELECT form, lower(form) AS low, CASE WHEN form LIKE '%ing' THEN 'VBG' WHEN form LIKE '%ed' THEN 'VBD' WHEN form LIKE '%est' THEN 'JJS'
+FORMS = r"""forms AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS form FROM documents),
+    pairs AS MATERIALIZED (SELECT form, lower(form) AS low, CASE WHEN form LIKE '%ing' THEN 'VBG' WHEN form LIKE '%ed' THEN 'VBD' WHEN form LIKE '%est' THEN 'JJS'
         WHEN form LIKE '%er' THEN 'JJR' WHEN form LIKE '%s' THEN 'NNS' ELSE 'NN' END AS pos FROM forms)"""
 RULES = ", ".join(f"({10 * i}, '{x}', '{t}', '{s}', {r}, {d})" for i, (x, t, s, r, d) in enumerate(lemmas.SUFFIXES))
 
@@ -399,11 +399,12 @@ def forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("lemmas", f"""WITH {FORMS}, rules AS (SELECT * FROM (VALUES {RULES}) AS r(rank, lexicon, tags, suffix, replacements, twice)),
-    stems AS (SELECT form, pos, rank, replacements, twice, left(low, length(low) - length(suffix)) AS stem FROM pairs JOIN rules ON ends_with(low, suffix) AND lexicon = left(pos, 2) AND contains(tags, pos)),
-    tried AS (SELECT form, pos, rank + i AS rank, stem || replacements[i] AS base FROM stems, generate_series(1, 2) g(i) WHERE i <= len(replacements)
+    stems AS MATERIALIZED (SELECT form, pos, rank, replacements, twice, left(low, length(low) - length(suffix)) AS stem FROM pairs JOIN rules ON ends_with(low, suffix) AND lexicon = left(pos, 2) AND contains(tags, pos)),
+    tried AS MATERIALIZED (SELECT form, pos, rank + i AS rank, stem || replacements[i] AS base FROM stems, generate_series(1, 2) g(i) WHERE i <= len(replacements)
         UNION ALL SELECT form, pos, rank + 2 + i, left(stem, length(stem) - 1) || replacements[i] FROM stems, generate_series(1, 2) g(i)
         WHERE i <= len(replacements) AND twice AND length(stem) >= 2 AND right(stem, 1) = substr(stem, length(stem) - 1, 1)),
-    best AS (SELECT form, pos, arg_min(base, rank) AS base FROM tried WHERE base IN (SELECT low FROM pairs) GROUP BY form, pos)
+    lows AS MATERIALIZED (SELECT DISTINCT low FROM pairs),
+    best AS (SELECT form, pos, arg_min(base, rank) AS base FROM tried SEMI JOIN lows ON base = low GROUP BY form, pos)
     SELECT form, pos, coalesce(base, low) AS lemma FROM pairs LEFT JOIN best USING (form, pos)""")
 def lemma_forms(spark, d):
     f = durable(forms(spark, d), "forms")  # read three times
