@@ -152,8 +152,8 @@ def test_runs_equal_plain_search():
             assert op13_runs.runs_of(x, least) == plain_runs(x, least), (x, least)
 
 
-def test_runs_take_linear_time():
-    """Words compared with each other, beyond the stack's own steps, stay below four a word."""
+def test_runs_take_linear_time(monkeypatch):
+    """Words compared with each other, one more for each comparison: a fixed number a word, at four times the length as well."""
     steps = 0
 
     class Counted(op13_runs.Sequence):
@@ -169,19 +169,24 @@ def test_runs_take_linear_time():
             steps += got - k + 1
             return got
 
-    a, b = [0], [0, 1]
-    while len(b) < 20_000:
-        a, b = b, b + a
-    random.seed(2)
-    unit = [random.randrange(2) for _ in range(50)]
-    for x in (b, [0] * 20_000, [0, 1] * 10_000, [random.randrange(2) for _ in range(20_000)], unit * 400, ([0] * 50 + [1]) * 400):
-        steps, real = 0, op13_runs.Sequence
-        op13_runs.Sequence = Counted
-        try:
+    def words(n):
+        a, b = [0], [0, 1]
+        while len(b) < n:
+            a, b = b, b + a
+        random.seed(2)
+        unit = [random.randrange(2) for _ in range(50)]
+        yield from (b[:n], [0] * n, [0, 1] * (n // 2), [random.randrange(2) for _ in range(n)], (unit * n)[:n], (([0] * 50 + [1]) * n)[:n], [i.bit_count() % 2 for i in range(n)])
+
+    monkeypatch.setattr(op13_runs, "Sequence", Counted)
+    per = []
+    for n in (5_000, 20_000):
+        per.append([])
+        for x in words(n):
+            steps = 0
             op13_runs.runs_of(x)
-        finally:
-            op13_runs.Sequence = real
-        assert steps < 4 * len(x), steps / len(x)
+            per[-1].append(steps / n)
+    for few, many in zip(*per, strict=True):
+        assert many < 8 and many < few * 1.1 + 0.1, per
 
 
 def test_find_runs_rows(spark):
