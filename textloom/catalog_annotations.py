@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .catalog import BILOU, EMISSIONS, EV, FORMS, LENGTHS, TREE, WORDS, emissions, forms, query, read, tagged, tree, words
+from .catalog import _RE2, BILOU, EMISSIONS, EV, FORMS, LENGTHS, TREE, WORDS, emissions, forms, query, read, tagged, tree, words
 from .functions import chars
 from .operators import decoders, english, features, metrics, morphology, tags, text, trees, vocab
 from .operators.ranks import durable, ranked, shared_dir
@@ -343,7 +343,16 @@ def bilou_repaired(spark, d):
     return g.select("sid", F.array_join(tags.repaired(F.col("t.tag")), " ").alias("tags"))
 
 
-@query("collapsed_digits")
+def _digit(i: str) -> str:
+    return f"regexp_full_match(substr(url, {i}, 1), '[0-9]')"
+
+
+@query("collapsed_digits", f"""WITH RECURSIVE p AS (SELECT page_id, url, 1 AS i, '' AS made, '' AS final FROM pages UNION ALL
+        SELECT page_id, url, i + 1, CASE WHEN gone THEN made ELSE made || kept END, CASE WHEN gone THEN final ELSE kept END
+        FROM (SELECT *, CASE WHEN is_digit THEN '0' ELSE x END AS kept, CASE WHEN later THEN regexp_full_match(x, '[{_RE2["currency"]}.+#-]') OR (sooner AND regexp_full_match(x, '[{_RE2["hyphen"]},:/=]'))
+                WHEN sooner THEN x = '%' ELSE is_digit AND final = '0' END AS gone
+            FROM (SELECT *, substr(url, i, 1) AS x, {_digit("i")} AS is_digit, {_digit("i + 1")} AS later, i > 1 AND {_digit("i - 1")} AS sooner FROM p WHERE i <= length(url))))
+    SELECT page_id, made AS url FROM p WHERE i = length(url) + 1""")
 def collapsed_digits(spark, d):
     return read(spark, d, "pages").select("page_id", text.collapse_digits(F.col("url")).alias("url"))
 

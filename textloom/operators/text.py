@@ -38,33 +38,20 @@ def tagged_text(t: DataFrame, *tags: str) -> DataFrame:
     return g.select("sid", F.array_join(F.col("t.x"), " ").alias("tagged"))
 
 
+ALONE = "\uffff"  # no character: stands for a digit without a digit beside it
+
+
 def collapse_digits(c: Column) -> Column:
     """Numbers as zeros: signs that belong to a number go, a percent sign after it too, and a single digit after a zero.
 
-    Three passes of expressions over the text: what is dropped depends on the neighbours in the text as it was.
+    Four replacements, each of which reads a text once, whatever its length. Single digits are marked first, as what is alone and what
+    belongs to a number depends on the neighbours in the text as it was.
     """
-    money, hyphen = CLASSES["currency"], CLASSES["hyphen"]
-    chars = F.split(c, "")
-    n = F.length(c)
-
-    def at(i: Column) -> Column:
-        return F.substr(c, i, F.lit(1))
-
-    def digit(i: Column) -> Column:
-        return (i >= 1) & (i <= n) & F.rlike(at(i), F.lit("^[0-9]$"))
-
-    def step(acc: Column, i: Column) -> Column:
-        x = at(i)
-        lead = digit(i + 1) & F.rlike(x, F.lit(f"^[{money}.+#-]$"))
-        inner = digit(i + 1) & digit(i - 1) & F.rlike(x, F.lit(f"^[{hyphen},:/=]$"))
-        percent = ~digit(i + 1) & digit(i - 1) & (x == "%")
-        again = ~digit(i + 1) & ~digit(i - 1) & digit(i) & (acc["last"] == "0")
-        gone = lead | inner | percent | again
-        kept = F.when(digit(i), F.lit("0")).otherwise(x)
-        return F.struct(F.when(gone, acc["last"]).otherwise(kept).alias("last"), F.when(gone, acc["out"]).otherwise(F.concat(acc["out"], kept)).alias("out"))
-
-    zero = F.struct(F.lit("").alias("last"), F.lit("").alias("out"))
-    return F.when(F.size(chars) > 0, F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), zero, step, lambda a: a["out"])).otherwise(c))
+    digit = f"[0-9{ALONE}]"
+    signs = f"[{CLASSES['currency']}.+#-](?={digit})|(?<={digit})[{CLASSES['hyphen']},:/=](?={digit})|(?<={digit})%(?!{digit})"
+    marked = F.regexp_replace(c, "(?<![0-9])[0-9](?![0-9])", ALONE)
+    joined = F.regexp_replace(F.regexp_replace(marked, signs, ""), f"(?<={digit}){ALONE}", "")
+    return F.regexp_replace(joined, digit, "0")
 
 
 def common_prefix(a: Column, b: Column) -> Column:
