@@ -228,7 +228,33 @@ def test_program_closes_its_gap_where_best_fit_does_not():
     h = Counter(rng.integers(200, 500, 5000).tolist())
     plan = op8_packing.linear_program(np.array(sorted(h)), np.array([h[n] for n in sorted(h)]), 1024)
     got = op8_packing.solve(h)
-    assert plan.bound <= sum(m for _, m in got) <= 1.03 * plan.bound and plan.total <= 1.02 * plan.bound
+    assert plan.bound <= sum(m for _, m in got) <= 1.02 * plan.bound and plan.total <= 1.01 * plan.bound
+
+
+@pytest.mark.parametrize(("low", "high", "capacity", "n"), [(1, 101, 100, 3000), (300, 700, 1024, 800), (20, 60, 100, 1000), (7, 8, 20, 50)])
+def test_packing_is_never_worse_than_best_fit(low, high, capacity, n):
+    h = Counter(np.random.default_rng(low).integers(low, high, n).tolist())
+    lens, need = np.array(sorted(h)), np.array([h[x] for x in sorted(h)])
+    got, total = op8_packing.solve(h, capacity), Counter()
+    for conf, m in [*got, *(({int(lens[j]): n for j, n in c.items()}, 0) for c, _ in op8_packing.fullest(lens, need, capacity))]:
+        assert sum(n * c for n, c in conf.items()) <= capacity
+        total.update({n: c * m for n, c in conf.items()})
+    assert total == h and sum(m for _, m in got) <= sum(m for _, m in op8_packing.greedy(lens, need, capacity))
+
+
+def test_prices_are_those_of_a_plain_knapsack():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        capacity = int(rng.integers(1, 300))
+        lens = np.unique(rng.integers(1, capacity + 1, int(rng.integers(1, 60))))
+        gain, best = rng.random(len(lens)) * lens, np.zeros(capacity + 1)
+        for c in range(1, capacity + 1):
+            best[c] = max([best[c - 1], *(best[c - n] + g for n, g in zip(lens, gain, strict=True) if n <= c)])
+        got = op8_packing.price(lens, gain, capacity)
+        assert np.allclose(best, got)
+        filled = op8_packing.Trace(lens, gain, got)(capacity)
+        assert sum(lens[j] * n for j, n in filled.items()) <= capacity
+        assert abs(sum(gain[j] * n for j, n in filled.items()) - best[capacity]) < 1e-9
 
 
 def test_lm_base_against_brute_force(spark):

@@ -3,8 +3,8 @@
 Documents become token pieces once; only the histogram of piece lengths (at most ``capacity`` rows) goes to the driver.
 There the covering LP over configurations, min sum x_p with sum_p a_lp x_p >= d_l, is solved by multiplicative weights:
 lengths that lag behind their demand gain weight, and an unbounded knapsack by dynamic programming prices configurations
-for the weights, whose scaled prices give a lower bound. The fractional solution is rounded down and the residue is packed
-best-fit decreasing on the histogram. Pieces then get a rank among their length and take the slot of that rank.
+for the weights, whose scaled prices give a lower bound. The fractional solution is rounded by whole parts and running sums of the
+others, and the residue packed from the histogram. Pieces then get a rank among their length and take the slot of that rank.
 
 Ranks need no global order: each length is dealt into buckets of about ``BUCKET`` pieces, ranked in its bucket, and
 offset by the bucket counts. The slot table has a row for each configuration and length in it, at most some thousands,
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +34,14 @@ from .common import save, table
 CAPACITY = 1024
 END_ID = 2
 BUCKET = 20_000
-#: The first sweep: the weights' rate, the largest share of a demand in a step, how near the best price a configuration must
-#: be. Each later one halves all three; none begins after so many rounds.
-RATE, SHARE, NEAR = 2.0, 0.1, 0.02
+#: The weights' rate, and for the first sweep the largest share of a demand in a step and how near the best price a configuration
+#: must be. Each later sweep halves these two; none begins after so many rounds.
+RATE, SHARE, NEAR = 10.0, 0.05, 0.02
 ROUNDS = 2_000
 GAP = 0.0005
 COLUMNS = 64  # configurations of a round
-WORTH = 0.01
+SHORT = 32  # lengths below are priced one by one
+WORTHS = (0.01, 0.001, 1e-9)  # how far below a whole sequence's price a configuration that is used may be; the better packing is taken
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -87,30 +89,84 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, PIECES)
 
 
-def price(lens: np.ndarray, gain: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """An unbounded knapsack over capacities 0..capacity: the largest gain of each, and its last item (-1: none)."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(lens, np.arange(capacity + 1), side="right")
-    for c in range(int(lens[0]), capacity + 1):
-        v = best[c - lens[: upto[c]]] + gain[: upto[c]]
-        j = int(v.argmax())
-        best[c] = best[c - 1]
-        if v[j] > best[c] + 1e-12:
-            best[c], last[c] = v[j], j
-    return best, last
-
-
-def trace(lens: np.ndarray, last: np.ndarray, c: int) -> dict[int, int]:
-    """Index -> count of what fills capacity ``c`` best."""
-    found: dict[int, int] = {}
-    while c > 0:
-        j = int(last[c])
-        if j < 0:
-            c -= 1
-            continue
-        found[j] = found.get(j, 0) + 1
-        c -= int(lens[j])
-    return found
+def price(lens: np.ndarray, gain: np.ndarray, capacity: int) -> np.ndarray:
+    """An unbounded knapsack: the largest gain of what capacities 0..capacity hold.
+
+    A length that a shorter one outdoes is left out. Each short length is taken in all its multiples at once, by a running maximum
+    along a row for each rest; the others by ranges from m up to 2 m, in which no more than m capacities at a time depend on each other.
+    """
+    top = np.maximum.accumulate(gain)
+    keep = gain > np.append(0.0, top[:-1])
+    lens, gain, best = lens[keep], gain[keep], np.zeros(capacity + 1)
+    short = int(np.searchsorted(lens, SHORT))
+    for n, g in zip(lens[:short].tolist(), gain[:short].tolist(), strict=True):
+        rows = -(-(capacity + 1) // n)
+        grid = np.full(rows * n, -np.inf)
+        grid[: capacity + 1] = best
+        grid, steps = grid.reshape(rows, n), g * np.arange(rows)[:, None]
+        best = (np.maximum.accumulate(grid - steps) + steps).ravel()[: capacity + 1]
+    room = np.append(np.full(capacity, -np.inf), best)  # below 0 nothing fits
+    best, m = room[capacity:], SHORT
+    while m <= capacity:
+        lo, hi = np.searchsorted(lens, (m, 2 * m))
+        if hi > lo:
+            rows, back, more = sliding_window_view(room, m), capacity - lens[lo:hi], gain[lo:hi, None]
+            for c in range(int(lens[lo]), capacity + 1, m):
+                n = min(m, capacity + 1 - c)
+                best[c : c + n] = np.maximum(best[c : c + n], (rows[back + c, :n] + more).max(axis=0))
+        m *= 2
+    return best
+
+
+class Trace:
+    """What fills a capacity best, by the values of ``price``; each capacity's item is looked up once."""
+
+    def __init__(self, lens: np.ndarray, gain: np.ndarray, best: np.ndarray):
+        self.lens, self.gain, self.best, self.item = lens, gain, best, {}
+
+    def __call__(self, c: int) -> dict[int, int]:
+        """Index -> count."""
+        found: dict[int, int] = {}
+        while self.best[c] > 0:
+            if c not in self.item:
+                fits = int(np.searchsorted(self.lens, c, side="right"))
+                self.item[c] = int((self.gain[:fits] + self.best[c - self.lens[:fits]]).argmax())
+            j = self.item[c]
+            found[j] = found.get(j, 0) + 1
+            c -= int(self.lens[j])
+        return found
+
+
+def fullest(lens: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Packs a histogram, a configuration at a time: the longest piece, and of what is left the pieces that fill the rest best, long
+    ones first. The sums that shorter pieces reach are the bits of a whole number, so a configuration costs a shift for each length
+    (and each power of two of its count); one that fills a sequence is used as often as its pieces allow."""
+    left, out = left.copy(), []
+    full = (1 << (capacity + 1)) - 1
+    while left.any():
+        at = np.flatnonzero(left)
+        top = int(at[-1])
+        free, taken = capacity - int(lens[top]), {top: 1}
+        reach, items = [1], []
+        for j in at[lens[at] <= free].tolist():
+            n, have = int(lens[j]), min(int(left[j]) - (j == top), free // int(lens[j]))
+            k = 1
+            while have > 0:
+                k = min(k, have)
+                items.append((j, k, n * k))
+                reach.append((reach[-1] | reach[-1] << n * k) & full)
+                have, k = have - k, 2 * k
+        c = (reach[-1] & ((1 << (free + 1)) - 1)).bit_length() - 1
+        for i in range(len(items) - 1, -1, -1):
+            j, k, n = items[i]
+            if n <= c and reach[i] >> (c - n) & 1:
+                taken[j] = taken.get(j, 0) + k
+                c -= n
+        m = min(int(left[j]) // n for j, n in taken.items())
+        for j, n in taken.items():
+            left[j] -= m * n
+        out.append((taken, m))
+    return out
 
 
 def greedy(lens: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -160,29 +216,29 @@ def linear_program(lens: np.ndarray, need: np.ndarray, capacity: int, gap: float
     A length's weight falls exponentially with the share of its demand that is covered. Each round prices configurations by
     the weights: the best one, and for each of the lengths that lag most the best one that holds it, if its price is near.
     A step covers at most a fixed share of any demand in it, and never more than is open, so that steps are bounded however
-    rare a length is and nothing is covered twice. A sweep ends when all is covered; the next one begins with the prices of
-    the best bound. Sweeps end at a gap of ``gap`` between the total and the bound; none begins after ``rounds`` rounds, and then the
-    gap that is left is the plan's ``gap`` (0.1 % on sf0.1, 1 % where many lengths fit two or three to a sequence).
+    rare a length is and nothing is covered twice. A sweep ends when all is covered; the next one begins with the weights' mean over its
+    rounds, in which lengths that kept lagging cost more. Sweeps end at a gap of ``gap`` between the total and the bound; none begins
+    after ``rounds`` rounds, and then the gap that is left is the plan's ``gap`` (README has figures).
     """
     base, plan = lens / capacity, Plan({}, np.inf, lens / capacity, 0.0)
-    rate, share, near, done_rounds = RATE, SHARE, NEAR, 0
+    share, near, done_rounds = SHARE, NEAR, 0
     while done_rounds < rounds and plan.total > plan.bound * (1 + gap):
-        left, x = need.astype(float), {}
+        left, x, mean = need.astype(float), {}, np.zeros(len(lens))
         while len(o := np.flatnonzero(left > 1e-9 * need)):
             done_rounds += 1
             done = 1 - left / need
-            y = base * np.exp(-rate * (done - done.min()))
-            best, last = price(lens, y, capacity)
-            if float(need @ y) / best[-1] > plan.bound:
-                plan.bound, plan.prices = float(need @ y) / best[-1], y / best[-1]
+            y = base * np.exp(-RATE * (done - done.min()))
             some = lens[o]
-            if len(o) < len(lens):
-                best, last = price(some, y[o], capacity)
+            best = price(some, y[o], capacity)
+            mean += y / best[-1]
+            if len(o) == len(lens) and float(need @ y) / best[-1] > plan.bound:
+                plan.bound, plan.prices = float(need @ y) / best[-1], y / best[-1]
+            fill = Trace(some, y[o], best)
             lag = np.argsort(done[o], kind="stable")[:COLUMNS]
             value = (y[o][lag] + best[capacity - some[lag]]) / best[-1]
-            tried = [trace(some, last, capacity)]
+            tried = [fill(capacity)]
             for k in lag[value >= 1 - near].tolist():
-                tried.append(trace(some, last, capacity - int(some[k])))
+                tried.append(fill(capacity - int(some[k])))
                 tried[-1][k] = tried[-1].get(k, 0) + 1
             gained: dict[int, float] = {}
             for conf in tried:
@@ -196,30 +252,51 @@ def linear_program(lens: np.ndarray, need: np.ndarray, capacity: int, gap: float
                     gained[j] = gained.get(j, 0.0) + step * n / need[o[j]]
         if sum(x.values()) < plan.total:
             plan.x, plan.total = x, sum(x.values())
-        base, rate, share, near = plan.prices, rate / 2, share / 2, near / 2
+        base, share, near = mean / price(lens, mean, capacity)[-1], share / 2, near / 2
+        if float(need @ base) > plan.bound:
+            plan.bound, plan.prices = float(need @ base), base
     return plan
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """Configurations (length -> count) and how often each is used; together they hold every piece exactly once.
 
-    The program's configurations worth their price are used as often as the whole part of their fraction says; the residue
-    is packed best-fit decreasing.
+    The program's fractions are rounded in some ways (``rounded``), and the one that needs the fewest sequences is taken.
     """
     lens = np.array(sorted(histogram), dtype=np.int64)
     need = np.array([histogram[int(x)] for x in lens], dtype=np.int64)
     if not len(lens):
         return []
     plan = linear_program(lens, need, capacity)
-    left, found = need.copy(), []
-    for key, v in sorted(plan.x.items(), key=lambda kv: (-kv[1], kv[0])):
-        m = min(int(v + 1e-9), *(int(left[j]) // n for j, n in key))
-        if m > 0 and sum(n * plan.prices[j] for j, n in key) >= 1 - WORTH:
+    tried = [rounded(plan, lens, need, capacity, worth, parts) for worth in WORTHS for parts in (True, False)]
+    return [({int(lens[j]): n for j, n in c.items()}, m) for c, m in min(tried, key=sequences)]
+
+
+def sequences(packed: list[tuple[dict[int, int], int]]) -> int:
+    return sum(m for _, m in packed)
+
+
+def rounded(plan: Plan, lens: np.ndarray, need: np.ndarray, capacity: int, worth: float, by_parts: bool) -> list[tuple[dict[int, int], int]]:
+    """Configurations that are ``worth`` their price are used as often as the whole part of their fraction says and, ``by_parts``, once
+    more where the sum of the other parts, in the order of their longest pieces, passes a whole number: so each length gets about
+    what the program gives it, however small the fractions are. The residue is packed best-fit decreasing or by ``fullest``,
+    whichever needs fewer sequences.
+    """
+    used = sorted(((key, v + 1e-9) for key, v in plan.x.items() if sum(n * plan.prices[j] for j, n in key) >= 1 - worth), key=lambda kv: kv[0][::-1])
+    left, found, parts = need.copy(), [], 0.5
+    for key, v in used:  # whole parts first, so that none is cut by what follows
+        m = min(int(v), *(int(left[j]) // n for j, n in key))
+        if m > 0:
             for j, n in key:
                 left[j] -= m * n
             found.append((dict(key), m))
-    found += greedy(lens, left, capacity)
-    return [({int(lens[j]): n for j, n in c.items()}, m) for c, m in found]
+    for key, v in used if by_parts else ():
+        before, parts = int(parts), parts + v % 1
+        if int(parts) > before and all(left[j] >= n for j, n in key):
+            for j, n in key:
+                left[j] -= n
+            found.append((dict(key), 1))
+    return found + min(greedy(lens, left, capacity), fullest(lens, left, capacity), key=sequences)
 
 
 def slots(solution: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
