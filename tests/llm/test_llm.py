@@ -406,6 +406,16 @@ def test_language(spark):
     assert op10_language.identify(test, op10_language.fit(df.limit(0)), "doc_id").where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sample_is_bounded_and_takes_an_id_once(spark):
+    rows = [(i, f"text {i}", "xx") for i in range(3_000)] + [(7, f"other {i}", "xx") for i in range(500)] + [(i, "few", "yy") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = op10_language.sample(df, 100).collect()
+    by = Counter(r.lang for r in got)
+    assert by == {"xx": 100, "yy": 5} and len({(r.lang, r.doc_id) for r in got}) == 105
+    assert sorted(got) == sorted(op10_language.sample(df.repartition(7), 100).collect())
+    assert op10_language.sample(df.limit(0), 100).count() == 0
+
+
 def test_language_rejects_what_was_not_learned(spark):
     german = "der die und nicht mit von auch eine wird ist sich auf das dem den".split()
     rng = np.random.default_rng(8)

@@ -120,12 +120,16 @@ def document_frequency(texts: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def sample(train: DataFrame, per_language: int) -> DataFrame:
-    """At most so many texts of each language, by a hash of the id; ids are chosen before texts move."""
-    order = F.xxhash64(F.lit(17), "doc_id")
+    """At most so many texts of each language, the first by a hash of the id; rows that share an id count once, with the text that sorts first.
+
+    A limit on the hash, from how many rows a language has, leaves about twice as many before anything is grouped or ranked.
+    """
+    order, span = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 40)), float(1 << 40)
+    limits = train.groupBy("lang").agg((F.lit((2 * per_language + 100) * span) / F.count("*")).alias("limit"))  # a row a language
+    near = train.select("lang", "doc_id", "text", order.alias("order")).join(F.broadcast(limits), "lang").where("order <= limit")
+    once = near.groupBy("lang", "doc_id", "order").agg(F.min("text").alias("text"))
     w = Window.partitionBy("lang").orderBy("order", "doc_id")
-    ids = train.select("lang", "doc_id", order.alias("order")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_language)
-    chosen = ids.select("doc_id", "lang").distinct()  # per_language rows a language
-    return train.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", "text")
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_language).select("lang", "doc_id", "text")
 
 
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
@@ -178,7 +182,7 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CEN
 
 def identify(docs: DataFrame, model: Model, *keep: str, text: str = "text") -> DataFrame:
     """``keep`` columns, then lang_pred, score and rejected; ``keep`` may be all columns."""
-    spark, sent = docs.sparkSession, docs.sparkSession.sparkContext.broadcast(model)  # fixed size: dimensions x centroids
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: dimensions x centroids
     names = list(keep)
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     at = names.index(text) if text in names else len(names)
@@ -197,7 +201,6 @@ def identify(docs: DataFrame, model: Model, *keep: str, text: str = "text") -> D
                 cols = [*b.columns[: len(names)], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(cols, [*names, "lang_pred", "score", "rejected"])
 
-    del spark
     return given.mapInArrow(run, schema)
 
 
