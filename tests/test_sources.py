@@ -1,6 +1,7 @@
 """Column files in splits, corpora, task layouts, splits for language models."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,35 @@ def test_model_lines(spark, tmp_path, monkeypatch):
     corpora.write_model_lines(got, str(tmp_path / "lm"))
     one = "".join(f.read_text() for f in sorted((tmp_path / "lm" / "part=train" / "shard=2").glob("part-*"))).splitlines()
     assert one == [f"l{i}" for i in range(4999, 9998) if i % 10 != 3]
+
+
+def test_round_trip_broadcasts_no_table(spark, monkeypatch, tmp_path):
+    """Lines in order take little room in Parquet, so their files' size must not decide that they are gathered in the driver."""
+    from textloom import catalog_annotations
+    from textloom.operators import ranks
+
+    events = spark.range(400).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), (F.col("id") % 40).alias("user_id"), F.lit("view").alias("event_type"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    plans, real = [], ranks.durable
+
+    def watched(df, name="cut"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    for module in (ranks, catalog_annotations):
+        monkeypatch.setattr(module, "durable", watched)
+    out = catalog_annotations.column_round_trip(spark, str(tmp_path))
+    assert "SortMergeJoin" in (last := out._jdf.queryExecution().executedPlan().toString())
+    for join in re.findall(r"BroadcastHashJoin .*", "\n".join([*plans, last])):  # offsets of partitions and splits of files only
+        assert "__part" in join or "block" in join, join
+    assert out.count() == 400 and {tuple(r) for r in out.select("sid").distinct().collect()} == {(i,) for i in range(40)}
+
+
+def test_ranks_of_many_groups_are_joined_by_shuffle(spark, monkeypatch):
+    from textloom.operators import ranks
+
+    monkeypatch.setattr(ranks, "FEW", 5)
+    df = spark.range(300).select("id", (F.col("id") % 50).alias("g"))
+    out = ranks.ranked(df, ["id"], ["g"])
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert all(r["rank"] == r["id"] // 50 for r in out.collect())

@@ -22,15 +22,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+FEW = 100_000  # rows of partitions and values that ``ranked`` may broadcast
+
+
+def shuffled_join(df: DataFrame) -> DataFrame:
+    """For joins of a table that may have any number of rows: they shuffle, whatever its files' size. Ids in order take less than a byte a row
+    in Parquet, so Spark would gather millions of rows in the driver to broadcast them. Who knows a bound says broadcast, which goes first."""
+    return df.hint("merge")
+
+
 def durable(df: DataFrame, name: str = "cut") -> DataFrame:
     """Cut the lineage: written to the shared folder as Parquet and read again, so that no lost executor changes it. The files go when
-    the driver's JVM ends."""
+    the driver's JVM ends. Joins of what is read, or of its projections and sums, are shuffled."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return shuffled_join(spark.read.schema(df.schema).parquet(path))
 
 
 def ranked(df: DataFrame, order: list[str | Column], within: list[str] | None = None, name: str = "rank", total: str | None = None) -> DataFrame:
@@ -51,7 +60,8 @@ def ranked(df: DataFrame, order: list[str | Column], within: list[str] | None =
     if within:
         w = Window.partitionBy(*within)
         before = F.coalesce(F.sum("__n").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        counts = counts.select("__part", *within, (before - F.col("__first")).alias("__add"), F.sum("__n").over(w).alias("__total"))
+        counts = durable(counts.select("__part", *within, (before - F.col("__first")).alias("__add"), F.sum("__n").over(w).alias("__total")), "counts")
+        counts = F.broadcast(counts) if counts.count() <= FEW else counts
     else:  # one row for each partition
         rows, add, seen = sorted(counts.collect()), [], 0
         for part, n, first in rows:
