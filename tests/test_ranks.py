@@ -171,3 +171,24 @@ def test_scores_of_any_labels(spark):
     pred = spark.createDataFrame([(1, 1, 0, "r"), (1, 2, 1, "x"), (1, 2, 0, "more"), (2, 1, 0, "y"), (3, 1, 0, "r")], "sid long, dep long, head long, rel string")
     tags = spark.createDataFrame([(1, 1, "N"), (1, 2, "N"), (2, 1, "N"), (3, 1, "N"), (3, 2, "PU"), (4, 1, "N")], "sid long, dep long, tag string")
     assert tuple(metrics.exact_graphs(gold, pred, tags).first()) == (4, 4, 3)
+
+
+@pytest.mark.parametrize("name", ["tree_find", "tree_nearest", "tree_adopted", "tree_moved", "tree_siblings", "tree_second_order"])
+def test_no_tree_is_broadcast(spark, monkeypatch, tmp_path, name):
+    """Ids in order take less than a byte a row in Parquet, so that Spark would gather millions of rows in the driver."""
+    import __spark_entry__
+    from textloom import catalog, catalog_annotations
+
+    rows = spark.range(60).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), (F.col("id") % 3).alias("user_id"), F.lit("view").alias("event_type"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    seen, real = [], ranks.durable
+
+    def watched(df, name="cut"):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    for module in (ranks, trees, catalog, catalog_annotations):
+        monkeypatch.setattr(module, "durable", watched)
+    out = __spark_entry__.queries()[name](spark, str(tmp_path))
+    plans = [*seen, out._jdf.queryExecution().executedPlan().toString()]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)

@@ -41,7 +41,8 @@ TREE = """tree AS (SELECT user_id AS tree_id, n AS node_id, n // 2 AS parent_id
 
 def tree(spark: SparkSession, d: str) -> DataFrame:
     t = tagged(spark, d)
-    return t.select(F.col("sid").alias("tree_id"), F.col("tid").alias("node_id"), F.floor(F.col("tid") / 2).alias("parent_id"))
+    rows = t.select(F.col("sid").alias("tree_id"), F.col("tid").alias("node_id"), F.floor(F.col("tid") / 2).alias("parent_id"))
+    return durable(rows, "tree")  # read several times
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:

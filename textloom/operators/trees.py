@@ -3,7 +3,7 @@
 Nothing walks level by level. Pointers double: after k rounds a row points 2^k ancestors up, so a tree of any depth takes the logarithm of its
 depth in rounds of n rows. ``jumps`` keeps all rounds, for walks by binary lifting; ``intervals`` ranks the list of entering and leaving
 nodes in the same way, after which a question about a subtree is a comparison of numbers. Joins are on (tree, node), which is unique, so
-a tree may hold any share of the rows. Rounds are written to the shared folder. A cycle, which no tree has, is an error.
+a tree may hold any share of the rows; all are shuffled, as no table here has a bound. Rounds are written to the shared folder. A cycle, which no tree has, is an error.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import durable
+from .ranks import durable, shuffled_join
 
 KEY = ["tree_id", "node_id"]
 
 
 def _follow(rows: DataFrame, at: str, step: DataFrame, how: str = "left") -> DataFrame:
     """Joins ``step`` (keyed by node_id) to the node that column ``at`` names; at may be null."""
-    named = step.withColumnRenamed("tree_id", "__tree").withColumnRenamed("node_id", "__node")
+    named = shuffled_join(step.withColumnRenamed("tree_id", "__tree").withColumnRenamed("node_id", "__node"))
     return rows.join(named, (rows["tree_id"] == F.col("__tree")) & (rows[at] == F.col("__node")), how).drop("__tree", "__node")
 
 
@@ -71,7 +71,7 @@ def intervals(t: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("tree_id", "parent_id").orderBy("node_id")
     first = t.where("parent_id <> 0").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.min("node_id").alias("first"))
-    rows = t.select(*KEY, "parent_id", F.lead("node_id").over(w).alias("right")).join(first, KEY, "left")
+    rows = t.select(*KEY, "parent_id", F.lead("node_id").over(w).alias("right")).join(shuffled_join(first), KEY, "left")
     item = lambda node, leave: F.struct(node.alias("node"), F.lit(leave).alias("leave"))
     enter = rows.select("tree_id", item(F.col("node_id"), False).alias("node_id"), F.when(F.col("first").isNotNull(), item(F.col("first"), False)).otherwise(item(F.col("node_id"), True)).alias("next"), F.lit(1).cast("long").alias("n"))
     leave = rows.select(
@@ -86,14 +86,14 @@ def intervals(t: DataFrame) -> DataFrame:
         items = durable(_follow(items, "next", step).select(*KEY, F.col("far").alias("next"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "tour")
     total = t.groupBy("tree_id").agg(F.count("*").alias("total"))
     by = items.groupBy("tree_id", F.col("node_id.node").alias("node_id")).agg(F.max(F.when(~F.col("node_id.leave"), F.col("n"))).alias("a"), F.max(F.when(F.col("node_id.leave"), F.col("n"))).alias("b"))
-    out = by.join(total, "tree_id").select(*KEY, (F.col("total") - F.col("a")).alias("enter"), (F.col("total") - F.col("b") - 1).alias("last"))
-    return out.join(depths(t), KEY)
+    out = by.join(shuffled_join(total), "tree_id").select(*KEY, (F.col("total") - F.col("a")).alias("enter"), (F.col("total") - F.col("b") - 1).alias("last"))
+    return out.join(shuffled_join(depths(t)), KEY)
 
 
 def contains(pairs: DataFrame, spans: DataFrame) -> DataFrame:
     """Adds ``below`` to pairs (tree_id, a, b): b is a descendant of a, by ``intervals``."""
     a, b = (spans.select("tree_id", F.col("node_id").alias(x), F.col("enter").alias(f"{x}_enter"), F.col("last").alias(f"{x}_last")) for x in "ab")
-    out = pairs.join(a, ["tree_id", "a"], "left").join(b, ["tree_id", "b"], "left")
+    out = pairs.join(shuffled_join(a), ["tree_id", "a"], "left").join(shuffled_join(b), ["tree_id", "b"], "left")
     below = (F.col("a_enter") < F.col("b_enter")) & (F.col("b_enter") <= F.col("a_last"))
     return out.select(*pairs.columns, F.coalesce(below, F.lit(False)).alias("below"))
 
@@ -115,7 +115,7 @@ def siblings(t: DataFrame) -> DataFrame:
     w = Window.partitionBy("tree_id", "parent_id").orderBy("node_id")
     kids = t.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("children"))
     s = t.select("tree_id", "node_id", "parent_id", F.lag("node_id").over(w).alias("left_id"), F.lead("node_id").over(w).alias("right_id"))
-    return s.join(kids, ["tree_id", "node_id"], "left").withColumn("children", F.coalesce("children", F.lit(0)))
+    return s.join(shuffled_join(kids), ["tree_id", "node_id"], "left").withColumn("children", F.coalesce("children", F.lit(0)))
 
 
 def lowest_common(t: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def single_chain(t: DataFrame) -> DataFrame:
             break
         far = _follow(down.drop("moved"), "end", down.select(*KEY, F.col("end").alias("far")))
         down = durable(far.select(*KEY, F.coalesce("far", "end").alias("end"), F.col("far").isNotNull().alias("moved")), "chain")
-    return t.select(*KEY).join(down.drop("moved"), KEY, "left").select(*KEY, F.coalesce("end", "node_id").alias("lowest"))
+    return t.select(*KEY).join(shuffled_join(down.drop("moved")), KEY, "left").select(*KEY, F.coalesce("end", "node_id").alias("lowest"))
 
 
 def kth_siblings(t: DataFrame, k: int) -> DataFrame:
@@ -172,7 +172,7 @@ def nearest_ancestor(t: DataFrame, matching: DataFrame, highest: bool = False) -
     A row holds what is found among its next 2^k ancestors; what the row 2^k above has found comes behind that.
     """
     hit = matching.select("tree_id", F.col("node_id").alias("parent_id")).distinct().withColumn("__hit", F.col("parent_id"))
-    rows = durable(t.where("parent_id <> 0").join(hit, ["tree_id", "parent_id"], "left").select(*KEY, F.col("parent_id").alias("up"), F.col("__hit").alias("found")), "nearest")
+    rows = durable(t.where("parent_id <> 0").join(shuffled_join(hit), ["tree_id", "parent_id"], "left").select(*KEY, F.col("parent_id").alias("up"), F.col("__hit").alias("found")), "nearest")
     for _ in _rounds(t):
         if rows.where("up is not null").isEmpty():
             break
@@ -187,16 +187,16 @@ def find_nodes(t: DataFrame, matching: DataFrame) -> DataFrame:
 
     A row holds the best of the next 2^k levels below it and hands it to the row 2^k above, where the least is kept.
     """
-    hit = matching.select(*KEY).distinct().join(depths(t), KEY).select(*KEY, F.struct("depth", F.col("node_id").alias("node")).alias("own"))
+    hit = matching.select(*KEY).distinct().join(shuffled_join(depths(t)), KEY).select(*KEY, F.struct("depth", F.col("node_id").alias("node")).alias("own"))
     up = t.select(*KEY, F.when(F.col("parent_id") != 0, F.col("parent_id")).alias("up"))
-    own = durable(up.join(hit, KEY, "left"), "find")
+    own = durable(up.join(shuffled_join(hit), KEY, "left"), "find")
     best = own.where("own is not null and up is not null").groupBy("tree_id", F.col("up").alias("node_id")).agg(F.min("own").alias("best"))
-    rows = durable(own.drop("own").join(best, KEY, "left"), "find")
+    rows = durable(own.drop("own").join(shuffled_join(best), KEY, "left"), "find")
     for _ in _rounds(t):
         if rows.where("up is not null").isEmpty():
             break
         more = rows.where("up is not null and best is not null").groupBy("tree_id", F.col("up").alias("node_id")).agg(F.min("best").alias("more"))
-        far = _follow(rows, "up", rows.select(*KEY, F.col("up").alias("far"))).join(more, KEY, "left")
+        far = _follow(rows, "up", rows.select(*KEY, F.col("up").alias("far"))).join(shuffled_join(more), KEY, "left")
         rows = durable(far.select(*KEY, F.col("far").alias("up"), F.least("best", "more").alias("best")), "find")
     return rows.where("best is not null").select(*KEY, F.col("best.node").alias("found"))
 
@@ -204,27 +204,27 @@ def find_nodes(t: DataFrame, matching: DataFrame) -> DataFrame:
 def second_order(t: DataFrame) -> DataFrame:
     """``tree_id, node_id, grandchild``."""
     below = t.where("parent_id <> 0").select("tree_id", "node_id", "parent_id")
-    return below.alias("c").join(below.alias("p"), (F.col("c.tree_id") == F.col("p.tree_id")) & (F.col("c.parent_id") == F.col("p.node_id"))).select(
+    return below.alias("c").join(shuffled_join(below).alias("p"), (F.col("c.tree_id") == F.col("p.tree_id")) & (F.col("c.parent_id") == F.col("p.node_id"))).select(
         "c.tree_id", F.col("p.parent_id").alias("node_id"), F.col("c.node_id").alias("grandchild")
     )
 
 
 def move(t: DataFrame, edits: DataFrame) -> DataFrame:
     """The tree after nodes got other parents (tree_id, node_id, new_parent); 0 isolates a node. A cycle shows in ``ancestors``."""
-    return t.join(edits.select("tree_id", "node_id", "new_parent"), ["tree_id", "node_id"], "left").withColumn("parent_id", F.coalesce("new_parent", "parent_id")).drop("new_parent")
+    return t.join(shuffled_join(edits.select("tree_id", "node_id", "new_parent")), ["tree_id", "node_id"], "left").withColumn("parent_id", F.coalesce("new_parent", "parent_id")).drop("new_parent")
 
 
 def prune(t: DataFrame, leaves: DataFrame) -> DataFrame:
     """The tree without the given leaves, and without ancestors that have lost all that was below them."""
-    own = t.select("tree_id", "node_id").join(t.select("tree_id", F.col("parent_id").alias("node_id")).distinct(), ["tree_id", "node_id"], "left_anti")
-    kept = own.join(leaves.select("tree_id", "node_id"), ["tree_id", "node_id"], "left_anti")
+    own = t.select("tree_id", "node_id").join(shuffled_join(t.select("tree_id", F.col("parent_id").alias("node_id")).distinct()), ["tree_id", "node_id"], "left_anti")
+    kept = own.join(shuffled_join(leaves.select("tree_id", "node_id")), ["tree_id", "node_id"], "left_anti")
     alive = find_nodes(t, kept).select(*KEY).unionAll(kept).distinct()
-    return t.join(alive, KEY, "left_semi")
+    return t.join(shuffled_join(alive), KEY, "left_semi")
 
 
 def adopt(t: DataFrame, removed: DataFrame) -> DataFrame:
     """The tree without the given nodes, whose children go to the nearest ancestor that is left."""
     gone = removed.select("tree_id", "node_id")
-    left = t.join(gone, ["tree_id", "node_id"], "left_anti")
+    left = t.join(shuffled_join(gone), ["tree_id", "node_id"], "left_anti")
     near = nearest_ancestor(t, left).withColumnRenamed("found", "near")
-    return left.join(near, ["tree_id", "node_id"], "left").withColumn("parent_id", F.coalesce("near", F.lit(0).cast("long"))).drop("near")
+    return left.join(shuffled_join(near), ["tree_id", "node_id"], "left").withColumn("parent_id", F.coalesce("near", F.lit(0).cast("long"))).drop("near")
