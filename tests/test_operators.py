@@ -140,3 +140,22 @@ def test_ancestors_of_a_deep_tree(spark):
     t = spark.range(1, n + 1).select(F.lit(1).alias("tree_id"), F.col("id").alias("node_id"), (F.col("id") - 1).alias("parent_id")).coalesce(1)
     pairs = spark.createDataFrame([(1, n, 1), (1, n, 2)], "tree_id int, a long, b long")
     assert rows(trees.lowest_common(t, pairs)) == [(1, n, 1, 1), (1, n, 2, 2)]
+
+
+def test_graph_vocabulary_joins_no_words(spark, tmp_path, monkeypatch):
+    """Tags come from the documents, those without words included; words are counted where they are cut and meet nothing by document."""
+    from textloom import catalog_annotations
+    from textloom.operators import ranks
+
+    docs = [(1, "a b a b a", "en"), (2, "b b c", None), (3, " ", "xx"), (4, None, "de")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    plans, real = [], ranks.durable
+
+    def watched(df, name="cut"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(ranks, "durable", watched)
+    got = catalog_annotations.graph_vocabulary(spark, str(tmp_path)).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [("word", "b", 3), ("word", "a", 4), ("tag", "de", 5), ("tag", "en", 6), ("tag", "xx", 7), ("tag", None, 8)]
+    assert plans and not any("Join" in p for p in plans)

@@ -65,8 +65,7 @@ def vocab_frequent(spark, d):
         UNION ALL SELECT DISTINCT 'tag', lang, 0 FROM documents)
     SELECT kind, item, row_number() OVER (ORDER BY kind DESC, n, item) + 2 AS id FROM t""")
 def graph_vocabulary(spark, d):
-    lang = read(spark, d, "documents").select("doc_id", "lang")
-    return vocab.graph_vocabulary(words(spark, d).join(lang, "doc_id"), "tok", "lang", 2)
+    return vocab.graph_vocabulary(words(spark, d), "tok", "lang", 2, tagged=read(spark, d, "documents"))
 
 
 @query("vocab_extended", f"""WITH {WORDS}, f AS (SELECT tok AS item, count(*) AS n FROM words GROUP BY tok), v AS (SELECT item, row_number() OVER (ORDER BY n DESC, item) + 2 AS id FROM f WHERE n > 20)

@@ -85,11 +85,12 @@ def frequent(df: DataFrame, item: str, min_freq: int, most: int, *order: str) ->
     return ranked(top, [F.desc("freq"), "at"], name="cid").where(F.col("cid") < most).select("item", "freq", "cid")
 
 
-def graph_vocabulary(t: DataFrame, word: str, tag: str, more_than: int, reserved: int = 3) -> DataFrame:
-    """``kind, item, id``: words above a frequency, then tags in lexical order in one numbering after the reserved ids."""
+def graph_vocabulary(t: DataFrame, word: str, tag: str, more_than: int, reserved: int = 3, tagged: DataFrame | None = None) -> DataFrame:
+    """``kind, item, id``: words above a frequency, then tags in lexical order (null last) in one numbering after the reserved ids. The tags are
+    those of ``tagged``, if given, whose rows may lack words."""
     words = t.groupBy(F.col(word).alias("item")).agg(F.count("*").alias("freq")).where(F.col("freq") > more_than).select(F.lit("word").alias("kind"), "item", (-F.col("freq")).alias("by"))
-    tags = t.select(F.lit("tag").alias("kind"), F.col(tag).alias("item"), F.lit(0).cast("long").alias("by")).distinct()
-    return ranked(words.unionAll(tags), [F.desc("kind"), "by", "item"]).select("kind", "item", (F.col("rank") + reserved).alias("id"))
+    tags = (t if tagged is None else tagged).select(F.lit("tag").alias("kind"), F.col(tag).alias("item"), F.lit(0).cast("long").alias("by")).distinct()
+    return ranked(words.unionAll(tags), [F.desc("kind"), "by", F.asc_nulls_last("item")]).select("kind", "item", (F.col("rank") + reserved).alias("id"))
 
 
 def extend(vocab: DataFrame, words: DataFrame) -> DataFrame:
