@@ -289,8 +289,7 @@ def conll_rows(spark, d):
 
 @query("sentences")
 def sentences(spark, d):
-    t = english.english_tokens(read(spark, d, "documents"))
-    return t.groupBy("doc_id", "sid").agg(F.min("tid").alias("begin"), (F.max("tid") + 1).alias("end"))
+    return english.english_sentences(read(spark, d, "documents"))
 
 
 MOVES = [[0.5 if i == j else 0.125 * (i - j) for j in range(4)] for i in range(4)]
