@@ -173,7 +173,7 @@ def test_scores_of_any_labels(spark):
     assert tuple(metrics.exact_graphs(gold, pred, tags).first()) == (4, 4, 3)
 
 
-@pytest.mark.parametrize("name", ["tree_find", "tree_intervals", "tree_contains", "tree_descendants", "tree_ancestors", "tree_lca", "tree_nearest", "tree_adopted", "tree_moved", "tree_siblings", "tree_second_order"])
+@pytest.mark.parametrize("name", ["tree_find", "tree_pruned", "tree_intervals", "tree_contains", "tree_descendants", "tree_ancestors", "tree_lca", "tree_nearest", "tree_adopted", "tree_moved", "tree_siblings", "tree_second_order"])
 def test_no_tree_is_broadcast(spark, monkeypatch, tmp_path, name):
     """Ids in order take less than a byte a row in Parquet, so that Spark would gather millions of rows in the driver."""
     import __spark_entry__
