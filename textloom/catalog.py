@@ -194,8 +194,7 @@ def bilou_chunks(spark, d):
 
 @query("detokenize", f"""WITH {WORDS} SELECT doc_id, string_agg(tok, ' ' ORDER BY tid) AS plain FROM words GROUP BY doc_id""")
 def detokenize(spark, d):
-    g = words(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("tid", "tok"))).alias("t"))
-    return g.select("doc_id", F.array_join(F.col("t.tok"), " ").alias("plain"))
+    return tokens.token_arrays(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.array_join("toks", " ").alias("plain"))
 
 
 @query("chunk_f1", f"""WITH {CHUNKS}, p AS (SELECT sid, "begin", CASE WHEN sid % 3 = 0 THEN "end" + 1 ELSE "end" END AS "end", label FROM chunks),

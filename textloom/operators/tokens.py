@@ -15,6 +15,15 @@ def space_words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("tid", "tok"))
 
 
+def token_arrays(docs: DataFrame, pattern: str = r"\S+") -> DataFrame:
+    """``doc_id, toks``: the tokens of each document that has any, in an array. Texts are shuffled once and whole, not a row a token. Rows that
+    share an id are one document, whose tokens go by their place in their text, then by themselves."""
+    find = lambda text: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    g = docs.where(F.rlike("text", F.lit(pattern))).groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    mixed = F.array_sort(F.flatten(F.transform("texts", lambda text: F.transform(find(text), lambda tok, i: F.struct(i.alias("tid"), tok.alias("tok"))))))
+    return g.select("doc_id", F.when(F.size("texts") == 1, find(F.col("texts")[0])).otherwise(mixed["tok"]).alias("toks"))
+
+
 def space_tokens(docs: DataFrame, init: int = 0) -> DataFrame:
     """``doc_id, tid, tok, begin, end`` in characters. A document is one row and is read where it lies; there is no running sum within an array
     among the built-in functions, so an Arrow pass finds the tokens with their places, a text at a time."""
