@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _RE2, BILOU, EMISSIONS, EV, FORMS, LENGTHS, TREE, WORDS, emissions, forms, query, read, tagged, tree, words
 from .functions import chars
-from .operators import decoders, english, features, metrics, morphology, tags, text, trees, vocab
+from .operators import decoders, english, features, metrics, morphology, tags, text, tokens, trees, vocab
 from .operators.ranks import durable, ranked, shared_dir
 from .sources import columns, corpora
 from .streaming import lines as line_stream
@@ -22,9 +22,12 @@ SPACES = TOKS + """, k AS (SELECT *, sum(CASE WHEN tok = '"' THEN 1 ELSE 0 END)
         OR starts_with(nt, '''') OR (nt = '"' AND nk % 2 = 0), false)) AS space_after FROM n)"""
 
 
+PIECE = r"\w+|[^\w\s]"
+
+
 def pieces(spark: SparkSession, d: str) -> DataFrame:
     """``sid, tid, tok``: runs of word characters, and every other sign alone."""
-    p = read(spark, d, "documents").select(F.col("doc_id").alias("sid"), F.posexplode(F.regexp_extract_all("text", F.lit(r"\w+|[^\w\s]"), 0)).alias("tid", "tok"))
+    p = read(spark, d, "documents").select(F.col("doc_id").alias("sid"), F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), 0)).alias("tid", "tok"))
     return p.withColumn("tid", F.col("tid").cast("long"))
 
 
@@ -35,7 +38,8 @@ def space_after(spark, d):
 
 @query("plain_text", f"WITH {SPACES} SELECT sid, rtrim(string_agg(tok || CASE WHEN space_after THEN ' ' ELSE '' END, '' ORDER BY tid)) AS plain FROM spaced GROUP BY sid")
 def plain_text(spark, d):
-    return text.plain_text(text.infer_spaces(pieces(spark, d)))
+    docs = tokens.token_arrays(read(spark, d, "documents").select("doc_id", "text"), PIECE)
+    return docs.select(F.col("doc_id").alias("sid"), text.spaced_text(F.col("toks")).alias("plain"))
 
 
 @query("tagged_text", f"WITH {EV} SELECT sid, string_agg(event_type || CASE WHEN tag <> 'O' THEN ' <' || tag || '>' ELSE '' END, ' ' ORDER BY tid) AS tagged FROM ev GROUP BY sid")

@@ -30,6 +30,14 @@ def plain_text(t: DataFrame) -> DataFrame:
     return g.select("sid", F.rtrim(F.array_join(F.col("t.x"), "")).alias("plain"))
 
 
+def spaced_text(toks: Column) -> Column:
+    """The text of an array of tokens, as ``infer_spaces`` and ``plain_text`` give it, where the array lies: no token may hold a blank or a line
+    feed. Tokens are joined by blanks; a blank that goes becomes a line feed first, so that tokens keep their ends until quotes are paired."""
+    joined = F.regexp_replace(F.array_join(toks, " "), r"(?<= \(|^\() | (?=(?:[.:,;)!?]|n't)(?![^ ])|')", "\n")
+    parts = F.transform(F.split(joined, r'(?<![^ \n])"(?![^ \n])', -1), lambda p, i: F.when(i % 2 == 1, F.trim(p, F.lit(" \n"))).otherwise(p))
+    return F.rtrim(F.translate(F.array_join(parts, '"'), "\n", ""))
+
+
 def tagged_text(t: DataFrame, *tags: str) -> DataFrame:
     """``sid, tagged``: tokens, each followed by its tags as ``<a/b>``; empty tags and O are left out."""
     some = F.filter(F.array(*tags), lambda x: x.isNotNull() & (x != "") & (x != "O"))
