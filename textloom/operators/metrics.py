@@ -94,8 +94,10 @@ def smoothed_f1(gold: DataFrame, pred: DataFrame, labeled: bool = True) -> DataF
     """``precision, recall, f1, seq_acc`` of edge sets sid, dep, head, rel, with 1e-12 in the denominators; a sentence is right if no
     gold edge is missing. ``sid`` of sentences without gold edges must come in ``pred`` to count."""
     keys = ["sid", "dep", "head", *(["rel"] if labeled else [])]
-    g, p = gold.select(*keys).distinct().withColumn("g", F.lit(1)), pred.select(*keys).distinct().withColumn("p", F.lit(1))
-    edges = g.unionByName(p, allowMissingColumns=True).groupBy(*keys).agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    g, p = gold.select(*keys).withColumn("g", F.lit(1)), pred.select(*keys).withColumn("p", F.lit(1))  # rows that come again are one edge below
+    # dealt by number: edges take a few bytes each in a shuffle, so that tasks merged by size would hold millions of them in memory
+    dealt = g.unionByName(p, allowMissingColumns=True).repartition(int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    edges = dealt.groupBy(*keys).agg(F.max("g").alias("g"), F.max("p").alias("p"))
     both = F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull())
     per = edges.groupBy("sid").agg(both.alias("k"), F.count("g").alias("g"), F.count("p").alias("p"))
     s = per.agg(F.sum("k").alias("k"), F.sum("g").alias("g"), F.sum("p").alias("p"), F.avg((F.col("k") == F.col("g")).cast("int")).alias("seq_acc"))
