@@ -182,3 +182,53 @@ def test_components(spark, tmp_path):
     assert t.rate(10) > 0
     assert rows(running_vocabulary(df)) == [("a", 1), ("b", 1)]
     assert spark.range(1).select(metrics.perplexity(F.lit(0.0)).alias("x")).first().x == 1.0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["detokenize", "plain_text"])
+def test_texts_are_shuffled_whole(spark, tmp_path, name):
+    """A row a token made the shuffle several times the input."""
+    import __spark_entry__
+
+    data = [(1, 'b "a'), (1, "a c"), (2, None), (3, " \n"), (4, 'x, "y" (z)'), (None, "n")]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = __spark_entry__.queries()[name](spark, str(tmp_path))
+    assert "Generate" not in plan(out) and plan(out).count("Exchange hashpartitioning") == 1
+    want = {"detokenize": {1: 'a b "a c', 4: 'x, "y" (z)', None: "n"}, "plain_text": {1: 'a b "c a', 4: 'x, "y" (z)', None: "n"}}[name]
+    assert {r[0]: r["plain"] for r in out.collect()} == want
+
+
+def test_spaced_text_is_plain_text(spark):
+    import random
+
+    random.seed(3)
+    signs = ['"', '"', "(", ")", ".", ",", "a", "n't", "'", "'s", "!", "(a", 'a"b', "\xa0", "￿"]
+    df = spark.createDataFrame([(i, random.choices(signs, k=random.randint(1, 14))) for i in range(500)], "sid long, toks array<string>")
+    rowwise = text.plain_text(text.infer_spaces(df.select("sid", F.posexplode("toks").alias("tid", "tok"))))
+    assert rows(df.select("sid", text.spaced_text(F.col("toks")))) == rows(rowwise)
+
+
+def test_morphs_read_the_texts_once(spark, tmp_path, monkeypatch):
+    import __spark_entry__
+    from textloom import catalog
+    from textloom.operators import morphology, ranks
+
+    spark.createDataFrame([(1, "Walk walked happiness happy unhappy"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    for module in (catalog, morphology):
+        monkeypatch.setattr(module, "durable", lambda df, name="cut": seen.append(plan(df)) or ranks.durable(df, name))
+    out = __spark_entry__.queries()["morphs"](spark, str(tmp_path))
+    assert sum("regexp_extract_all" in p for p in [*seen, plan(out)]) == 1
+    got = {r["form"]: r["morphs"] for r in out.collect()}
+    assert len(got) == 5 and got["walked"] == "walk/VB +ed/I_PST" and got["unhappy"] == "happy/NN un+/P"
+
+
+def test_edges_are_counted_in_one_aggregation(spark):
+    gold = spark.createDataFrame([(1, 1, 0, "r"), (1, 1, 0, "r"), (1, 2, 1, "x"), (2, 1, 0, "r")], "sid long, dep long, head long, rel string")
+    pred = spark.createDataFrame([(1, 1, 0, "r"), (1, 2, 1, "x"), (1, 2, 1, "x"), (2, 1, 0, "y"), (3, 1, 0, "r")], "sid long, dep long, head long, rel string")
+    out = metrics.smoothed_f1(gold, pred)
+    assert tuple(out.first()) == (0.5, 0.666667, 0.571429, 0.666667)
+    assert plan(out).count("HashAggregate(keys=[sid") == 4 and plan(out).count("Exchange hashpartitioning(sid") == 2

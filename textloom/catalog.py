@@ -391,10 +391,10 @@ RULES = ", ".join(f"({10 * i}, '{x}', '{t}', '{s}', {r}, {d})" for i, (x, t, s,
 
 
 def forms(spark: SparkSession, d: str) -> DataFrame:
-    """``form, pos``: the distinct words of Latin letters, tagged by their endings."""
-    f = read(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("form")).distinct()
+    """``form, pos``: the distinct words of Latin letters, tagged by their endings. Written once, as most who read them do so several times."""
+    f = read(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("form")).distinct()
     pos = F.when(F.endswith("form", F.lit("ing")), "VBG").when(F.endswith("form", F.lit("ed")), "VBD").when(F.endswith("form", F.lit("est")), "JJS")
-    return f.withColumn("pos", pos.when(F.endswith("form", F.lit("er")), "JJR").when(F.endswith("form", F.lit("s")), "NNS").otherwise("NN"))
+    return durable(f.withColumn("pos", pos.when(F.endswith("form", F.lit("er")), "JJR").when(F.endswith("form", F.lit("s")), "NNS").otherwise("NN")), "forms")
 
 
 @query("lemmas", f"""WITH {FORMS}, rules AS (SELECT * FROM (VALUES {RULES}) AS r(rank, lexicon, tags, suffix, replacements, twice)),
@@ -406,7 +406,7 @@ def forms(spark: SparkSession, d: str) -> DataFrame:
     best AS (SELECT form, pos, arg_min(base, rank) AS base FROM tried SEMI JOIN lows ON base = low GROUP BY form, pos)
     SELECT form, pos, coalesce(base, low) AS lemma FROM pairs LEFT JOIN best USING (form, pos)""")
 def lemma_forms(spark, d):
-    f = durable(forms(spark, d), "forms")  # read three times
+    f = forms(spark, d)
     bases = f.select(F.lower("form").alias("base")).distinct().select("base", F.explode(F.array(*map(F.lit, ("VB", "NN", "JJ", "RB")))).alias("lexicon"))
     return lemmas.lemmas(f, bases).select("form", "pos", "lemma")
 

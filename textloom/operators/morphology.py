@@ -229,6 +229,7 @@ def analyze(
         out = out.withColumn("found", F.lit(None).cast(MORPHS))
     known = F.coalesce("found", F.when(base_tag.isNotNull(), F.array(morph(F.col("form"), base_tag))), "inflected")
     out = out.select("form", "pos", F.coalesce(known, F.array(morph(F.col("form"), coarse(F.col("pos"))))).alias("morphs"), known.isNotNull().alias("open"))
+    out = durable(out, "morphs") if derivations is not None or prefixes is not None else out  # read twice by each part
     for part in ("derivation", "prefix"):
         heads = out.where("open").select(F.col("morphs")[0]["form"].alias("form"), F.col("morphs")[0]["tag"].alias("tag")).where("tag in ('VB', 'NN', 'JJ', 'RB')").distinct()
         if part == "derivation" and derivations is not None:
@@ -240,6 +241,6 @@ def analyze(
         more = more.select(F.col("form").alias("head"), F.col("tag").alias("head_tag"), F.col("morphs").alias("parts"))
         same = (F.col("morphs")[0]["form"] == F.col("head")) & (F.col("morphs")[0]["tag"] == F.col("head_tag")) & F.col("open")
         joined = F.when(F.col("parts").isNull(), F.col("morphs")).otherwise(F.concat("parts", F.slice("morphs", 2, 1 << 20)))
-        out = out.join(more, same, "left").select("form", "pos", joined.alias("morphs"), "open")
+        out = durable(out.join(more, same, "left").select("form", "pos", joined.alias("morphs"), "open"), "morphs")
     found = pairs.join(out.select(F.col("form").alias("low"), "pos", "morphs"), ["low", "pos"], "left").select("form", "pos", "morphs")
     return tokens.join(found, ["form", "pos"], "left")
