@@ -44,3 +44,26 @@ def test_gaps_are_released_after_the_delay(spark, tmp_path):
         lines.run_to_end(lines.decode_stream(source, delay="10 seconds"), str(tmp_path / "out"), str(tmp_path / "state"))
         seen.append(rows(spark.read.parquet(str(tmp_path / "out")).where("doc_id = 1").select("sid", "tagged")))
     assert seen[0] == [(0, "one/NN")] and seen[-1] == [(0, "one/NN"), (1, "three/NN"), (2, "six/NN")]
+
+
+def test_no_frame_for_lines_that_wait():
+    import pandas as pd
+
+    class State:
+        exists = hasTimedOut = False
+
+        def update(self, value):
+            self.value = value
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    ts = pd.to_datetime([1_700_000_000_123, 1_700_000_000_001], unit="ms")
+    state = State()
+    assert list(lines._release((5,), iter([pd.DataFrame({"line_no": [3, 1], "ts": ts, "line": ["b", None]})]), state)) == []
+    assert state.value == (0, 0, [1, 3], ["", "b"]) and state.at == 1_700_000_000_123
+    (out,) = lines._release((5,), iter([pd.DataFrame({"line_no": [0, 1], "ts": ts, "line": ["a", "b"]})]), state)
+    assert out.to_numpy().tolist() == [[5, 0, "a", 0], [5, 1, "b", 1]]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def _release(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         nonlocal sid
         line = held.pop(no)
         if line.strip():
-            out.append((key[0], no, line, sid))
+            out.append((no, line, sid))
             sid += 1
 
     if state.hasTimedOut:
@@ -41,7 +42,7 @@ def _release(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     else:
         latest = 0
         for b in batches:
-            latest = max(latest, int(b["ts"].max().timestamp() * 1000))
+            latest = max(latest, int(np.fmax.reduce(b["ts"].to_numpy()).astype("datetime64[ms]").astype("int64")))
             for no, line in zip(b["line_no"].tolist(), b["line"], strict=True):
                 if no >= at:
                     held[no] = line or ""
@@ -51,7 +52,9 @@ def _release(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         left = sorted(held)
         state.update((at, sid, left, [held[no] for no in left]))
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=["doc_id", "line_no", "line", "sid"])
+    if out:  # a frame costs more than all else here
+        numbers, lines, sids = zip(*out, strict=True)
+        yield pd.DataFrame({"doc_id": key[0], "line_no": np.array(numbers, np.int64), "line": np.array(lines, object), "sid": np.array(sids, np.int64)}, copy=False)
 
 
 def tagged_lines(ordered: DataFrame, tag: Callable[[Column], Column] = shallow_tag) -> DataFrame:
