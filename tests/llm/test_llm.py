@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import op1_embedding_dedup, op2_url_filter, op3_chat, op4_toxicity, op5_secrets, op6_jaccard, op7_decontaminate, op8_packing, op9_lm, op10_language
-from textloom.llm.common import components
+from textloom.llm.common import components, words_of
 
 WORDS = "the of and river stone quick brown lamp seven under bright walls over many ships sail north again toward home".split()
 
@@ -355,6 +355,31 @@ def test_lm_windows_score_each_position_once_and_sum_to_one():
     assert got[3:8] == pytest.approx(whole, abs=1e-4)
 
 
+def test_lm_logits_are_made_in_blocks(monkeypatch):
+    made, plain = [], op9_lm.safe_exp
+    monkeypatch.setattr(op9_lm, "safe_exp", lambda z, *rest: (made.append(z.shape), plain(z, *rest))[1])
+    rng = np.random.default_rng(5)
+    model = op9_lm.train([], np.ones(op9_lm.IDS, int), np.zeros(op9_lm.IDS, bool))
+    size = np.array([3000, 2, 700])
+    flat = np.concatenate([np.append(op9_lm.END, rng.integers(0, 50000, n)) for n in size])
+    op9_lm.score_chunk(model, flat, size)
+    x, y = rng.integers(0, 50000, (128, 24)), rng.integers(0, op9_lm.N_CLASSES, (128, 24))
+    model.gradient(x, y, np.ones((128, 24), bool), 0)
+    assert {s[1] for s in made if len(s) == 2} == {op9_lm.N_CLASSES} and max(s[0] for s in made if len(s) == 2) <= 512
+
+
+def test_lm_words_are_cut_at_ascii_white_space_only():
+    texts = [None, "", " \t ", "\x0b A\x1cb\u00a0C\u2003d \r\n\n\u00c9t\u00c9 a\x1cB", "tail \x0c", "\u0085x \x1f y"]
+    w = op9_lm.Words()
+    n, every, own, flat = op9_lm.lay(w, texts)
+    want = [words_of(t) for t in texts]
+    assert n.tolist() == [len(x) for x in want]
+    names = list(w.number)
+    assert [names[i] for i in every] == [x for t in want for x in t]
+    ids = [[j for x in t for j in w.encoder.encode_ordinary(" " + x.decode())] for t in want]
+    assert own.tolist() == [len(x) for x in ids] and flat.tolist() == [y for x in ids for y in [op9_lm.END, *x, op9_lm.END]]
+
+
 def kernel_by_hand(s, t, p=3, decay=op4_toxicity.DECAY):
     import itertools
 
