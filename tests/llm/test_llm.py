@@ -380,6 +380,48 @@ def test_lm_words_are_cut_at_ascii_white_space_only():
     assert own.tolist() == [len(x) for x in ids] and flat.tolist() == [y for x in ids for y in [op9_lm.END, *x, op9_lm.END]]
 
 
+def test_lm_texts_are_split_once_and_their_words_found_again(spark):
+    texts = [None, "", " \t ", "\x0b A\x1cb\u00a0C\u2003d \r\n\n\u00c9t\u00c9 a\x1cB", "A b a\x1cb a", prose(3, 40), "<|endoftext|> ab a b"]
+    rows = op9_lm.encode(docs(spark, *texts).select("doc_id", "text")).orderBy("doc_id").select("ids").toArrow().column(0).combine_chunks()
+    own, ids = op9_lm.read_ids(rows)
+    w, want = op9_lm.Words(), [words_of(t) for t in texts]
+    spelt = [[w.encoder.encode_ordinary(" " + x.decode()) for x in t] for t in want]
+    assert own.tolist() == [sum(map(len, t)) for t in spelt] and ids.tolist() == [i for t in spelt for x in t for i in x]
+    start, every, hashes, first, size = op9_lm.words_in(ids, op9_lm.begin_flags())
+    flat = [x for t in want for x in t]
+    assert len(hashes) == len(set(hashes.tolist())) == len(set(flat)) and len(every) == len(flat)
+    assert [b"".join(map(w.encoder.decode_single_token_bytes, ids[a : a + n].tolist()))[1:] for a, n in zip(first[every], size[every], strict=True)] == flat
+    got = [(lo, n.tolist(), len(part)) for lo, n, part in op9_lm.slices(rows, 9)]
+    assert [n for _, part, _ in got for n in part] == own.tolist() and all(k <= 9 or len(n) == 1 for _, n, k in got)
+    assert op9_lm.read_ids(rows.slice(4, 1))[1].tolist() == [i for x in spelt[4] for i in x]
+
+
+def test_lm_rows_are_shifted_only_where_they_need_it(monkeypatch):
+    made, plain = [], op9_lm.safe_exp
+    monkeypatch.setattr(op9_lm, "safe_exp", lambda z, shift: (made.append(shift), plain(z, shift))[1])
+    rng = np.random.default_rng(6)
+    model = op9_lm.train([], np.ones(op9_lm.IDS, int), np.zeros(op9_lm.IDS, bool))
+    x, y = rng.integers(0, 50000, (4, 25)), np.arange(op9_lm.LENGTH)
+    model.p["logit"][:, 5] = 0
+    model.p["logit"][0, 5], model.p["embed"][:, 0], model.p["embed"][x[0, 0], 1] = 40, 0, 9  # long rows and columns, logits of usual size
+    model.score(x[:, :-1], x[:, 1:], 0)
+    assert made and not any(made)
+    for k, by in (("bias", 200.0), ("bias", -400.0), ("qkv", 40.0)):
+        model.p[k] = model.p[k] + np.float32(by) if k == "bias" else model.p[k] * np.float32(by)
+        model._fast = None
+        got = model.score(x[:, :-1], x[:, 1:], 0)
+        p = {k: v.astype(float) for k, v in model.p.items()}
+        e = p["embed"][x[:, :-1]] + p["place"]
+        q, k, v = np.split(e @ p["qkv"], 3, axis=-1)
+        a = np.where(y[:, None] >= y, q @ k.transpose(0, 2, 1) * op9_lm.WIDTH**-0.5, -np.inf)
+        a = np.exp(a - a.max(-1, keepdims=True))
+        z = (a / a.sum(-1, keepdims=True) @ v @ p["out"] + e) @ p["logit"] + p["bias"]
+        z -= z.max(-1, keepdims=True)
+        z -= np.log(np.exp(z).sum(-1, keepdims=True))
+        want = np.take_along_axis(z, model.own[x[:, 1:]][..., None], -1)[..., 0]
+        assert any(made) and np.allclose(got, want, rtol=2e-3, atol=2e-2)
+
+
 def kernel_by_hand(s, t, p=3, decay=op4_toxicity.DECAY):
     import itertools
 
