@@ -497,6 +497,9 @@ def column_round_trip(spark, d):
     return rows.join(sids, ["path", "sid"]).select(F.col("place").alias("sid"), "tid", "id", "form", "tag", "head")
 
 
+DOCS_OF_A_STATE = 256
+
+
 def document_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("ts"), "line")
@@ -508,13 +511,16 @@ def document_lines(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, sid, count(*) AS n, string_agg(w || '/' || CASE WHEN regexp_full_match(w, '[0-9]+') THEN 'CD' WHEN lower(w) LIKE '%ing' THEN 'VBG' WHEN lower(w) LIKE '%ed' THEN 'VBD' WHEN lower(w) LIKE '%s' THEN 'NNS' ELSE 'NN' END, ' ' ORDER BY i) AS tagged
     FROM t GROUP BY doc_id, sid""")
 def stream_lines(spark, d):
-    """The lines of all documents in shuffled files, half of them before a restart of the stream."""
+    """The lines of all documents in shuffled files, half of them before a restart of the stream. Files and states grow in number with the input,
+    not in size, so each half stays one micro-batch."""
     lines, base = document_lines(spark, d), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    states = read(spark, d, "documents").count() // DOCS_OF_A_STATE + 1
+    files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     half = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(2))
     for k in (0, 1):
-        lines.where(half == k).repartition(4, F.xxhash64("line_no", "doc_id")).write.parquet(f"{base}/in/{k}")
-        source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in/*")
-        line_stream.run_to_end(line_stream.decode_stream(source, delay="10000 days"), f"{base}/out", f"{base}/state")
+        lines.where(half == k).repartition(files, F.xxhash64("line_no", "doc_id")).write.parquet(f"{base}/in/{k}")
+        source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in/*")
+        line_stream.run_to_end(line_stream.decode_stream(source, delay="10000 days", states=states), f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out")
 
 
