@@ -111,3 +111,13 @@ def test_the_query_holds_a_state_for_many_documents(spark, monkeypatch):
     n = c.stream_lines(spark, "/root/testdata/sf0.001").count()
     assert n > 0 and len(kept) == 2
     assert all(1 <= x["stateOperators"][0]["numRowsTotal"] <= 200 // c.DOCS_OF_A_STATE + 1 for q in kept for x in q.recentProgress)
+
+
+def test_ids_far_apart_lose_no_line(spark, tmp_path):
+    from textloom import catalog_annotations as c
+
+    ids = [1, 2, -5, 2_000_000_000, 2_000_000_000_000, None]
+    text = "\n".join(f"line {i}" for i in range(9))
+    spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = c.stream_lines(spark, str(tmp_path)).select("doc_id", "sid", "tagged").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, k, f"line/NN {k}/CD") for i in ids for k in range(9)), key=str)
